@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from loomline.llm import mixing, sharding, url_filter
+from loomline.llm import jaccard_join, mixing, sharding, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,7 +30,12 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"op4_url_filter": op4_url_filter, "op7_mixing": op7_mixing, "op8_sharding": op8_sharding}
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"), k=3, num=9, den=10)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
+QUERIES: dict[str, Query] = {"op4_url_filter": op4_url_filter, "op7_mixing": op7_mixing, "op8_sharding": op8_sharding, "op9_jaccard_join": op9_jaccard_join}
 
 _HOST = "translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _FITS = lambda rule: f"(host = '{rule.partition('/')[0]}' OR host LIKE '%.{rule.partition('/')[0]}') AND starts_with(path, '/{rule.partition('/')[2]}')"
@@ -43,4 +47,21 @@ ORACLE: dict[str, str] = {
         WITH parts AS (SELECT page_id, {_HOST} AS host, regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
         judged AS (SELECT *, {_RULE} AS rule FROM parts)
         SELECT page_id, host, path, rule, {_VERDICT} AS verdict FROM judged""",
+    "op9_jaccard_join": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+            FROM documents),
+        sets AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) END AS s
+            FROM words),
+        nodes AS (SELECT s, min(doc_id) AS node, len(s) AS n FROM (SELECT doc_id, list_sort(s) AS s FROM sets) GROUP BY s),
+        shingles AS (SELECT node, n, unnest(s) AS x FROM nodes),
+        links AS (
+            SELECT a.node AS a, b.node AS b FROM shingles a JOIN shingles b ON a.x = b.x AND a.node <> b.node
+            GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+        reach(node, root) AS (SELECT node, node FROM nodes WHERE n > 0 UNION SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.node),
+        labels AS (SELECT node, min(root) AS root FROM reach GROUP BY node)
+        SELECT d.doc_id, CAST(len(d.s) AS BIGINT) AS n_shingles, coalesce(l.root, d.doc_id) AS component_id
+        FROM sets d LEFT JOIN nodes n ON n.s = list_sort(d.s) AND n.n > 0 LEFT JOIN labels l ON l.node = n.node""",
 }
