@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomline.llm import jaccard_join, mixing, sharding, url_filter
+from loomline.llm import jaccard_join, language_id, mixing, sharding, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +23,13 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    texts = language_id.sample(docs.where(~language_id.held_out()))
+    found = language_id.identify(docs.select("doc_id", "text"), texts)
+    return found.select("doc_id", language_id.held_out().alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(mixing.schedule(_table(spark, sf_dir, "documents")))
 
@@ -35,7 +43,7 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES: dict[str, Query] = {"op4_url_filter": op4_url_filter, "op7_mixing": op7_mixing, "op8_sharding": op8_sharding, "op9_jaccard_join": op9_jaccard_join}
+QUERIES: dict[str, Query] = {"op4_url_filter": op4_url_filter, "op6_language_id": op6_language_id, "op7_mixing": op7_mixing, "op8_sharding": op8_sharding, "op9_jaccard_join": op9_jaccard_join}
 
 _HOST = "translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _FITS = lambda rule: f"(host = '{rule.partition('/')[0]}' OR host LIKE '%.{rule.partition('/')[0]}') AND starts_with(path, '/{rule.partition('/')[2]}')"
