@@ -30,7 +30,9 @@ from pyspark.sql import DataFrame
 from loomline.llm.common import slices
 
 CHUNK = 64
-MAX_STATES = 200_000
+MAX_STATES = 250_000
+#: A node of the vocabulary tree with so many tokens beyond it is kept open unseen.
+MANY = 40
 
 # Symbols of the first transducer. A space or other white space is "last" if other than white space follows it.
 LETTER, NUMBER, OTHER, SHORT, LONG, INNER, LAST_SPACE, LAST_WHITE, END = range(9)
@@ -120,6 +122,10 @@ class BpeTransducer:
 
     def __init__(self, merges: list[tuple[bytes, bytes]]):
         self.ranks = {m: i for i, m in enumerate(merges)}
+        self.made: dict[bytes, tuple[bytes, bytes]] = {}
+        for m in merges:
+            self.made.setdefault(m[0] + m[1], m)
+        self.spines: tuple[dict, dict] = ({}, {})
         self.tokens = {bytes([i]) for i in range(256)} | {a + b for a, b in merges}
         # The vocabulary tree: child[node, byte]; word[node] is the token that ends there.
         self.child: dict[tuple[int, int], int] = {}
@@ -131,7 +137,15 @@ class BpeTransducer:
                 if node == len(self.word):
                     self.word.append(None)
             self.word[node] = t
+        self.below: list[list[bytes]] = [[] for _ in self.word]  # tokens that lie beyond a node, MANY at most
+        for t in self.tokens:
+            node = 0
+            for b in t[:-1]:
+                node = self.child[node, b]
+                if len(self.below[node]) < MANY:
+                    self.below[node].append(t)
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
+        self.open: dict[tuple[int, bytes], bool] = {}
         self.reset()
 
     def reset(self) -> None:
@@ -153,13 +167,61 @@ class BpeTransducer:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
+    def spine(self, token: bytes, side: int) -> list[tuple[bytes, int, int]]:
+        """What stood at the token's left (0) or right (1) end while it was merged, the token itself first: symbol, rank of the merge that made it, rank of the merge that took it up."""
+        found = self.spines[side].get(token)
+        if found is None:
+            found, end, t = [], len(self.ranks), token
+            while True:
+                made = self.made.get(t)
+                start = -1 if made is None else self.ranks[made]
+                found.append((t, start, end))
+                if made is None:
+                    break
+                t, end = made[side], start
+            self.spines[side][token] = found
+        return found
+
     def follows(self, a: bytes, b: bytes) -> bool:
-        """Whether b can be the token after a (after nothing, if a is empty)."""
+        """Whether b can be the token after a (after nothing, if a is empty).
+
+        A merge's rank is above those that made its parts, so a text is merged in the order of ranks. The two tokens
+        stay apart unless, at some time, what stood on either side of their border had a merge due before the merge
+        that took up either (at equal ranks, the leftmost goes first).
+        """
         found = self.pairs.get((a, b))
         if found is None:
             if len(self.pairs) > 2_000_000:
                 self.pairs.clear()
-            found = self.pairs[a, b] = self.encode(a + b) == ([a, b] if a else [b])
+            if not a:
+                found = self.encode(b) == [b]
+            else:
+                left, right = self.spine(a, 1), self.spine(b, 0)
+                i = j = 0
+                found = True
+                while True:
+                    (x, x_start, x_end), (y, y_start, y_end) = left[i], right[j]
+                    rank = self.ranks.get((x, y))
+                    if rank is not None and rank < x_end and rank <= y_end:
+                        found = False
+                        break
+                    if x_start < 0 and y_start < 0:
+                        break
+                    if x_start > y_start:
+                        i += 1
+                    else:
+                        j += 1
+            self.pairs[a, b] = found
+        return found
+
+    def stays_open(self, node: int, before: bytes) -> bool:
+        """Whether some token beyond node may follow before (taken for granted below nodes with many tokens)."""
+        found = self.open.get((node, before))
+        if found is None:
+            if len(self.open) > 2_000_000:
+                self.open.clear()
+            below = self.below[node]
+            found = self.open[node, before] = len(below) >= MANY or any(self.follows(before, t) for t in below)
         return found
 
     def state(self, key: tuple) -> int:
@@ -175,8 +237,8 @@ class BpeTransducer:
     def column(self, byte: int) -> int:
         if not self.columns[byte]:
             if self.used == self.next.shape[1]:
-                self.next = np.concatenate([self.next, np.full((len(self.next), 80), -1, np.int32)], axis=1)
-                self.change = np.concatenate([self.change, np.zeros((len(self.change), 80), np.int16)], axis=1)
+                self.next = np.concatenate([self.next, np.full((len(self.next), 32), -1, np.int32)], axis=1)
+                self.change = np.concatenate([self.change, np.zeros((len(self.change), 32), np.int16)], axis=1)
             self.columns[byte] = self.used
             self.used += 1
         return int(self.columns[byte])
@@ -188,7 +250,8 @@ class BpeTransducer:
             to = self.child.get((node, byte))
             if to is None:
                 continue
-            going.append((to, before, count))
+            if self.stays_open(to, before):
+                going.append((to, before, count))
             t = self.word[to]
             if last is None and t is not None and self.follows(before, t):
                 last = (t, count + 1)
