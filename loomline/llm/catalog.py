@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import jaccard_join, language_id, mixing, sharding, url_filter
+from loomline.llm import jaccard_join, language_id, mixing, sharding, token_count, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,10 +19,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages")).drop("path", "offset")
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers  # only this query needs the vocabulary files
+
+    return token_count.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     texts = language_id.sample(docs.where(~language_id.held_out()))
@@ -43,7 +53,7 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES: dict[str, Query] = {"op4_url_filter": op4_url_filter, "op6_language_id": op6_language_id, "op7_mixing": op7_mixing, "op8_sharding": op8_sharding, "op9_jaccard_join": op9_jaccard_join}
+QUERIES: dict[str, Query] = {"op2_warc": op2_warc, "op4_url_filter": op4_url_filter, "op5_token_counts": op5_token_counts, "op6_language_id": op6_language_id, "op7_mixing": op7_mixing, "op8_sharding": op8_sharding, "op9_jaccard_join": op9_jaccard_join}
 
 _HOST = "translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _FITS = lambda rule: f"(host = '{rule.partition('/')[0]}' OR host LIKE '%.{rule.partition('/')[0]}') AND starts_with(path, '/{rule.partition('/')[2]}')"
@@ -51,6 +61,13 @@ _RULE = "CASE " + " ".join(f"WHEN {_FITS(r)} THEN '{r}'" for r, _ in sorted(URL_
 _VERDICT = "CASE " + " ".join(f"WHEN rule = '{r}' THEN '{v}'" for r, v in URL_RULES) + " ELSE 'allow' END"
 
 ORACLE: dict[str, str] = {
+    "op2_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n FROM pages),
+        r AS (SELECT *, max(page_id) OVER (PARTITION BY body) AS last_id FROM p)
+        SELECT page_id, n AS payload_bytes, sha1(body) AS payload_digest,
+            CASE WHEN n >= 1000 AND last_id > page_id THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN n >= 1000 AND last_id > page_id THEN last_id END AS refers_to
+        FROM r""",
     "op4_url_filter": f"""
         WITH parts AS (SELECT page_id, {_HOST} AS host, regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
         judged AS (SELECT *, {_RULE} AS rule FROM parts)
