@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import jaccard_join, language_id, mixing, sharding, spotsigs, token_count, url_filter, warc
+from loomline.llm import decontamination, jaccard_join, language_id, mixing, sharding, spotsigs, token_count, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages")).drop("path", "offset")
 
@@ -57,7 +61,7 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES: dict[str, Query] = {"op2_warc": op2_warc, "op3_spotsigs": op3_spotsigs, "op4_url_filter": op4_url_filter, "op5_token_counts": op5_token_counts, "op6_language_id": op6_language_id, "op7_mixing": op7_mixing, "op8_sharding": op8_sharding, "op9_jaccard_join": op9_jaccard_join}
+QUERIES: dict[str, Query] = {"op1_decontamination": op1_decontamination, "op2_warc": op2_warc, "op3_spotsigs": op3_spotsigs, "op4_url_filter": op4_url_filter, "op5_token_counts": op5_token_counts, "op6_language_id": op6_language_id, "op7_mixing": op7_mixing, "op8_sharding": op8_sharding, "op9_jaccard_join": op9_jaccard_join}
 
 _HOST = "translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _FITS = lambda rule: f"(host = '{rule.partition('/')[0]}' OR host LIKE '%.{rule.partition('/')[0]}') AND starts_with(path, '/{rule.partition('/')[2]}')"
