@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import decontamination, jaccard_join, language_id, mixing, sharding, spotsigs, token_count, url_filter, warc
+from loomline.llm import decontamination, jaccard_join, language_id, mixing, pii, sharding, spotsigs, token_count, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,7 +61,15 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES: dict[str, Query] = {"op1_decontamination": op1_decontamination, "op2_warc": op2_warc, "op3_spotsigs": op3_spotsigs, "op4_url_filter": op4_url_filter, "op5_token_counts": op5_token_counts, "op6_language_id": op6_language_id, "op7_mixing": op7_mixing, "op8_sharding": op8_sharding, "op9_jaccard_join": op9_jaccard_join}
+#: The key of the query's surrogates; a production run passes a secret of its own.
+PII_KEY = b"loomline surrogates"
+
+
+def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.surrogates(_table(spark, sf_dir, "documents"), PII_KEY)
+
+
+QUERIES: dict[str, Query] = {"op1_decontamination": op1_decontamination, "op2_warc": op2_warc, "op3_spotsigs": op3_spotsigs, "op4_url_filter": op4_url_filter, "op5_token_counts": op5_token_counts, "op6_language_id": op6_language_id, "op7_mixing": op7_mixing, "op8_sharding": op8_sharding, "op9_jaccard_join": op9_jaccard_join, "op10_pii_surrogates": op10_pii_surrogates}
 
 _HOST = "translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _FITS = lambda rule: f"(host = '{rule.partition('/')[0]}' OR host LIKE '%.{rule.partition('/')[0]}') AND starts_with(path, '/{rule.partition('/')[2]}')"
