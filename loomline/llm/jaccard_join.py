@@ -210,7 +210,7 @@ def common_shingles(docs: DataFrame, k: int, rate: int = 16, least: int = 8, mos
 
 
 def _route(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """One table of two kinds of rows: 1: a tie of set a to set b, of weight n; 2: document a with set b of n shingles."""
+    """One table of two kinds of rows: 1: a tie of set a to set b, of weight n; 2: document a, whose text has hash tag, with set b of n shingles."""
     spark = docs.sparkSession
     p = partitions(spark)
     reducers = 4 * p
@@ -223,7 +223,7 @@ def _route(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 hashes, ends = shingle_sets(texts[i:j], k)
                 keys, n = set_keys(hashes, ends), np.diff(ends, prepend=0)
                 known = ids[i:j].notna().to_numpy()
-                light = b"".join(x.tobytes() for x in (ids[i:j].fillna(0).to_numpy(np.int64), keys, n.astype(np.int64), known.astype(np.int64)))
+                light = b"".join(x.tobytes() for x in (ids[i:j].fillna(0).to_numpy(np.int64), keys, n.astype(np.int64), known.astype(np.int64), b["tag"].to_numpy(np.int64)[i:j]))
                 # each different set once
                 once = np.unique(keys, return_index=True)[1]
                 once = np.sort(once[n[once] > 0])
@@ -261,8 +261,8 @@ def _route(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 elif kind == 1:
                     ready.append(np.frombuffer(block, np.int64).reshape(3, -1))
                 else:
-                    a, key, n, known = np.frombuffer(block, np.int64).reshape(4, -1)
-                    yield pd.DataFrame({"kind": np.full(len(a), 2, np.int32), "a": pd.Series(a, dtype="Int64").mask(known == 0), "b": key, "n": n})
+                    a, key, n, known, tag = np.frombuffer(block, np.int64).reshape(5, -1)
+                    yield pd.DataFrame({"kind": np.full(len(a), 2, np.int32), "a": pd.Series(a, dtype="Int64").mask(known == 0), "b": key, "n": n, "tag": tag})
         if d:
             digest, node = np.concatenate(d), np.concatenate(nodes)
             order = np.lexsort((node, digest))
@@ -277,10 +277,10 @@ def _route(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
             a, b, n = np.concatenate(ready, axis=1)
             a, b, n = _ties(a, b, n)
             if len(a):
-                yield pd.DataFrame({"kind": np.full(len(a), 1, np.int32), "a": pd.Series(a, dtype="Int64"), "b": b, "n": n})
+                yield pd.DataFrame({"kind": np.full(len(a), 1, np.int32), "a": pd.Series(a, dtype="Int64"), "b": b, "n": n, "tag": 0})
 
-    sent = docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(blocks, "reducer int, kind int, block binary").repartition(p, "reducer").select("kind", "block")
-    return materialise(sent.mapInPandas(tie, "kind int, a long, b long, n long"), "jaccard-route")
+    sent = docs.select(F.col("doc_id").cast("long"), "text", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("tag")).mapInPandas(blocks, "reducer int, kind int, block binary").repartition(p, "reducer").select("kind", "block")
+    return materialise(sent.mapInPandas(tie, "kind int, a long, b long, n long, tag long"), "jaccard-route")
 
 
 def _ties(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -327,9 +327,9 @@ def _member_sets(docs: DataFrame, members: DataFrame, k: int, n_members: int) ->
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """doc_id, n_shingles, set_key, component_id for every row of docs (doc_id, text)."""
+    """doc_id, n_shingles, set_key, tag (the text's xxhash64), component_id for every row of docs (doc_id, text)."""
     route = _route(docs, k, num, den)
-    ties, light = route.where("kind = 1"), route.where("kind = 2").select(F.col("a").alias("doc_id"), F.col("b").alias("set_key"), F.col("n").alias("n_shingles"))
+    ties, light = route.where("kind = 1"), route.where("kind = 2").select(F.col("a").alias("doc_id"), F.col("b").alias("set_key"), F.col("n").alias("n_shingles"), "tag")
     nodes = components(ties)
     first = light.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
     weight = ties.select(F.col("a").alias("node"), "n").union(ties.select(F.col("b"), "n")).groupBy("node").agg(F.sum("n").alias("weight"))
@@ -352,7 +352,27 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
     # the empty set's rows are their own components; its key, which many rows may have, isn't joined
     some = light.where("n_shingles > 0").join(merged, "set_key", "left")
     none = light.where("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
-    return some.select("doc_id", "n_shingles", "set_key", F.coalesce("component_id", "doc_id").alias("component_id")).union(none.select("doc_id", "n_shingles", "set_key", "component_id"))
+    return some.select("doc_id", "n_shingles", "set_key", "tag", F.coalesce("component_id", "doc_id").alias("component_id")).union(none.select("doc_id", "n_shingles", "set_key", "tag", "component_id"))
+
+
+def one_of_each(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """The rows of docs, all columns, less those with a near copy of smaller doc_id (or, of the same doc_id, another text or a repeated row).
+
+    Rows are told apart by doc_id and the text's hash. What goes is usually little and joined by broadcast, behind a
+    check of its size; above that, by shuffle.
+    """
+    rows = materialise(jaccard_components(docs, k, num, den), "jaccard-components")
+    stay = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.min("tag").alias("tag"), F.count("*").alias("copies"))
+    twice = materialise(stay.where("copies > 1").select("doc_id", "tag"), "jaccard-twice")
+    first = rows.join(stay.select(F.col("doc_id").alias("s"), F.col("tag").alias("t")), F.col("doc_id").eqNullSafe(F.col("s")) & (F.col("tag") == F.col("t")), "left_anti")
+    go = materialise(first.select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag")).distinct(), "jaccard-go")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.coalesce(F.xxhash64("text"), F.lit(0)) == F.col("__tag"))
+    small = lambda t: F.broadcast(t) if t.count() <= BROADCAST_ROWS else t
+    kept = docs.join(small(go), same, "left_anti")
+    if twice.isEmpty():
+        return kept
+    twice = small(twice.select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag")))
+    return kept.join(twice, same, "left_anti").union(kept.join(twice, same, "left_semi").dropDuplicates(["doc_id"]))
 
 
 def _blocks(n: str) -> Column:

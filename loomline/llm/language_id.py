@@ -193,3 +193,25 @@ def identify(docs: DataFrame, texts: dict[str, str]) -> DataFrame:
                 yield b.assign(__lang=p["lang"].to_numpy(), __score=p["score"].to_numpy(), __rate=p["rate"].to_numpy())
 
     return docs.mapInPandas(run, schema)
+
+
+def keep_identified(docs: DataFrame, texts: dict[str, str], most_rate: float = 0.9, letters: int = 20) -> DataFrame:
+    """The rows of docs, all columns, whose text has letters and is explained by some language.
+
+    Unexplained is a text of at least letters letters that needs more than most_rate phrases per letter in every
+    language, so about one phrase for each letter.
+    """
+    shipped = docs.sparkSession.sparkContext.broadcast(tuple(sorted(texts.items())))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parser = _parser(shipped.value)
+        for b in batches:
+            found = list(b["text"])
+            keep = np.zeros(len(found), bool)
+            for i, j in slices(found):
+                counts, n = parser.phrases(found[i:j])
+                least = counts.min(axis=0) if len(counts) else np.zeros(j - i)
+                keep[i:j] = (n > 0) & ((n < letters) | (least <= most_rate * n))
+            yield b[keep]
+
+    return docs.mapInPandas(run, docs.schema)

@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 
 from loomline.llm.common import materialise, partitions, word_count
 
+#: Ids of a table that is broadcast at most (8 bytes each).
+BROADCAST_ROWS = 1_000_000
+
 
 def source_targets(sources: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, repeats: int = 2) -> DataFrame:
     """sources: (source_key, source_size), one row each; source_key sorts as wanted. Adds target.
@@ -77,3 +80,13 @@ def taken(scheduled: DataFrame) -> DataFrame:
     """Per document, the words that the mix takes of it, copies counted."""
     words = F.aggregate("packets", F.lit(0).cast("long"), lambda s, p: s + p["served"])
     return scheduled.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", words.alias("taken"))
+
+
+def keep_mixed(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 0.9) -> DataFrame:
+    """The rows of docs, all columns, that a mix without repeats serves at least half of; rows of one doc_id go or stay together.
+
+    What goes is joined by broadcast up to BROADCAST_ROWS ids, else by shuffle. Rows without doc_id stay.
+    """
+    served = schedule(docs, weights, share, 1).groupBy("doc_id").agg(F.max(F.col("packets")[0]["served"] * 2 >= F.col("size")).alias("stays"))
+    go = materialise(served.where("not stays and doc_id is not null").select(F.col("doc_id").alias("__id")), "mix-go")
+    return docs.join(F.broadcast(go) if go.count() <= BROADCAST_ROWS else go, F.col("doc_id") == F.col("__id"), "left_anti")
