@@ -1,6 +1,6 @@
 """All queries of the conversation operators, and the same in SQL."""
 
-from loomline.plans import text_plans  # noqa: F401
+from loomline.plans import line_plans, text_plans  # noqa: F401
 from loomline.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
