@@ -6,19 +6,25 @@ messages until a budget fits are running sums from one end.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from loomline.functions import tokens as K
 
 C = F.col
-CONV = Window.partitionBy("conv_id")
-IN_ORDER = CONV.orderBy("turn")
+
+
+def conv() -> WindowSpec:
+    return Window.partitionBy("conv_id")
+
+
+def in_order() -> WindowSpec:
+    return conv().orderBy("turn")
 
 
 def with_turns(m: DataFrame) -> DataFrame:
     """Adds turn_id (0 before the first user message, then one per user message) and complete (the turn has an assistant message)."""
-    m = m.withColumn("turn_id", F.sum((C("role") == "user").cast("long")).over(IN_ORDER.rowsBetween(Window.unboundedPreceding, 0)))
+    m = m.withColumn("turn_id", F.sum((C("role") == "user").cast("long")).over(in_order().rowsBetween(Window.unboundedPreceding, 0)))
     return m.withColumn("complete", F.max((C("role") == "assistant").cast("int")).over(Window.partitionBy("conv_id", "turn_id")) == 1)
 
 
@@ -32,8 +38,8 @@ def zoned(m: DataFrame, keep: int = 1, frozen: int = 0, first_answer: bool = Fal
     from_end counts complete turns from the newest: 1, 2, ...
     """
     m = with_turns(m)
-    turns = F.size(F.collect_set(F.when(C("complete"), C("turn_id"))).over(CONV))
-    up_to = F.size(F.collect_set(F.when(C("complete"), C("turn_id"))).over(CONV.orderBy("turn_id").rangeBetween(Window.unboundedPreceding, 0)))
+    turns = F.size(F.collect_set(F.when(C("complete"), C("turn_id"))).over(conv()))
+    up_to = F.size(F.collect_set(F.when(C("complete"), C("turn_id"))).over(conv().orderBy("turn_id").rangeBetween(Window.unboundedPreceding, 0)))
     m = m.withColumn("from_end", turns - up_to + 1)
     anchor = (C("turn_id") == 0) | ((C("turn_id") == 1) & ((C("role") == "user") | F.lit(first_answer))) | (C("turn_id") <= frozen)
     return m.withColumn("zone", F.when(anchor, "anchor").when(C("complete") & (C("from_end") > keep), "body").otherwise("tail"))
@@ -46,7 +52,7 @@ def pair_tokens() -> Column:
 
 def _body_after() -> Column:
     """Tokens of the body from this message's turn on."""
-    later = CONV.orderBy("turn_id").rangeBetween(0, Window.unboundedFollowing)
+    later = conv().orderBy("turn_id").rangeBetween(0, Window.unboundedFollowing)
     return F.sum(F.when(C("zone") == "body", C("tokens")).otherwise(0)).over(later)
 
 
@@ -57,8 +63,8 @@ def evicted(zoned_messages: DataFrame, budget: int, low: float = 1.0, floor: int
     the body means that nothing is evicted. Anchor and tail always stay.
     """
     m = with_tokens(zoned_messages)
-    total = F.sum(F.when(C("zone") == "body", C("tokens")).otherwise(0)).over(CONV)
-    room = F.lit(budget) - F.sum(F.when(C("zone") != "body", C("tokens")).otherwise(0)).over(CONV) if reserve else F.lit(budget)
+    total = F.sum(F.when(C("zone") == "body", C("tokens")).otherwise(0)).over(conv())
+    room = F.lit(budget) - F.sum(F.when(C("zone") != "body", C("tokens")).otherwise(0)).over(conv()) if reserve else F.lit(budget)
     m = m.withColumn("__total", total).withColumn("__room", room).withColumn("__after", _body_after())
     target = F.greatest(F.floor(C("__room") * low), F.lit(floor))
     stays = (C("zone") != "body") | (C("__total") <= C("__room")) | (C("__after") <= target)
@@ -70,8 +76,8 @@ def evicted(zoned_messages: DataFrame, budget: int, low: float = 1.0, floor: int
 def compacted(zoned_messages: DataFrame, floor: int) -> DataFrame:
     """Adds kept: body turns stay from the oldest while anchor, tail and what stays are below floor."""
     m = with_tokens(zoned_messages)
-    base = F.sum(F.when(C("zone") != "body", C("tokens")).otherwise(0)).over(CONV)
-    earlier = CONV.orderBy("turn_id").rangeBetween(Window.unboundedPreceding, -1)
+    base = F.sum(F.when(C("zone") != "body", C("tokens")).otherwise(0)).over(conv())
+    earlier = conv().orderBy("turn_id").rangeBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum(F.when(C("zone") == "body", C("tokens")).otherwise(0)).over(earlier), F.lit(0))
     return m.withColumn("kept", (C("zone") != "body") | (base + before < floor))
 
@@ -81,11 +87,11 @@ def slid(m: DataFrame, window: int, floor: int = 0) -> DataFrame:
     m = with_tokens(with_turns(m))
     static = (C("turn_id") == 0) | ((C("turn_id") == 1) & (C("role") == "user"))
     m = m.withColumn("__static", static)
-    size = F.sum(F.when(C("__static"), C("tokens")).otherwise(0)).over(CONV)
-    later = CONV.orderBy("turn_id").rangeBetween(0, Window.unboundedFollowing)
+    size = F.sum(F.when(C("__static"), C("tokens")).otherwise(0)).over(conv())
+    later = conv().orderBy("turn_id").rangeBetween(0, Window.unboundedFollowing)
     after = F.sum(F.when(~C("__static"), C("tokens")).otherwise(0)).over(later)
-    rest = F.coalesce(F.sum(F.when(~C("__static"), C("tokens")).otherwise(0)).over(CONV.orderBy("turn_id").rangeBetween(1, Window.unboundedFollowing)), F.lit(0))
-    active = C("turn_id") == F.max("turn_id").over(CONV)
+    rest = F.coalesce(F.sum(F.when(~C("__static"), C("tokens")).otherwise(0)).over(conv().orderBy("turn_id").rangeBetween(1, Window.unboundedFollowing)), F.lit(0))
+    active = C("turn_id") == F.max("turn_id").over(conv())
     # a turn goes if all from it on are above the window and what is left after it isn't below the floor
     return m.withColumn("kept", C("__static") | active | (size + after <= window) | (size + rest < floor)).drop("__static")
 
@@ -93,16 +99,16 @@ def slid(m: DataFrame, window: int, floor: int = 0) -> DataFrame:
 def front_packed(m: DataFrame, tail_turns: int, most: int) -> DataFrame:
     """Adds kept: the tail, and messages from the front while they fit beside it."""
     m = with_tokens(with_turns(m))
-    in_tail = C("turn_id") > F.max("turn_id").over(CONV) - tail_turns
+    in_tail = C("turn_id") > F.max("turn_id").over(conv()) - tail_turns
     m = m.withColumn("__tail", in_tail)
-    tail = F.sum(F.when(C("__tail"), C("tokens")).otherwise(0)).over(CONV)
-    head = F.sum(F.when(~C("__tail"), C("tokens")).otherwise(0)).over(IN_ORDER.rowsBetween(Window.unboundedPreceding, 0))
+    tail = F.sum(F.when(C("__tail"), C("tokens")).otherwise(0)).over(conv())
+    head = F.sum(F.when(~C("__tail"), C("tokens")).otherwise(0)).over(in_order().rowsBetween(Window.unboundedPreceding, 0))
     return m.withColumn("kept", C("__tail") | (head <= most - tail)).drop("__tail")
 
 
 def prefix_packed(m: DataFrame, most_tokens: int) -> DataFrame:
     """Adds kept: messages from the front while their characters fit four times the tokens."""
-    used = F.sum(F.length("content")).over(IN_ORDER.rowsBetween(Window.unboundedPreceding, 0))
+    used = F.sum(F.length("content")).over(in_order().rowsBetween(Window.unboundedPreceding, 0))
     return m.withColumn("kept", used <= 4 * most_tokens)
 
 

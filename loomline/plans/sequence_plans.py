@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from loomline.functions import text as T
@@ -11,7 +11,10 @@ from loomline.plans.registry import CODE, MESSAGES, ORACLE, QUERIES, STEPS, TRAC
 from loomline.plans.text_plans import ordered_join
 
 C = F.col
-STEP = Window.partitionBy("conv_id").orderBy("step_index")
+
+
+def steps() -> WindowSpec:
+    return Window.partitionBy("conv_id").orderBy("step_index")
 
 _SUB = "coalesce(nullif(regexp_extract(content, '# Subtask: ([^\\n]+)', 1), ''), tool_name)"
 
@@ -43,7 +46,7 @@ _ME = f"""s AS (SELECT *, {_SUB} AS subtask FROM src), me AS (SELECT conv_id, ma
 def related_steps(s: DataFrame) -> DataFrame:
     """Steps of the same subtask or tool as the latest one; the first twelve by step (the operator's limit)."""
     j = s.withColumn("subtask", subtask()).join(_latest(s), "conv_id").where((C("step_index") != C("my_index")) & ((C("subtask") == C("my_subtask")) | (C("tool_name") == C("my_tool"))))
-    return j.withColumn("k", F.row_number().over(STEP)).where("k <= 12").select("conv_id", "step_index")
+    return j.withColumn("k", F.row_number().over(steps())).where("k <= 12").select("conv_id", "step_index")
 
 
 @query(STEPS, f"""WITH {_ME}, c AS (SELECT s.conv_id, s.step_index, CASE WHEN s.subtask = my_subtask THEN 10 ELSE 0 END + CASE WHEN s.tool_name = my_tool THEN 5 ELSE 0 END + CASE WHEN s.role = my_role THEN 1 ELSE 0 END + 1.0::DOUBLE / (1 + abs(my_index - s.step_index)) AS score
@@ -77,7 +80,7 @@ def query_retrieval(s: DataFrame) -> DataFrame:
     conv = Window.partitionBy("conv_id")
     c = c.withColumn("best", F.max("overlap").over(conv)).withColumn("k", F.row_number().over(conv.orderBy(F.desc("overlap"), F.desc("step_index")))).withColumn("recent", F.row_number().over(conv.orderBy(F.desc("step_index"))))
     c = c.where(((C("best") > 0) & (C("k") <= 6) & (C("overlap") > 0)) | ((C("best") == 0) & (C("recent") <= 6)))
-    used = F.sum(F.length("content") + 1).over(STEP.rowsBetween(Window.unboundedPreceding, 0))
+    used = F.sum(F.length("content") + 1).over(steps().rowsBetween(Window.unboundedPreceding, 0))
     return c.withColumn("used", used).where("used <= 140").select("conv_id", "step_index", C("overlap").cast("long").alias("overlap"))
 
 
@@ -228,7 +231,7 @@ def temperature(m: DataFrame) -> DataFrame:
 def _repeats(s: DataFrame, key: str, kind: str) -> DataFrame:
     """Steps at which some value stands three or more times among the last four that have one."""
     rows = s.where(C(key).isNotNull())
-    last4 = STEP.rowsBetween(-3, 0)
+    last4 = steps().rowsBetween(-3, 0)
     seen = F.collect_list(key).over(last4)
     best = lambda xs: F.array_max(F.transform(F.array_distinct(xs), lambda v: F.struct(F.size(F.filter(xs, lambda x: x == v)).alias("n"), v.alias("v"))))
     found = rows.withColumn("best", let(seen, best)).where(C("best.n") >= 3)
@@ -265,7 +268,7 @@ def action_repeat(s: DataFrame) -> DataFrame:
     SELECT conv_id, step_index, thoughts::BIGINT AS thoughts FROM n WHERE role = 'thinking' AND thoughts >= 3""")
 def thinking_loop(s: DataFrame) -> DataFrame:
     """Three or more thinking steps since the last assistant step: islands between assistant steps."""
-    running = STEP.rowsBetween(Window.unboundedPreceding, 0)
+    running = steps().rowsBetween(Window.unboundedPreceding, 0)
     g = s.withColumn("block", F.sum((C("role") == "assistant").cast("int")).over(running))
     thoughts = F.sum((C("role") == "thinking").cast("long")).over(Window.partitionBy("conv_id", "block").orderBy("step_index").rowsBetween(Window.unboundedPreceding, 0))
     return g.withColumn("thoughts", thoughts).where((C("role") == "thinking") & (C("thoughts") >= 3)).select("conv_id", "step_index", "thoughts")
@@ -380,7 +383,7 @@ _CLASS = """CASE WHEN role = 'tool' THEN 'tool_result' WHEN role = 'assistant' T
     SELECT *, CASE turn_class {' '.join(f"WHEN '{k}' THEN {v[0]}" for k, v in SHAPES.items())} END AS max_tokens, CASE turn_class {' '.join(f"WHEN '{k}' THEN '{v[1]}'" for k, v in SHAPES.items())} END AS effort FROM c""")
 def turn_class(s: DataFrame) -> DataFrame:
     """The class of each turn from its last two messages, with the limits that go with it."""
-    t = s.withColumn("prev", F.lag("role").over(STEP))
+    t = s.withColumn("prev", F.lag("role").over(steps()))
     text = F.trim("content")
     user = F.when(F.lower("content").contains("tool_result") | text.rlike(r"^(Output:|Result:|stdout:|stderr:)"), "tool_result").when(F.lower(text).startswith("error:"), "error").when(C("prev").isin("assistant", "tool"), "continuation").otherwise("new_question")
     kind = F.when(C("role") == "tool", "tool_result").when(C("role") == "assistant", "continuation").when(C("role") == "user", user).otherwise("new_question")

@@ -11,8 +11,6 @@ from loomline.functions.core import lines
 from loomline.plans.registry import BARE_CODE, CODE, MESSAGES, RAGGED, STEPS, TRACES, VOLATILE_TEXT, query
 
 C = F.col
-IN_ORDER = Window.partitionBy("conv_id").orderBy("turn")
-WHOLE = Window.partitionBy("conv_id")
 CANON = r"regexp_replace(regexp_replace(regexp_replace(content, '\r\n?', chr(10), 'g'), '(?m)[ \t]+$', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g')"
 TOK = "CASE WHEN content IS NULL OR trim(regexp_replace(content, '\\s+', ' ', 'g')) = '' THEN 0 ELSE greatest(1, CAST(floor(length(content) / 3.5::DOUBLE) AS BIGINT)) END"
 
@@ -29,7 +27,7 @@ def canonical_text(m: DataFrame) -> DataFrame:
 
 @query(RAGGED, f"SELECT conv_id, turn, CASE WHEN role = 'user' AND turn = max(turn) FILTER (WHERE role = 'user') OVER (PARTITION BY conv_id) THEN {CANON} ELSE content END AS content FROM src")
 def canonical_last_user(m: DataFrame) -> DataFrame:
-    last = C("turn") == F.max(F.when(C("role") == "user", C("turn"))).over(WHOLE)
+    last = C("turn") == F.max(F.when(C("role") == "user", C("turn"))).over(Window.partitionBy("conv_id"))
     changed = T.outside_fences(C("content"), T.canonical)
     return m.select("conv_id", "turn", F.when((C("role") == "user") & last, changed).otherwise(C("content")).alias("content"))
 
@@ -77,7 +75,7 @@ _STATIC = "turn <= coalesce(min(turn) FILTER (WHERE role = 'user') OVER (PARTITI
 
 def static_prefix(m: DataFrame) -> DataFrame:
     """The messages up to the first user message; all if there is none."""
-    first = F.min(F.when(C("role") == "user", C("turn"))).over(WHOLE)
+    first = F.min(F.when(C("role") == "user", C("turn"))).over(Window.partitionBy("conv_id"))
     return m.withColumn("__first", first).where((C("turn") <= C("__first")) | C("__first").isNull()).drop("__first")
 
 
@@ -196,7 +194,7 @@ def strip_flags(m: DataFrame) -> DataFrame:
 @query(MESSAGES, f"SELECT conv_id, turn, {TOK} AS tokens, {TOK} + 5 AS message_tokens, sum({TOK} + 5) OVER (PARTITION BY conv_id)::BIGINT AS conversation_tokens, (sum({TOK} + 5) OVER (PARTITION BY conv_id) * 4)::BIGINT AS kv_units FROM src")
 def token_counts(m: DataFrame) -> DataFrame:
     n = K.of_message(C("content"))
-    return m.select("conv_id", "turn", K.estimate(C("content")).alias("tokens"), n.alias("message_tokens")).withColumn("conversation_tokens", F.sum("message_tokens").over(WHOLE)).withColumn("kv_units", C("conversation_tokens") * 4)
+    return m.select("conv_id", "turn", K.estimate(C("content")).alias("tokens"), n.alias("message_tokens")).withColumn("conversation_tokens", F.sum("message_tokens").over(Window.partitionBy("conv_id"))).withColumn("kv_units", C("conversation_tokens") * 4)
 
 
 @query(CODE, "SELECT id, CAST(floor(coalesce(list_sum([length(b) FOR b IN regexp_extract_all(content, '(?s)```.*?```')]), 0) / 4) AS BIGINT) AS code_tokens FROM src")

@@ -158,7 +158,7 @@ _CHAIN = "sha256(string_agg(role || chr(1) || content, chr(2)) OVER (PARTITION B
 @query(MESSAGES, f"WITH h AS (SELECT *, {_CHAIN} AS chain FROM src) SELECT conv_id, turn, chain, coalesce(lag(chain) OVER (PARTITION BY conv_id ORDER BY turn), '') AS prefix_chain FROM h")
 def content_hash_chain(m: DataFrame) -> DataFrame:
     """The hash of each prefix beside that of the prefix before: a request whose prefix is unchanged has its predecessor's."""
-    w = Z.IN_ORDER
+    w = Z.in_order()
     sofar = F.collect_list(F.concat("role", F.lit("\x01"), "content")).over(w.rowsBetween(Window.unboundedPreceding, 0))
     h = m.select("conv_id", "turn", F.sha2(F.array_join(sofar, "\x02"), 256).alias("chain"))
     return h.withColumn("prefix_chain", F.coalesce(F.lag("chain").over(w), F.lit("")))
@@ -169,8 +169,8 @@ def content_hash_chain(m: DataFrame) -> DataFrame:
     SELECT conv_id, least(coalesce(first_change, n - 1), n - 1) AS stable_messages, n + 1 - least(coalesce(first_change, n - 1), n - 1) AS live_messages FROM f""")
 def live_zone_split(m: DataFrame) -> DataFrame:
     """The messages that equal the previous request's, up to the first that differs; the rest is live. The previous request here lacks the last two messages, and message 1 of every fourth conversation."""
-    before = m.where(~((C("conv_id") % 4 == 0) & (C("turn") == 1))).withColumn("n", F.max("turn").over(Z.CONV)).select("conv_id", "turn", F.sha2(F.concat_ws("|", "role", "content"), 256).alias("old"))
-    last = F.max("turn").over(Z.CONV)
+    before = m.where(~((C("conv_id") % 4 == 0) & (C("turn") == 1))).withColumn("n", F.max("turn").over(Z.conv())).select("conv_id", "turn", F.sha2(F.concat_ws("|", "role", "content"), 256).alias("old"))
+    last = F.max("turn").over(Z.conv())
     j = m.withColumn("last", last).join(before, ["conv_id", "turn"], "left")
     same = (C("old") == F.sha2(F.concat_ws("|", "role", "content"), 256)) & (C("turn") < C("last") - 1)
     first = F.min(F.when(~F.coalesce(same, F.lit(False)), C("turn")))
@@ -206,10 +206,10 @@ def stable_prefix(m: DataFrame) -> DataFrame:
     SELECT conv_id, turn, stays AND (left_over <= 600 OR in_tail OR head <= 600 - tail) AS kept FROM h""")
 def trim_composed(m: DataFrame) -> DataFrame:
     """Under budget: unchanged; else evict from the body, and if that isn't enough, pack the front beside the tail."""
-    k = Z.evicted(Z.zoned(m, keep=1), 600, reserve=True).withColumn("stays", (F.sum("tokens").over(Z.CONV) <= 600) | C("kept"))
+    k = Z.evicted(Z.zoned(m, keep=1), 600, reserve=True).withColumn("stays", (F.sum("tokens").over(Z.conv()) <= 600) | C("kept"))
     of = lambda cond, w: F.coalesce(F.sum(F.when(C("stays") & cond, C("tokens"))).over(w), F.lit(0))
-    running = Z.IN_ORDER.rowsBetween(Window.unboundedPreceding, 0)
-    fits = (of(F.lit(True), Z.CONV) <= 600) | (C("zone") == "tail") | (of(C("zone") != "tail", running) <= 600 - of(C("zone") == "tail", Z.CONV))
+    running = Z.in_order().rowsBetween(Window.unboundedPreceding, 0)
+    fits = (of(F.lit(True), Z.conv()) <= 600) | (C("zone") == "tail") | (of(C("zone") != "tail", running) <= 600 - of(C("zone") == "tail", Z.conv()))
     return k.select("conv_id", "turn", (C("stays") & fits).alias("kept"))
 
 
