@@ -67,7 +67,7 @@ def grams(words: list[str], n: int = GRAM) -> set[tuple[str, ...]]:
 class TermIds(dict):
     """white-space word -> term id, -1 if no item has it; remembered, and forgotten as a whole when grown to most entries."""
 
-    def __init__(self, ids: dict[str, int], most: int = 1_000_000):
+    def __init__(self, ids: dict[str, int], most: int = 200_000):
         super().__init__()
         self.ids, self.most = ids, most
 

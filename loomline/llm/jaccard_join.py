@@ -219,7 +219,7 @@ def _route(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             texts, ids = list(b["text"]), b["doc_id"]
-            for i, j in slices(texts):
+            for i, j in slices(texts, 2_000_000):
                 hashes, ends = shingle_sets(texts[i:j], k)
                 keys, n = set_keys(hashes, ends), np.diff(ends, prepend=0)
                 known = ids[i:j].notna().to_numpy()

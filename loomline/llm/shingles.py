@@ -11,7 +11,7 @@ import xxhash
 class WordHashes(dict):
     """word (bytes) -> 64-bit hash, remembered; forgotten as a whole when it has grown to most entries."""
 
-    def __init__(self, most: int = 1_000_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         self.most = most
 
