@@ -243,7 +243,7 @@ def _route(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 order = np.argsort(to, kind="stable")
                 d, node, to = d[order], node[order], to[order]
                 cuts = np.flatnonzero(np.diff(to, prepend=-1))
-                out = [(int(to[s]), 0, d[s:e].tobytes() + node[s:e].tobytes()) for s, e in zip(cuts, [*cuts[1:], len(d)], strict=True)]
+                out = [(int(to[s]), 0, d[s:e].tobytes() + node[s:e].tobytes()) for s, e in zip(cuts, [*cuts[1:], len(d)], strict=False)]
                 at = int(abs(int(keys[0])) % reducers) if len(keys) else 0
                 out.append((at, 2, light))
                 if len(ties[0]):
