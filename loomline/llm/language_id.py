@@ -94,9 +94,12 @@ class Parser:
         self.tables = []
         for lang in self.languages:
             t = suffix_automaton(self.encode(texts[lang]).tolist(), self.alphabet)
-            start = np.where(t[0] < 0, 0, t[0])
+            # One more state, the last, is where no phrase is open: at a block's start, and after a symbol that the text lacks.
+            n = len(t) + 1
+            t = np.concatenate([t, np.full((1, self.alphabet), -1, np.int32)])
+            first = np.where(t[0] < 0, n - 1, t[0])
             # a step without transition begins a phrase: marked by adding the number of states
-            self.tables.append((np.where(t < 0, start[None, :] + len(t), t).astype(np.int32).ravel(), len(t)))
+            self.tables.append((np.where(t < 0, first[None, :] + n, t).astype(np.int32).ravel(), n))
 
     def encode(self, text: str) -> np.ndarray:
         s = self.symbols[code_points(text.lower())]
@@ -127,8 +130,8 @@ class Parser:
         first, size, of = first[order], (end - first)[order], of[order]
         active = np.searchsorted(-size, -np.arange(1, size[0] + 1), side="right")  # blocks with more than j symbols
         for k, (table, n) in enumerate(self.tables):
-            state = np.zeros(len(first), np.int32)
-            found = np.ones(len(first), np.int64)
+            state = np.full(len(first), n - 1, np.int32)
+            found = np.zeros(len(first), np.int64)
             for j in range(int(size[0])):
                 m = active[j]
                 t = table[state[:m].astype(np.int64) * self.alphabet + symbols[first[:m] + j]]
