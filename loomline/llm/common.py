@@ -36,6 +36,17 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+#: Rows of an Arrow batch that the Python stages take at most; with Spark's own bound in bytes, it bounds a worker's memory.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to BATCH_ROWS rows where they are larger."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def word_count(text: Column) -> Column:
     """Number of maximal runs of other than ASCII white space; null counts as 0."""
     parts = F.split(F.coalesce(text, F.lit("")), SPACE)
@@ -43,7 +54,7 @@ def word_count(text: Column) -> Column:
     return (F.size(parts) - empty).cast("long")
 
 
-def slices(texts: Sequence[str | None], budget: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def slices(texts: Sequence[str | None], budget: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Index ranges of texts of about budget characters each, one text at least."""
     start = total = 0
     for i, t in enumerate(texts):

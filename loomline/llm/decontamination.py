@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from loomline.llm.common import slices
+from loomline.llm.common import slices, small_batches
 
 K1, B = 1.2, 0.75
 #: Blocks of items that postings are cut into, at most; the fewer items in a block, the closer its bound.
@@ -213,6 +213,7 @@ def _index(items: tuple[tuple[int, str | None], ...]) -> BlockMaxIndex:
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, least: float = 0.8) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap: a row per document and item that it leaks."""
     spark = docs.sparkSession
+    small_batches(spark)
     items = [(r.item_id, r.text) for r in benchmark.select("item_id", "text").limit(50 * MAX_ITEMS + 1).collect()]
     if len(items) > 50 * MAX_ITEMS:
         raise ValueError("the benchmark has more than a million items; search it in parts")
@@ -232,6 +233,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, least:
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, least: float = 0.8) -> DataFrame:
     """The documents, all columns, that leak no item; decided row by row in one pass, so no join on doc_id is needed."""
+    small_batches(docs.sparkSession)
     items = [(r.item_id, r.text) for r in benchmark.select("item_id", "text").collect()]
     items.sort(key=lambda x: (x[0] is None, x[0] or 0, x[1] or ""))
     parts = docs.sparkSession.sparkContext.broadcast([tuple(items[i : i + MAX_ITEMS]) for i in range(0, len(items), MAX_ITEMS)])

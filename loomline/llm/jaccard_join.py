@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import materialise, partitions, slices
+from loomline.llm.common import materialise, partitions, slices, small_batches
 from loomline.llm.components import components
 from loomline.llm.shingles import mix64, set_keys, shingle_sets
 
@@ -212,6 +212,7 @@ def common_shingles(docs: DataFrame, k: int, rate: int = 16, least: int = 8, mos
 def _route(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """One table of two kinds of rows: 1: a tie of set a to set b, of weight n; 2: document a, whose text has hash tag, with set b of n shingles."""
     spark = docs.sparkSession
+    small_batches(spark)
     p = partitions(spark)
     reducers = 4 * p
     common = spark.sparkContext.broadcast(common_shingles(docs, k))

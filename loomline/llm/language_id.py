@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import slices
+from loomline.llm.common import slices, small_batches
 
 #: Symbols of a block; a power of 2 that keeps what the restarts add below 2 % of usual phrase counts.
 BLOCK = 512
@@ -121,7 +121,7 @@ class Parser:
         if not pieces:
             return counts, letters
         sizes = np.array([len(p) for p in pieces])
-        symbols = np.concatenate(pieces).astype(np.int64)
+        symbols = np.concatenate(pieces)
         blocks = -(-sizes // BLOCK)
         first = np.repeat(np.cumsum(sizes) - sizes, blocks) + (np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)) * BLOCK
         end = np.minimum(first + BLOCK, np.repeat(np.cumsum(sizes), blocks))
@@ -183,6 +183,7 @@ def _parser(texts: tuple[tuple[str, str], ...]) -> Parser:
 
 def identify(docs: DataFrame, texts: dict[str, str]) -> DataFrame:
     """All columns of docs and __lang, __score, __rate."""
+    small_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(tuple(sorted(texts.items())))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", __lang string, __score double, __rate double"
 
@@ -204,6 +205,7 @@ def keep_identified(docs: DataFrame, texts: dict[str, str], most_rate: float = 0
     Unexplained is a text of at least letters letters that needs more than most_rate phrases per letter in every
     language, so about one phrase for each letter.
     """
+    small_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(tuple(sorted(texts.items())))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

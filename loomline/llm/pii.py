@@ -26,6 +26,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from loomline.llm.common import small_batches
+
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 #: Titles that a name follows, with the gender that they tell.
 TITLES = {"Mr": "m", "Herr": "m", "Señor": "m", "Sr": "m", "Monsieur": "m", "г-н": "m", "Κύριος": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Mme": "f", "Madame": "f", "Señora": "f", "Sra": "f", "г-жа": "f", "Κυρία": "f", "Dr": "", "Prof": ""}
@@ -264,6 +266,7 @@ def surrogates(docs: DataFrame, key: bytes) -> DataFrame:
     """doc_id, n_entities, n_distinct, kinds (sorted "kind:count" list) and text with surrogates, for every row."""
     if not key:
         raise ValueError("surrogates need a key")
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

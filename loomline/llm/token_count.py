@@ -27,7 +27,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from loomline.llm.common import slices
+from loomline.llm.common import slices, small_batches
 
 CHUNK = 64
 MAX_STATES = 250_000
@@ -374,6 +374,7 @@ def tokenizer(path: str) -> Tokenizer:
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every row. path: the vocabulary file, on every executor."""
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

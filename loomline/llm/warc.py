@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import fresh_dir, materialise
+from loomline.llm.common import fresh_dir, materialise, small_batches
 
 LEAST_REVISIT = 1000
 #: Rows of the table of repeated payloads that are broadcast at most (about 60 bytes each); above, it is joined by shuffle.
@@ -141,6 +141,7 @@ def classify(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
 def write_monolithic(classified: DataFrame, folder: str) -> DataFrame:
     """Writes an archive per partition: one gzip stream over its records. Returns path, records."""
     spark = classified.sparkSession
+    small_batches(spark)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(hadoop)
 
