@@ -30,9 +30,11 @@ from pyspark.sql import DataFrame
 from loomline.llm.common import slices, small_batches
 
 CHUNK = 64
-MAX_STATES = 250_000
+MAX_STATES = 200_000
+#: Answers about pairs of tokens, and about open nodes, that are remembered.
+MAX_KNOWN = 500_000
 #: A node of the vocabulary tree with so many tokens beyond it is kept open unseen.
-MANY = 40
+MANY = 12
 
 # Symbols of the first transducer. A space or other white space is "last" if other than white space follows it.
 LETTER, NUMBER, OTHER, SHORT, LONG, INNER, LAST_SPACE, LAST_WHITE, END = range(9)
@@ -154,7 +156,7 @@ class BpeTransducer:
         self.columns = np.zeros(256, np.int64)  # of each byte; 0: none yet
         self.used = 1
         self.next = np.full((1024, 96), -1, np.int32)
-        self.change = np.zeros((1024, 96), np.int16)
+        self.change = np.zeros((1024, 96), np.int8)  # a byte changes a prefix's count by less than the longest token
         self.state(((0, b"", 0),))
 
     def encode(self, piece: bytes) -> list[bytes]:
@@ -191,7 +193,7 @@ class BpeTransducer:
         """
         found = self.pairs.get((a, b))
         if found is None:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) > MAX_KNOWN:
                 self.pairs.clear()
             if not a:
                 found = self.encode(b) == [b]
@@ -218,7 +220,7 @@ class BpeTransducer:
         """Whether some token beyond node may follow before (taken for granted below nodes with many tokens)."""
         found = self.open.get((node, before))
         if found is None:
-            if len(self.open) > 2_000_000:
+            if len(self.open) > MAX_KNOWN:
                 self.open.clear()
             below = self.below[node]
             found = self.open[node, before] = len(below) >= MANY or any(self.follows(before, t) for t in below)
@@ -230,15 +232,16 @@ class BpeTransducer:
             found = self.ids[key] = len(self.states)
             self.states.append(key)
             if found >= len(self.next):
-                self.next = np.concatenate([self.next, np.full_like(self.next, -1)])
-                self.change = np.concatenate([self.change, np.zeros_like(self.change)])
+                more = len(self.next) // 4
+                self.next = np.concatenate([self.next, np.full_like(self.next[:more], -1)])
+                self.change = np.concatenate([self.change, np.zeros_like(self.change[:more])])
         return found
 
     def column(self, byte: int) -> int:
         if not self.columns[byte]:
             if self.used == self.next.shape[1]:
                 self.next = np.concatenate([self.next, np.full((len(self.next), 32), -1, np.int32)], axis=1)
-                self.change = np.concatenate([self.change, np.zeros((len(self.change), 32), np.int16)], axis=1)
+                self.change = np.concatenate([self.change, np.zeros((len(self.change), 32), np.int8)], axis=1)
             self.columns[byte] = self.used
             self.used += 1
         return int(self.columns[byte])
