@@ -1,7 +1,7 @@
 """Live traces: windowed counts, and sessions as keyed state with a time-out, over Structured Streaming.
 
-Both read the trace files as a stream, take all that is there and end. Late rows beyond the watermark are dropped by
-Spark; the reference window is event time. Results are written by batch to the shared folder, so they survive a lost
+Both read the trace files as a stream, take all that is there and end. Rows later than the watermark are dropped by
+Spark; time is event time throughout. Results are written by batch to the shared folder, so they survive a lost
 executor and a restart picks up at the last committed batch.
 """
 
