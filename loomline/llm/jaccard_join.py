@@ -189,7 +189,7 @@ def _merge_skip(lists: list[np.ndarray], needed: int) -> Iterator[tuple[int, int
                 heapq.heappush(heap, (int(lists[k][at]), k, at))
 
 
-def common_shingles(docs: DataFrame, k: int, rate: int = 16, least: int = 8, most: int = 1_000_000) -> np.ndarray:
+def common_shingles(docs: DataFrame, k: int, rate: int = 16, least: int = 8, most: int = 200_000) -> np.ndarray:
     """Sorted hashes of shingles in at least max(least, 1 in 10,000) of every rate-th document by hash of doc_id; most at most.
 
     It only steers the routing, which is exact with any list; so a sample is enough, and the list's size is bounded.
@@ -206,7 +206,7 @@ def common_shingles(docs: DataFrame, k: int, rate: int = 16, least: int = 8, mos
     # Those seen once in a slice are left out, which can only shorten the list.
     floor = max(least, docs.count() // rate // 10_000)
     found = sample.mapInPandas(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= floor).orderBy(F.desc("c"), "h").limit(most)
-    return np.sort(np.array([r.h for r in found.collect()], np.int64).view(np.uint64))
+    return np.sort(found.select("h").toArrow()["h"].to_numpy().astype(np.int64).view(np.uint64))
 
 
 def _route(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
