@@ -18,8 +18,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8 or more), the smallest doc_id stays."""
-    return jaccard_join.one_of_each(docs, k=5, num=4, den=5)
+    """Of each group of near copies (five-word shingles, similarity 0.8 or more), the row of the smallest doc_id stays, else one of those without.
+
+    Unlike texts are no copies, whether they have no doc_id or share one.
+    """
+    return jaccard_join.one_of_each(docs, k=5, num=4, den=5, one_per_id=False)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

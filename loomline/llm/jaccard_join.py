@@ -18,6 +18,8 @@ Two documents link when their shingle sets' Jaccard similarity is num / den or m
    reach the required overlap are kept; those already connected are passed over, as they can't change a component.
 4. The links' components, with the smallest doc_id of each, go back to the documents by set key.
 
+Documents are told apart by doc_id and the text's hash, never by doc_id alone, so those without one take part as all others.
+
 Cases: a null or wordless text has an empty set and links with nothing, not even another empty one; fewer than k
 words make one shingle; repeated rows and repeated texts share a component; a null doc_id takes no part in a
 component's minimum and its row keeps its component; an empty table gives no rows; other columns are ignored.
@@ -280,7 +282,7 @@ def _route(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
             if len(a):
                 yield pd.DataFrame({"kind": np.full(len(a), 1, np.int32), "a": pd.Series(a, dtype="Int64"), "b": b, "n": n, "tag": 0})
 
-    sent = docs.select(F.col("doc_id").cast("long"), "text", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("tag")).mapInPandas(blocks, "reducer int, kind int, block binary").repartition(p, "reducer").select("kind", "block")
+    sent = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("tag")).mapInPandas(blocks, "reducer int, kind int, block binary").repartition(p, "reducer").select("kind", "block")
     return materialise(sent.mapInPandas(tie, "kind int, a long, b long, n long, tag long"), "jaccard-route")
 
 
@@ -308,10 +310,11 @@ def _search(rows: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _member_sets(docs: DataFrame, members: DataFrame, k: int, n_members: int) -> DataFrame:
-    """members: doc_id, node and more. Adds shingles, the set as bytes, from the document doc_id."""
-    table = F.broadcast(members) if n_members <= BROADCAST_ROWS else members
-    joined = docs.select(F.col("doc_id").cast("long"), "text").join(table, "doc_id")
-    more = [f for f in members.schema if f.name != "doc_id"]
+    """members: doc_id (may be null), tag, node and more. Adds shingles, the set as bytes, from a document of that doc_id and tag."""
+    table = members.withColumnsRenamed({"doc_id": "__id", "tag": "__tag"})
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__tag"))
+    joined = docs.select("doc_id", "text").join(F.broadcast(table) if n_members <= BROADCAST_ROWS else table, same).drop("doc_id", "__id", "__tag")
+    more = [f for f in members.schema if f.name not in ("doc_id", "tag")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -321,22 +324,26 @@ def _member_sets(docs: DataFrame, members: DataFrame, k: int, n_members: int) ->
                 starts = ends - np.diff(ends, prepend=0)
                 part = b.iloc[i:j][[f.name for f in more]].copy()
                 part["shingles"] = [hashes[s:e].tobytes() for s, e in zip(starts, ends, strict=True)]
-                yield part[set_keys(hashes, ends) == part["node"].to_numpy()]  # a doc_id may stand on several rows
+                yield part[set_keys(hashes, ends) == part["node"].to_numpy()]
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in more) + ", shingles binary"
     return joined.mapInPandas(run, schema).dropDuplicates(["node"])
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """doc_id, n_shingles, set_key, tag (the text's xxhash64), component_id for every row of docs (doc_id, text)."""
+    """doc_id, n_shingles, set_key, tag (the text's xxhash64), component_id, component for every row of docs (doc_id, text).
+
+    component_id is the component's smallest doc_id, null if none of its rows has one; component is a set key that names
+    the component in any case (null for an empty set, which is in none).
+    """
     route = _route(docs, k, num, den)
     ties, light = route.where("kind = 1"), route.where("kind = 2").select(F.col("a").alias("doc_id"), F.col("b").alias("set_key"), F.col("n").alias("n_shingles"), "tag")
     nodes = components(ties)
-    first = light.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
+    first = light.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.coalesce(F.min_by("tag", "doc_id"), F.min("tag")).alias("tag"), F.max("n_shingles").alias("n"))
     weight = ties.select(F.col("a").alias("node"), "n").union(ties.select(F.col("b"), "n")).groupBy("node").agg(F.sum("n").alias("weight"))
-    members = nodes.withColumnRenamed("component", "comp").join(weight, "node").join(first.withColumnRenamed("set_key", "node"), "node").where("doc_id is not null")
+    members = nodes.withColumnRenamed("component", "comp").join(weight, "node").join(first.withColumnRenamed("set_key", "node"), "node")
     sizes = members.groupBy("comp").agg(F.count("*").alias("comp_size"), _blocks("n").alias("chunks"))
-    members = materialise(members.join(sizes, "comp").where("comp_size > 1").select("doc_id", "node", "n", "comp", "chunks", "weight"), "jaccard-members")
+    members = materialise(members.join(sizes, "comp").where("comp_size > 1").select("doc_id", "tag", "node", "n", "comp", "chunks", "weight"), "jaccard-members")
     n_members = members.count()
     links = None
     if n_members:
@@ -344,36 +351,50 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
         links = _links(sets, num, den)
     first = first.select("set_key", F.col("doc_id").alias("first_id"))
     if links is None:
-        merged = first.select("set_key", F.col("first_id").alias("component_id"))
+        merged = first.select("set_key", F.col("first_id").alias("component_id"), F.col("set_key").alias("component"))
     else:
         comp = components(links)
         labelled = first.join(comp.withColumnRenamed("node", "set_key"), "set_key", "left")
         least = labelled.where("component is not null").groupBy("component").agg(F.min("first_id").alias("least"))
-        merged = labelled.join(least, "component", "left").select("set_key", F.coalesce("least", "first_id").alias("component_id"))
+        merged = labelled.join(least, "component", "left").select("set_key", F.coalesce("least", "first_id").alias("component_id"), F.coalesce("component", "set_key").alias("component"))
     # the empty set's rows are their own components; its key, which many rows may have, isn't joined
     some = light.where("n_shingles > 0").join(merged, "set_key", "left")
-    none = light.where("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
-    return some.select("doc_id", "n_shingles", "set_key", "tag", F.coalesce("component_id", "doc_id").alias("component_id")).union(none.select("doc_id", "n_shingles", "set_key", "tag", "component_id"))
+    none = light.where("n_shingles = 0").withColumn("component_id", F.col("doc_id")).withColumn("component", F.lit(None).cast("long"))
+    columns = ["doc_id", "n_shingles", "set_key", "tag", "component_id", "component"]
+    return some.withColumn("component_id", F.coalesce("component_id", "doc_id")).select(columns).union(none.select(columns))
+
 
+def one_of_each(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, one_per_id: bool = True) -> DataFrame:
+    """The rows of docs, all columns, one of each component: that of the smallest doc_id (any before none), then tag.
 
-def one_of_each(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """The rows of docs, all columns, less those with a near copy of smaller doc_id (or, of the same doc_id, another text or a repeated row).
+    A text without words is in no component and stays; of repeated rows (same doc_id and text) one stays, but for
+    wordless ones without doc_id. one_per_id: of different texts that are left under one doc_id, only the one of the
+    smallest tag stays, however unlike they are; rows without doc_id are no copies of each other for that.
 
     Rows are told apart by doc_id and the text's hash. What goes is usually little and joined by broadcast, behind a
     check of its size; above that, by shuffle.
     """
     rows = materialise(jaccard_components(docs, k, num, den), "jaccard-components")
-    stay = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.min("tag").alias("tag"), F.count("*").alias("copies"))
+    # in a component, all that qualify have the same doc_id, or all have none
+    best = rows.where("n_shingles > 0").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component")
+    stay = best.agg(F.min("doc_id").alias("doc_id"), F.min("tag").alias("tag"), F.count("*").alias("copies")).drop("component")
+    rest = rows.where("n_shingles > 0 or doc_id is not null")  # others stay in any case
+    stay = stay.union(rest.where("n_shingles = 0").groupBy("doc_id", "tag").agg(F.count("*").alias("copies")))
+    if one_per_id:
+        of_id = stay.where("doc_id is not null").groupBy("doc_id").agg(F.min("tag").alias("tag"), F.sum("copies").alias("copies"))
+        stay = of_id.union(stay.where("doc_id is null"))
     twice = materialise(stay.where("copies > 1").select("doc_id", "tag"), "jaccard-twice")
-    first = rows.join(stay.select(F.col("doc_id").alias("s"), F.col("tag").alias("t")), F.col("doc_id").eqNullSafe(F.col("s")) & (F.col("tag") == F.col("t")), "left_anti")
+    first = rest.join(stay.select(F.col("doc_id").alias("s"), F.col("tag").alias("t")), F.col("doc_id").eqNullSafe(F.col("s")) & (F.col("tag") == F.col("t")), "left_anti")
     go = materialise(first.select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag")).distinct(), "jaccard-go")
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.coalesce(F.xxhash64("text"), F.lit(0)) == F.col("__tag"))
+    tag = F.xxhash64("text")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (tag == F.col("__tag"))
     small = lambda t: F.broadcast(t) if t.count() <= BROADCAST_ROWS else t
     kept = docs.join(small(go), same, "left_anti")
     if twice.isEmpty():
         return kept
     twice = small(twice.select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag")))
-    return kept.join(twice, same, "left_anti").union(kept.join(twice, same, "left_semi").dropDuplicates(["doc_id"]))
+    one = kept.join(twice, same, "left_semi").withColumn("__tag", tag).dropDuplicates(["doc_id", "__tag"]).drop("__tag")
+    return kept.join(twice, same, "left_anti").union(one)
 
 
 def _blocks(n: str) -> Column:

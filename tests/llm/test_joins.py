@@ -113,6 +113,24 @@ def test_join_edges(spark):
     assert jaccard_join.one_of_each(twice).count() == 1
 
 
+def test_one_row_of_each_component(spark):
+    import corpus_pipeline
+
+    text = lambda name, n=40: " ".join(f"{name}{i}" for i in range(n))
+    rows = [(None, text("a")), (None, text("a")), (None, text("b")), (None, text("b") + " more"), (None, text("c") + " more"), (3, text("c")), (4, text("d")), (4, text("e")), (4, text("e"))]
+    rows += [(5, text("e") + " more"), (6, text("f")), (None, text("g")), (None, ""), (None, ""), (None, None), (7, ""), (7, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = jaccard_join.jaccard_components(df, 5, 4, 5).collect()
+    assert len(found) == len(rows)
+    named = {}
+    for r in found:
+        if r.n_shingles:
+            named.setdefault(r.component, set()).add(r.component_id)
+    assert sorted((min(x, key=str) or 0) for x in named.values()) == [0, 0, 0, 3, 4, 4, 6] and all(len(x) == 1 for x in named.values())
+    kept = [(r.doc_id, (r.text or "").split(" ")[0]) for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()]
+    assert sorted(kept, key=str) == sorted([(None, "a0"), (None, "b0"), (3, "c0"), (4, "d0"), (4, "e0"), (6, "f0"), (None, "g0"), (None, ""), (None, ""), (None, ""), (7, "")], key=str)
+
+
 def test_component_chains(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)], "a long, b long")
     out = {r.node: r.component for r in components(edges).collect()}
