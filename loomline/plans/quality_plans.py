@@ -34,7 +34,7 @@ def evicted_recall(p: DataFrame) -> DataFrame:
     return p.select("conv_id", "turn", Q.evicted_recall(C("a"), C("b")).alias("evicted_recall"))
 
 
-@query("SELECT d.doc_id, b.item_id, d.text AS a, b.text AS b FROM {documents} d JOIN {benchmark} b ON b.item_id = d.doc_id % 40", f"""WITH s AS (SELECT doc_id, item_id, {_SA} AS sa, {_SB} AS sb FROM src)
+@query("SELECT d.doc_id, b.item_id, d.text AS a, b.text AS b FROM (SELECT doc_id, text, doc_id % (SELECT count(*) FROM {benchmark}) AS k FROM {documents}) d JOIN {benchmark} b ON b.item_id = d.k", f"""WITH s AS (SELECT doc_id, item_id, {_SA} AS sa, {_SB} AS sb FROM src)
     SELECT doc_id, item_id, CASE WHEN len(sa) > 0 AND len(sb) > 0 THEN round({_INTER.format(a='sa', b='sb')} / len(sb), 6) END AS source_recall FROM s""")
 def source_recall(p: DataFrame) -> DataFrame:
     return p.select("doc_id", "item_id", Q.recall(Q.word_set(C("b")), Q.word_set(C("a"))).alias("source_recall"))
@@ -86,7 +86,7 @@ def vocab_delta(p: DataFrame) -> DataFrame:
 
 
 # Two texts with Markdown structure for each document.
-MARKED = "SELECT doc_id, '# Head' || chr(10) || replace(substr(text, 1, 400), '. ', chr(10) || '- ') || chr(10) || '> q' AS a, '## Other' || chr(10) || replace(substr(text, 1, 300), '. ', chr(10) || '1. ') || chr(10) || '- x' AS b FROM {documents}"
+MARKED = "SELECT doc_id, '# Head' || chr(10) || replace(text, '. ', chr(10) || '- ') || chr(10) || '> q' AS a, '## Other' || chr(10) || replace(text, '. ', chr(10) || '1. ') || chr(10) || '- x' AS b FROM {documents}"
 _CNT = lambda col, p: f"len(regexp_extract_all({col}, '{p}'))"
 _MD_LOW = " + ".join(f"least({_CNT('a', p)}, {_CNT('b', p)})" for p in Q.STRUCTURE.values())
 _MD_HIGH = " + ".join(f"greatest({_CNT('a', p)}, {_CNT('b', p)})" for p in Q.STRUCTURE.values())
@@ -147,7 +147,7 @@ def code_structure(p: DataFrame) -> DataFrame:
     return k.select("id", F.when(F.size("ka") == 0, 1.0).otherwise(F.round(C("n") / F.greatest(F.size("ka") + F.size("kb") - C("n"), F.lit(1)), 4)).alias("consistency"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '[ARCHIVED x] ' ELSE '' END || CASE WHEN doc_id % 7 = 0 THEN '[PROGRESS 1]' ELSE '' END || substr(text, 1, 50) AS t FROM {documents}", "SELECT doc_id, coalesce(array_to_string(list_filter(['[ARCHIVED', '[REASONING', '[PROGRESS', '[LOOP DETECTED'], lambda m: contains(t, m)), ','), '') AS leaked FROM src")
+@query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '[ARCHIVED x] ' ELSE '' END || CASE WHEN doc_id % 7 = 0 THEN '[PROGRESS 1]' ELSE '' END || text AS t FROM {documents}", "SELECT doc_id, coalesce(array_to_string(list_filter(['[ARCHIVED', '[REASONING', '[PROGRESS', '[LOOP DETECTED'], lambda m: contains(t, m)), ','), '') AS leaked FROM src")
 def foreign_markers(d: DataFrame) -> DataFrame:
     return d.select("doc_id", F.array_join(Q.leaked(C("t")), ",").alias("leaked"))
 

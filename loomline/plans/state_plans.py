@@ -53,9 +53,9 @@ def pinned_facts(m: DataFrame) -> DataFrame:
     return S.pinned(m)
 
 
-@query(MESSAGES, f"WITH f AS (SELECT conv_id, {_PIN} AS flat, string_agg(substr(content, 1, 10), chr(10) ORDER BY turn) AS texts FROM src GROUP BY conv_id) SELECT conv_id, 'Context summary (rolling):' || chr(10) || 'Key facts (from original request): ' || CASE WHEN length(flat) <= 500 THEN flat ELSE rtrim(substr(flat, 1, 497)) || '...' END || chr(10) || texts AS block FROM f")
+@query(MESSAGES, f"WITH f AS (SELECT conv_id, {_PIN} AS flat, string_agg(content, chr(10) ORDER BY turn) AS texts FROM src GROUP BY conv_id) SELECT conv_id, 'Context summary (rolling):' || chr(10) || 'Key facts (from original request): ' || CASE WHEN length(flat) <= 500 THEN flat ELSE rtrim(substr(flat, 1, 497)) || '...' END || chr(10) || texts AS block FROM f")
 def rolling_block_text(m: DataFrame) -> DataFrame:
-    texts = m.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.substring("content", 1, 10).alias("v")))), lambda s: s["v"]).alias("texts"))
+    texts = m.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.col("content").alias("v")))), lambda s: s["v"]).alias("texts"))
     return texts.join(S.pinned(m), "conv_id").select("conv_id", S.block_text(C("facts"), C("texts")).alias("block"))
 
 

@@ -129,7 +129,7 @@ def task_class(m: DataFrame) -> DataFrame:
     return m.select("id", task.alias("task"), T.template_version(task).alias("version"), T.partition_key(task, C("content")).alias("partition_key"))
 
 
-@query("SELECT doc_id, '“' || substr(text, 1, 40) || '” – … ’x’ — ' || '€' AS content FROM {documents}", "SELECT doc_id, regexp_replace(replace(translate(content, '‘’“”–—', '''''\"\"--'), '…', '...'), '[^\\x00-\\x{FF}]', '', 'g') AS folded FROM src")
+@query("SELECT doc_id, '“' || text || '” – … ’x’ — ' || '€' AS content FROM {documents}", "SELECT doc_id, regexp_replace(replace(translate(content, '‘’“”–—', '''''\"\"--'), '…', '...'), '[^\\x00-\\x{FF}]', '', 'g') AS folded FROM src")
 def header_safe(d: DataFrame) -> DataFrame:
     return d.select("doc_id", T.header_safe(C("content")).alias("folded"))
 

@@ -157,3 +157,20 @@ def test_sessions_of_stream_match_batch(spark):
     total = batch.groupBy("user_id").agg(F.sum("n").alias("n"))
     late = ended.join(total.withColumnRenamed("n", "all"), "user_id").where("n > all").count()
     assert late == 0 and ended.count() > 0
+
+
+def test_queries_read_whole_texts(spark, tmp_path):
+    from loomline.plans.catalog import QUERIES
+
+    far = "plain words " * 200
+    texts = {1: far + "[REASONING", 2: far + "\n> quoted\n```\ncode", 3: far + "漢 … “end”", 205: far}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, f"item{i} words") for i in range(200)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(1, 0, "user", "hello"), (1, 1, "assistant", far + "end")], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    rows = lambda name: {r[0]: r for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    assert rows("foreign_markers")[1].leaked == "[REASONING"
+    like = rows("markdown_structure")
+    assert like[2].likeness == round(3 / 5, 6) and like[1].likeness == round(1 / 3, 6)
+    assert rows("header_safe")[3].folded == f"\"{far} ... \"end\"\" - ... 'x' - "
+    assert rows("rolling_block_text")[1].block.endswith("hello\n" + far + "end")
+    assert {k: r.item_id for k, r in rows("source_recall").items()} == {1: 1, 2: 2, 3: 3, 205: 5}
