@@ -5,7 +5,8 @@ vary are the digits of a number in mixed radix (each place has the alphabet of i
 network permutes. So different entities of a format get different surrogates and one entity gets the same one in every
 document, without any table. Places that make a value valid (card and account check digits, private address ranges,
 country codes, top-level domains) are kept or recomputed. Known given names are permuted within the list of their
-gender and script; other names keep vowels and consonants apart, so that they can be spoken.
+gender and script; other names keep vowels and consonants apart, so that they can be spoken, and the endings that
+tell a gender. Titles stay as they are; unlisted names aren't drawn from a title's list, which has too few for all.
 
 Each document is checked: a surrogate that equals its original, or that of another entity there, is drawn anew under
 the next attempt's key.
@@ -40,19 +41,33 @@ GIVEN = {
     ("m", "GREEK"): "Ανδρέας Γιάννης Γιώργος Δημήτρης Κώστας Νίκος Παύλος Πέτρος".split(),
     ("f", "GREEK"): "Άννα Ειρήνη Ελένη Ζωή Κατερίνα Μαρία Σοφία Χριστίνα".split(),
 }
+#: Endings of names that tell a gender, kept as they are.
+ENDINGS = sorted("skaya sky ski ska ová ova eva ov ev a ская ский цкая цкий ова ева ёва ов ев ёв ина ин ына ын ая а я οπούλου όπουλος ου ος ης ας α η".split(), key=len, reverse=True)
+#: Lower-case words within names, kept as they are.
+PARTICLES = "van von vom der den de het la le du da di do dos das del della ter ten zu zum zur el al bin ibn y".split()
+#: Country codes of one and of two digits; all others have three.
+CODES = set("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 _VOWELS = set("aeiouyáàâäãåéèêëíìîïóòôöõúùûüаеёиоуыэюяαεηιουωάέήίόύώ")
 
+_UPPER = "".join(c for c in map(chr, range(0x110000)) if unicodedata.category(c) in ("Lu", "Lt"))
+_CASELESS = r"(?:(?![%s])[^\W\d_])" % "".join(c for c in map(chr, range(0x3000)) if c.lower() != c or c.upper() != c)
+_WORD = rf"(?:(?:[{_UPPER}]\.)+|[{_UPPER}](?:[^\W\d_]|['’](?!s(?!\w))(?=[^\W\d_]))*)"
+_TITLE = "|".join(sorted(TITLES, key=len, reverse=True))
+_PARTICLES = rf"(?:(?:{'|'.join(PARTICLES)}) )*"
+# Capitalised words, initials and particles between them; a lone letter is no name. Without capitals, two words.
+_NAME = rf"{_PARTICLES}(?=[{_UPPER}](?:[^\W\d_]|['’][^\W\d_]|\.?[ -]?[{_UPPER}])){_WORD}(?:(?:[ -]|(?<=\.))(?!I(?![\w.'’])){_PARTICLES}{_WORD})*|{_CASELESS}{{2,}}(?:[ -]{_CASELESS}{{2,}})?"
+
 # The order matters: of what begins at one place, the first pattern that fits is taken.
 PATTERN = re.compile(
     r"(?P<email>[\w.+-]+@[\w-]+(?:\.[\w-]+)+)"
     r"|(?<![A-Za-z])(?i:token|secret|password|passwd|(?:api[_-]?)?key)[\"']? ?[=:] ?[\"']?(?P<secret>(?=[\w\-]*\d)[A-Za-z0-9_\-]{8,})"
     r"|(?P<access>(?<!\w)AKIA[0-9A-Z]{16}(?!\w))"
-    r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?!\w)|(?<!\w)\(\d{3}\) ?\d{3}-\d{4}(?!\w)|(?<![\w-])\d{3}[-.]\d{3}[-.]\d{4}(?![\w-]))"
+    r"|(?P<phone>(?<![\w+])\+\d(?:[ .\-/\xa0]?\(?\d\)?){6,14}(?!\w)|(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?!\w)|(?<!\w)\(\d{3}\) ?\d{3}-\d{4}(?!\w)|(?<![\w-])\d{3}[-.]\d{3}[-.]\d{4}(?![\w-]))"
     rf"|(?P<ip>(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\w))"
     r"|(?P<card>(?<![\w-])(?:\d{4}(?:[ -]?\d{4}){3}|\d{4}[ -]?\d{6}[ -]?\d{5})(?![\w-]))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
-    rf"|(?<!\w)(?:{'|'.join(sorted(TITLES, key=len, reverse=True))})\.? (?P<name>[^\W\d_]{{2,}}(?:[ -][^\W\d_]{{2,}})?)"
+    rf"|(?<!\w)(?:(?:{_TITLE})\.? )+(?P<name>{_NAME})"
 )
 
 
@@ -127,9 +142,10 @@ def _email(s: str, key: bytes, tweak: str) -> str:
 
 
 def _phone(s: str, key: bytes, tweak: str) -> str:
-    code = m[0] if (m := re.match(r"\+\d{1,3}(?=[ .-])", s)) else ""
-    digits = re.sub(r"\D", "", s[len(code) :])
-    return code + _put_digits(s[len(code) :], redraw(digits, key, tweak))
+    """The country code stays, however the number is written."""
+    digits = re.sub(r"\D", "", s)
+    code = next((n for n in (1, 2) if digits[:n] in CODES), 3) if s[0] == "+" else 0
+    return _put_digits(s, digits[:code] + redraw(digits[code:], key, tweak))
 
 
 def _ip(s: str, key: bytes, tweak: str) -> str:
@@ -182,21 +198,35 @@ def given_gender(word: str) -> str:
     return next((g for (g, _), names in GIVEN.items() if word in names), "")
 
 
+def _ending(word: str) -> str:
+    low = word.lower()
+    return next((word[len(word) - len(e) :] for e in ENDINGS if len(word) > len(e) + 1 and low.endswith(e)), "")
+
+
+def _spoken(word: str, key: bytes, tweak: str) -> str:
+    """Other letters but for the ending; words of one ending are permuted among themselves, listed given names left out."""
+    end = _ending(word)
+    new = word
+    while True:
+        new = redraw(new[: len(new) - len(end)], key, f"{tweak}|{end.lower()}" if end else tweak, "spoken") + end
+        if not given_gender(new) and _ending(new) == end:
+            return new
+
+
 def _name(s: str, key: bytes, tweak: str) -> str:
     """Given names by list, else and for surnames by spoken letters; each word by itself, so that a surname alone is the same."""
     out = []
     for word in re.split(r"([ -])", s):
-        gender = given_gender(word)
+        gender = "" if tweak.endswith("|wide") else given_gender(word)
         if gender:
             names = GIVEN[gender, _script(word)]
             out.append(names[permute(names.index(word), len(names), key, f"{tweak}|{gender}")])
-        elif word in (" ", "-"):
+        elif word in (" ", "-", *PARTICLES):
             out.append(word)
+        elif given_gender(word):
+            out.append(redraw(word, key, tweak, "spoken"))
         else:
-            new = redraw(word, key, tweak, "spoken")
-            while given_gender(new):
-                new = redraw(new, key, tweak, "spoken")
-            out.append(new)
+            out.append(_spoken(word, key, tweak))
     return "".join(out)
 
 
@@ -228,12 +258,6 @@ def entities(text: str) -> list[tuple[int, int, str]]:
             lo, hi = m.span(kind)
             if kind == "iban" and not iban_valid(m[kind]):
                 continue
-            if kind == "name":  # a name's words are capitalised, where the script has capitals
-                words = re.split("[ -]", m[kind])
-                if words[0] == words[0].lower() != words[0].upper():
-                    continue
-                if len(words) > 1 and words[1] == words[1].lower() != words[1].upper():
-                    hi = lo + len(words[0])
             found.append((start + lo, start + hi, kind))
     return found
 

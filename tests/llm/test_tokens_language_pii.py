@@ -114,6 +114,28 @@ def test_surrogates():
     assert [len(a) for a in out.split(" ")] and len(pii.entities(out)) == len(found)
 
 
+def test_whole_phones_and_names():
+    cases = {"+14155552671": ["4155552671"], "+49 30 12345678": ["12345678"], "+44 20 79460958": ["79460958"], "+33 1 23 45 67 89": ["23 45 67"], "+44 (0)20/79460958": ["79460958"]}
+    for t, gone in cases.items():
+        out, found = pii.replace(f"call {t}, or not", KEY)
+        assert [k for k, _ in found] == ["phone"] and len(out) == len(f"call {t}, or not") and not any(g in out for g in gone), (t, out)
+    assert len({pii.canonical("phone", pii.replace(t, KEY)[1][0][1]) for t in ("+14155552671", "+1 415 555 2671", "415-555-2671")}) == 1
+    assert len({pii.canonical("phone", pii.replace(t, KEY)[1][0][1]) for t in ("+33123456789", "+33 1 23 45 67 89")}) == 1
+    names = {
+        "Frau Anna-Lena Schmidt": ["Schmidt"], "Mr John Paul Jones": ["Jones"], "Mrs. Mary J. Smith": ["Smith"], "Mr. O'Brien": ["Brien"], "Mr J.R. Hartley": ["Hartley"], "Mr J. Smith": ["Smith"],
+        "Herr Ludwig van Beethoven": ["Ludwig", "Beethoven"], "Prof. Dr. Clara Lang": ["Clara", "Lang"], "г-жа Анастасия Иванова": ["Анастаси", "Иван"],
+    }
+    for t, gone in names.items():
+        out, found = pii.replace(f"so {t} said to bob@x.org", KEY)
+        assert [k for k, _ in found] == ["name", "email"] and not any(g in out for g in gone), (t, out)
+        assert out.startswith(f"so {t.split(' ')[0]} ") and " said to " in out
+    assert pii.replace("г-жа Анастасия Иванова", KEY)[0].endswith("ова")
+    assert pii.replace("Mr Smith's hat. The end", KEY)[0].endswith("'s hat. The end")
+    assert [k for k, _ in pii.replace("Mr president of bob@x.org", KEY)[1]] == ["email"]
+    stems = [a + b + c + e for a in "bcdf" for b in "aei" for c in "lmn" for e in ("ova", "ov", "er", "a")]
+    assert len({pii.replace(f"Mr {x.capitalize()}", KEY)[0] for x in stems}) == len(stems)
+
+
 def test_permutation_is_one():
     for size in (2, 3, 10, 100, 257):
         assert sorted(pii.permute(i, size, KEY, "t") for i in range(size)) == list(range(size))
