@@ -9,7 +9,8 @@ gender and script; other names keep vowels and consonants apart, so that they ca
 tell a gender. Titles stay as they are; unlisted names aren't drawn from a title's list, which has too few for all.
 
 Each document is checked: a surrogate that equals its original, or that of another entity there, is drawn anew under
-the next attempt's key.
+the next attempt's key. After ATTEMPTS of them, listed given names get letters as other names do, then names and
+the local parts of emails grow by a letter; the other formats are far larger than a document, and an error is raised if one is used up.
 
 Cases: null texts stay null with no entities; texts without entities are returned as they are; repeated rows are
 treated alike; a null doc_id is kept; an empty table gives no rows; other columns are ignored.
@@ -94,7 +95,8 @@ def permute(value: int, size: int, key: bytes, tweak: str) -> int:
 def alphabet(c: str, kind: str) -> str:
     """What a character may become, itself included; kind: 'hex', 'spoken' (vowels and consonants apart) or ''."""
     if c.isdecimal():
-        return "0123456789" if c.isascii() else c
+        zero = ord(c) - unicodedata.decimal(c)
+        return "".join(map(chr, range(zero, zero + 10)))
     low = c.lower()
     if len(low) != 1 or not c.isalpha():
         return c
@@ -262,6 +264,27 @@ def entities(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
+#: Draws of a surrogate within its format; the last free value of 40 is missed with a chance below 1e-10.
+ATTEMPTS = 1000
+
+
+def _draw(kind: str, s: str, own: str, taken: dict[tuple[str, str], str], key: bytes, first: int) -> tuple[str, int]:
+    """The first surrogate from attempt first on that neither equals the entity nor another's surrogate, and its attempt."""
+    for attempt in range(first, 3 * ATTEMPTS):
+        tweak, wide = (f"{kind}|{attempt}" if attempt else kind), attempt >= ATTEMPTS
+        if wide and kind == "email":
+            new = "x" * (attempt // ATTEMPTS) + DRAW[kind](s, key, tweak)
+        else:
+            new = DRAW[kind](s, key, f"{tweak}|wide" if wide and kind == "name" else tweak)
+            if kind == "name" and attempt >= 2 * ATTEMPTS:
+                new += new[-1]
+        form = canonical(kind, new)
+        if form != own and taken.get((kind, form), own) == own:
+            taken[kind, form] = own
+            return new, attempt
+    raise ValueError(f"a document has so many entities of kind {kind} that no surrogate of this format is free")
+
+
 def replace(text: str | None, key: bytes) -> tuple[str | None, list[tuple[str, str]]]:
     """The text with surrogates, and (kind, surrogate) of each entity in order."""
     if not text:
@@ -270,16 +293,9 @@ def replace(text: str | None, key: bytes) -> tuple[str | None, list[tuple[str, s
     taken: dict[tuple[str, str], str] = {}
     drawn: dict[tuple[str, str], int] = {}
     for start, end, kind in entities(text):
-        s, draw = text[start:end], DRAW[kind]
+        s = text[start:end]
         own = canonical(kind, s)
-        attempt = drawn.get((kind, own), 0)
-        while True:
-            new = draw(s, key, kind if not attempt else f"{kind}|{attempt}")
-            seen = taken.setdefault((kind, canonical(kind, new)), own)
-            if (seen == own and canonical(kind, new) != own) or attempt > 50:
-                break
-            attempt += 1
-        drawn[kind, own] = attempt
+        new, drawn[kind, own] = _draw(kind, s, own, taken, key, drawn.get((kind, own), 0))
         parts += [text[at:start], new]
         at = end
         out.append((kind, new))

@@ -136,6 +136,24 @@ def test_whole_phones_and_names():
     assert len({pii.replace(f"Mr {x.capitalize()}", KEY)[0] for x in stems}) == len(stems)
 
 
+def test_used_up_formats_stay_distinct(monkeypatch):
+    formats = [[f"Κυρία {n}" for n in pii.GIVEN["f", "GREEK"]], [f"Mr {n}" for n in pii.GIVEN["m", "LATIN"]], [f"{a}@b.org" for a in "abcdefghijklmnopqrstuvwxyz0123456789"]]
+    for texts in formats:
+        for k in range(40):
+            key = b"key %d" % k
+            out, found = pii.replace(", ".join(texts), key)
+            own = [t.split(" ")[-1].lower() for t in texts]
+            new = [x.lower() for _, x in found]
+            assert len(set(new)) == len(texts) and not any(a == b for a, b in zip(own, new, strict=True))
+    short = [f"Mr {a}{b}" for a in "BCDFGHJKLMNPQRSTVWXZ" for b in "aeiouy"]
+    assert len({x.lower() for _, x in pii.replace(", ".join(short), KEY)[1]}) == len(short)
+    arabic = "no 7: +٩٦٦ ٥٠ ١٢٣ ٤٥٦٧"
+    assert pii.replace(arabic, KEY)[0] != arabic and pii.replace("_@example.com", KEY)[0] != "_@example.com"
+    monkeypatch.setitem(pii.DRAW, "ssn", lambda s, key, tweak: "123-45-6789")
+    with pytest.raises(ValueError, match="ssn"):
+        pii.replace("123-45-6789", KEY)
+
+
 def test_permutation_is_one():
     for size in (2, 3, 10, 100, 257):
         assert sorted(pii.permute(i, size, KEY, "t") for i in range(size)) == list(range(size))
