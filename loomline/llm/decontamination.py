@@ -4,8 +4,8 @@ The items' inverted index is small (a benchmark), is built once and broadcast be
 BM25 weights divided by the item's own score, so a passage's score is the share of an item's weight that it covers,
 and one threshold holds for all items. Postings are cut into blocks of items with each term's largest impact.
 
-Passages are windows of two strides, a stride being the longest item, so any item lies whole within one. A passage's
-distinct terms are its query. Block-max bounds of all passages of a slice are summed in numpy first; only passages
+Passages are windows of two strides, a stride being the longest item, so any item lies whole within one. Both are
+counted in terms; words without a letter or digit take no place. A passage's distinct terms are its query. Block-max bounds of all passages of a slice are summed in numpy first; only passages
 whose bound in some block reaches the threshold go through WAND, which retrieves every item that reaches it. Bounds
 never fall below scores, so nothing is lost. For what is retrieved, the shares of the question's and of the answer's
 word 5-grams that occur in the passage are measured; both must reach the least overlap.
@@ -65,7 +65,7 @@ def grams(words: list[str], n: int = GRAM) -> set[tuple[str, ...]]:
 
 
 class TermIds(dict):
-    """white-space word -> term id, -1 if no item has it; remembered, and forgotten as a whole when grown to most entries."""
+    """white-space word -> term id, -1 if no item has it, -2 if it has no letter or digit; remembered, and forgotten as a whole when grown to most entries."""
 
     def __init__(self, ids: dict[str, int], most: int = 200_000):
         super().__init__()
@@ -74,7 +74,7 @@ class TermIds(dict):
     def __missing__(self, raw: bytes) -> int:
         if len(self) >= self.most:
             self.clear()
-        found = self[raw] = self.ids.get(term(raw), -1)
+        found = self[raw] = self.ids.get(t, -1) if (t := term(raw)) else -2
         return found
 
 
@@ -154,6 +154,9 @@ class BlockMaxIndex:
         split = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
         sizes = np.array([len(w) for w in split], np.int64)
         ids = np.fromiter(map(self.term_id.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
+        if (ids == -2).any():
+            sizes = np.bincount(np.repeat(np.arange(len(texts)), sizes)[ids != -2], minlength=len(texts)).astype(np.int64)
+            ids = ids[ids != -2]
         strides = np.maximum(1, -(-sizes // self.stride))
         base = np.cumsum(strides) - strides
         owner = np.repeat(np.arange(len(texts)), sizes)
@@ -177,6 +180,7 @@ class BlockMaxIndex:
             bound[at[part]] = np.add.reduceat(self.block_max[tid[part[0] : end]], part - part[0], axis=0).max(axis=1)
         cuts = np.searchsorted(at, np.arange(total + 1))
         best: dict[tuple[int, int], tuple[float, float, float]] = {}
+        last, found = -1, []  # a text and its terms
         for w in np.flatnonzero(bound >= threshold).tolist():
             query = tid[cuts[w] : cuts[w + 1]].tolist()
             i = int(text_of[w])
@@ -184,7 +188,9 @@ class BlockMaxIndex:
             seen = None
             for item, score in self.wand(query, threshold):
                 if seen is None:
-                    words = [t for x in split[i][start : start + 2 * self.stride] if (t := term(x))]
+                    if i != last:
+                        last, found = i, [t for x in split[i] if (t := term(x))]
+                    words = found[start : start + 2 * self.stride]
                     seen = {n: grams(words, n) for n in range(1, GRAM + 1)}
                 q, a = (self._share(p, seen) for p in self.parts[item])
                 if min(q, a) >= least:

@@ -176,6 +176,18 @@ def test_leaks(spark):
     assert decontamination.leaks(empty(spark), bench).count() == 0 and decontamination.leaks(edge(spark), bench.limit(0)).count() == 0
 
 
+def test_symbols_take_no_place_in_a_window():
+    question, answer = [f"q{i}" for i in range(30)], [f"a{i}" for i in range(30)]
+    spaced = " = ".join(question) + " ? " + " | ".join(answer)
+    plain = " ".join(question) + "? " + " ".join(answer)
+    before = [f"w{i}" for i in range(130)]
+    for item, copy in ((spaced, spaced), (plain, spaced), (spaced, plain)):
+        index = decontamination.BlockMaxIndex([(7, item), (8, "other words. Of what? Of this")])
+        texts = [" ".join([*before[:n], copy, *before]) for n in range(130)]
+        assert [x[0] for x in index.search(texts, 0.6, 0.8)] == list(range(130))
+    assert index.search(["= | -", None, "", "- w1 ="], 0.6, 0.8) == []
+
+
 def brute_signatures(text):
     import re
 
