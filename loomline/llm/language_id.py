@@ -7,8 +7,9 @@ The automaton becomes a total transition table: where no match goes on, the step
 Texts are parsed in blocks of BLOCK symbols, all blocks of a slice in step, so a step of thousands of blocks is one
 numpy gather. Restarting a phrase at a block's border adds the same to every language.
 
-Training: text and lang only, of the rows that the caller passes as labelled. The sample is bounded by two documented
-parameters: rows_per_language rows of each language (lowest hash of doc_id) and chars_per_language characters of them.
+Training: text and lang only, of the rows that the caller passes as labelled. The sample is bounded by three documented
+parameters: rows_per_language rows of each language (lowest hash of doc_id), the first chars_per_row characters of each,
+and chars_per_language characters of them. More than MAX_LANGUAGES languages raise an error; none is left out.
 
 Cases: null or letterless text: und, score 0; no labelled rows: und for all, score 0; one language: it wins with
 score 1; ties: the first language by code point; repeated rows are predicted alike; other columns are ignored.
@@ -162,16 +163,18 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def sample(labelled: DataFrame, rows_per_language: int = 400, chars_per_language: int = 40_000) -> dict[str, str]:
-    """The training text of each language: at most chars_per_language characters of at most rows_per_language rows."""
+def sample(labelled: DataFrame, rows_per_language: int = 400, chars_per_language: int = 40_000, chars_per_row: int = 2000) -> dict[str, str]:
+    """The training text of each language: at most chars_per_language characters, of each of at most rows_per_language rows the first chars_per_row."""
     known = labelled.where("lang is not null and text is not null")
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES + 1).collect()}
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages are labelled; learn them in groups")
     out = {}
     for lang, n in sorted(counts.items()):
         h = F.xxhash64("doc_id", F.lit(6))
         # about twice the rows that are wanted go on to the top-k
         some = known.where(F.col("lang") == lang).where(F.pmod(h, F.lit(1_000_000)) < min(1_000_000, 1 + 2_000_000 * rows_per_language // n))
-        rows = some.orderBy(h, "doc_id").limit(rows_per_language).select(F.substring("text", 1, 2000).alias("t")).collect()
+        rows = some.orderBy(h, "doc_id").limit(rows_per_language).select(F.substring("text", 1, chars_per_row).alias("t")).collect()
         out[lang] = " ".join(r["t"] for r in rows)[:chars_per_language]
     return {k: v for k, v in out.items() if any(c.isalpha() for c in v)}
 

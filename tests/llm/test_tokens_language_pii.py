@@ -95,6 +95,14 @@ def test_held_out_accuracy(spark):
     assert np.mean([r.lang == r["__lang"] for r in out]) > 0.97
 
 
+def test_sample_is_bounded_openly(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "en", "ab " * 2000), (2, "de", "cd")], "doc_id long, lang string, text string")
+    assert len(language_id.sample(docs)["en"]) == 2000 and len(language_id.sample(docs, chars_per_row=5000)["en"]) == 5000
+    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 1)
+    with pytest.raises(ValueError, match="languages"):
+        language_id.sample(docs)
+
+
 KEY = b"test key"
 
 
