@@ -2,7 +2,8 @@
 
 Every source is a flow, every copy of a document a packet. A source's documents are shuffled by a keyed hash of
 doc_id; a packet's virtual finish time is the source's words up to and including it, divided by the source's target.
-The packets of all sources are range-sorted by that time and the queue is cut when the budget is spent.
+The queue of all packets by that time is cut when the budget is spent, which is at time 1 for every source; so schedule
+evaluates the cut in closed form per source, and only mix range-sorts the packets.
 
 The running sum over a source never gathers the source in one task: documents fall into cells by their hash, cells
 are summed first (with map-side combine), the sums' prefix gives each cell's offset, and only a cell is windowed.
