@@ -7,15 +7,16 @@ Two documents link when their shingle sets' Jaccard similarity is num / den or m
    parts differ. A set emits a digest of each of its fullest D + 1 parts (and of those as full): one of them is the
    same in both. Nodes that share a digest are tied to the smallest of them, and ties are closed into candidate
    components. Digests travel as blocks from each map batch; equal ones are tied there first, so a hot one costs a
-   batch one entry. Common shingles (from a sample of documents) are left out of the parts, so that a passage shared
+   batch one entry. They are dealt by ranges whose number follows the text's length, and ranges are merged one after
+   the other as their blocks arrive, so a task holds one range's different digests at most. Common shingles (from a sample of documents) are left out of the parts, so that a passage shared
    by many documents ties nothing; any such list is exact, as leaving hashes out of both sets only lowers D. A set
    with too few filled parts left emits digests of its full set as well, and at last of each hash.
 3. Search. Within each candidate component, the sets are dealt into blocks of bounded size. A component of one block
    is searched by all its members. In a larger one, a few leaders (those with most shared digests) search all blocks
    first; then every member outside the largest class so found searches all blocks. Two unlinked classes so always
    had one side searched against the other, which loses no link, and a family of n copies costs n, not n squared.
-   A search is DivideSkip: heap-merge of the short lists, binary probes into the long ones, and only candidates that
-   reach the required overlap are kept; those already connected are passed over, as they can't change a component.
+   A search is DivideSkip: heap-merge of the short lists, binary probes into the long ones (all lists lie sorted in one
+   array of list and id, so a candidate's probes are one vectorised binary search), and only candidates that reach the required overlap are kept; those already connected are passed over, as they can't change a component.
 4. The links' components, with the smallest doc_id of each, go back to the documents by set key.
 
 Documents are told apart by doc_id and the text's hash, never by doc_id alone, so those without one take part as all others.
@@ -35,14 +36,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import materialise, partitions, slices, small_batches
+from loomline.llm.common import discard, materialise, partitions, slices, small_batches, tidy
 from loomline.llm.components import components
 from loomline.llm.shingles import mix64, set_keys, shingle_sets
 
 #: Sets and shingles that a block of a candidate component holds on average, and leaders that search a component first.
 BLOCK, BLOCK_SHINGLES, LEADERS = 256, 4_000_000, 8
-#: Rows of a table that may be broadcast (16 bytes each); a larger one is joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Rows of a table that may be broadcast (up to 64 bytes each); a larger one is joined by shuffle.
+BROADCAST_ROWS = 300_000
+#: Characters of text whose digests make up a range on average; about a digest for each two words, 16 bytes each.
+RANGE_CHARS = 8_000_000
 
 _EMPTY = np.empty(0, np.uint64)
 
@@ -121,6 +124,8 @@ def divide_skip(queries: list[np.ndarray], sets: list[np.ndarray], num: int, den
     ids = np.repeat(np.arange(len(sets)), n)
     order = np.argsort(tokens, kind="stable")
     tokens, ids = tokens[order], ids[order]
+    lists = np.cumsum(np.append(False, tokens[1:] != tokens[:-1]))[: len(tokens)]  # number of the list that each entry is in
+    entries = lists * len(sets) + ids  # ascending: a binary search in it probes any list
     root = list(range(len(sets) + len(queries)))
     classes = len(root)
 
@@ -148,17 +153,22 @@ def divide_skip(queries: list[np.ndarray], sets: list[np.ndarray], num: int, den
         lo, hi = np.searchsorted(tokens, query), np.searchsorted(tokens, query, side="right")
         lengths = hi - lo
         by_length = np.argsort(lengths, kind="stable")
+        by_length = by_length[lengths[by_length] > 0]
+        if len(by_length) < needed:
+            continue
         # A set that occurs needed times occurs in needed - long of the short lists at least.
         long = min(needed - 1, int(needed / (0.02 * np.log2(max(2, lengths.max())) + 1)))
         short, probed = by_length[: len(by_length) - long], by_length[len(by_length) - long :]
-        for s, count in _merge_skip([ids[lo[i] : hi[i]] for i in short if hi[i] > lo[i]], needed - long):
+        for s, count in _merge_skip([ids[lo[i] : hi[i]] for i in short], needed - long):
             if find(s) == find(len(sets) + q):
                 continue
             least = -(-num * (len(query) + int(n[s])) // (num + den))
             if count + long < least:
                 continue
-            at = np.searchsorted(sets[s], query[probed])
-            count += int((sets[s][np.minimum(at, n[s] - 1)] == query[probed]).sum()) if long else 0
+            if long:
+                goal = lists[lo[probed]] * len(sets) + s
+                at = np.minimum(np.searchsorted(entries, goal), len(entries) - 1)
+                count += int((entries[at] == goal).sum())
             if count >= least:
                 links.append((q, s))
                 classes -= join(len(sets) + q, s)
@@ -191,13 +201,14 @@ def _merge_skip(lists: list[np.ndarray], needed: int) -> Iterator[tuple[int, int
                 heapq.heappush(heap, (int(lists[k][at]), k, at))
 
 
-def common_shingles(docs: DataFrame, k: int, rate: int = 16, least: int = 8, most: int = 200_000) -> np.ndarray:
-    """Sorted hashes of shingles in at least max(least, 1 in 10,000) of every rate-th document by hash of doc_id; most at most.
+def common_shingles(docs: DataFrame, n_docs: int, k: int, rate: int = 16, least: int = 8, most: int = 200_000) -> np.ndarray:
+    """Sorted hashes of shingles in at least max(least, 1 in 10,000) of every rate-th of n_docs documents by hash of doc_id; most at most.
 
     It only steers the routing, which is exact with any list; so a sample is enough, and the list's size is bounded.
     """
     sample = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(rate)) == 0).select("text")
 
+    @tidy
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             texts = list(b["text"])
@@ -206,7 +217,7 @@ def common_shingles(docs: DataFrame, k: int, rate: int = 16, least: int = 8, mos
                 yield pd.DataFrame({"h": h[c > 1].view(np.int64), "c": c[c > 1]})
 
     # Those seen once in a slice are left out, which can only shorten the list.
-    floor = max(least, docs.count() // rate // 10_000)
+    floor = max(least, n_docs // rate // 10_000)
     found = sample.mapInPandas(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= floor).orderBy(F.desc("c"), "h").limit(most)
     return np.sort(found.select("h").toArrow()["h"].to_numpy().astype(np.int64).view(np.uint64))
 
@@ -216,13 +227,15 @@ def _route(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     p = partitions(spark)
-    reducers = 4 * p
-    common = spark.sparkContext.broadcast(common_shingles(docs, k))
+    n_docs, chars = docs.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    ranges = max(4 * p, -(-chars // RANGE_CHARS))
+    common = spark.sparkContext.broadcast(common_shingles(docs, n_docs, k))
 
+    @tidy
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             texts, ids = list(b["text"]), b["doc_id"]
-            for i, j in slices(texts, 2_000_000):
+            for i, j in slices(texts, 1_000_000):
                 hashes, ends = shingle_sets(texts[i:j], k)
                 keys, n = set_keys(hashes, ends), np.diff(ends, prepend=0)
                 known = ids[i:j].notna().to_numpy()
@@ -233,59 +246,68 @@ def _route(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 mask = np.zeros(len(n), bool)
                 mask[once] = True
                 d, of = digests(hashes[np.repeat(mask, n)], np.cumsum(n[once]), num, den, common.value)
-                node = keys[once][of]
-                order = np.lexsort((node, d))
-                d, node = d[order], node[order]
-                first = np.ones(len(d), bool)
-                first[1:] = d[1:] != d[:-1]
-                cell = np.cumsum(first) - 1
-                size = np.bincount(cell, minlength=int(first.sum()))
-                ties = _ties(node[size[cell] > 1], node[first][cell][size[cell] > 1], size[cell][size[cell] > 1])
-                d, node = d[first], node[first]
-                to = (d % np.uint64(reducers)).astype(np.int64)
+                d, node, tied = _merge(d, keys[once][of])
+                to = (d % np.uint64(ranges)).astype(np.int64)
                 order = np.argsort(to, kind="stable")
                 d, node, to = d[order], node[order], to[order]
                 cuts = np.flatnonzero(np.diff(to, prepend=-1))
                 out = [(int(to[s]), 0, d[s:e].tobytes() + node[s:e].tobytes()) for s, e in zip(cuts, [*cuts[1:], len(d)], strict=False)]
-                at = int(abs(int(keys[0])) % reducers) if len(keys) else 0
+                at = int(abs(int(keys[0])) % ranges) if len(keys) else 0
                 out.append((at, 2, light))
-                if len(ties[0]):
-                    out.append((at, 1, b"".join(x.tobytes() for x in ties)))
-                yield pd.DataFrame(out, columns=["reducer", "kind", "block"])
+                if len(tied[0]):
+                    out.append((at, 1, b"".join(x.tobytes() for x in tied)))
+                yield pd.DataFrame(out, columns=["range", "kind", "block"])
 
+    @tidy
     def tie(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        d, nodes, ready = [], [], []
-        for b in batches:
-            for kind, block in zip(b["kind"], b["block"], strict=True):
+        """Sorted by range. Holds the different digests of the range at hand, each with its smallest node, and blocks not yet merged."""
+        at, d, node = None, _EMPTY, np.empty(0, np.int64)
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def merged() -> Iterator[pd.DataFrame]:
+            nonlocal d, node
+            if waiting:
+                d, node, (a, b, n) = _merge(np.concatenate([d, *(x for x, _ in waiting)]), np.concatenate([node, *(x for _, x in waiting)]))
+                waiting.clear()
+                if len(a):
+                    yield pd.DataFrame({"kind": np.full(len(a), 1, np.int32), "a": pd.Series(a, dtype="Int64"), "b": b, "n": n, "tag": 0})
+
+        for batch in batches:
+            for to, kind, block in zip(batch["range"], batch["kind"], batch["block"], strict=True):
                 if kind == 0:
+                    if to != at:
+                        yield from merged()
+                        at, d, node = to, _EMPTY, np.empty(0, np.int64)
                     half = len(block) // 2
-                    d.append(np.frombuffer(block, np.uint64, half // 8))
-                    nodes.append(np.frombuffer(block, np.int64, offset=half))
+                    waiting.append((np.frombuffer(block, np.uint64, half // 8), np.frombuffer(block, np.int64, offset=half)))
+                    if len(waiting) == 256:
+                        yield from merged()
                 elif kind == 1:
-                    ready.append(np.frombuffer(block, np.int64).reshape(3, -1))
+                    a, b, n = np.frombuffer(block, np.int64).reshape(3, -1)
+                    yield pd.DataFrame({"kind": np.full(len(a), 1, np.int32), "a": pd.Series(a, dtype="Int64"), "b": b, "n": n, "tag": 0})
                 else:
                     a, key, n, known, tag = np.frombuffer(block, np.int64).reshape(5, -1)
                     yield pd.DataFrame({"kind": np.full(len(a), 2, np.int32), "a": pd.Series(a, dtype="Int64").mask(known == 0), "b": key, "n": n, "tag": tag})
-        if d:
-            digest, node = np.concatenate(d), np.concatenate(nodes)
-            order = np.lexsort((node, digest))
-            digest, node = digest[order], node[order]
-            first = np.ones(len(digest), bool)
-            first[1:] = digest[1:] != digest[:-1]
-            cell = np.cumsum(first) - 1
-            size = np.bincount(cell)
-            many = size[cell] > 1
-            ready.append(np.stack(_ties(node[many], node[first][cell][many], size[cell][many])))
-        if ready:
-            a, b, n = np.concatenate(ready, axis=1)
-            a, b, n = _ties(a, b, n)
-            if len(a):
-                yield pd.DataFrame({"kind": np.full(len(a), 1, np.int32), "a": pd.Series(a, dtype="Int64"), "b": b, "n": n, "tag": 0})
-
-    sent = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("tag")).mapInPandas(blocks, "reducer int, kind int, block binary").repartition(p, "reducer").select("kind", "block")
+        yield from merged()
+
+    sent = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("tag")).mapInPandas(blocks, "range int, kind int, block binary")
+    sent = sent.repartition(p, "range").sortWithinPartitions("range")
     return materialise(sent.mapInPandas(tie, "kind int, a long, b long, n long, tag long"), "jaccard-route")
 
 
+def _merge(d: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(different digests, the smallest node of each, ties of the other nodes to it)."""
+    order = np.lexsort((node, d))
+    d, node = d[order], node[order]
+    first = np.ones(len(d), bool)
+    first[1:] = d[1:] != d[:-1]
+    cell = np.cumsum(first) - 1
+    least = node[first]
+    other = node != least[cell]
+    size = np.bincount(cell, minlength=len(least))
+    return d[first], least, _ties(node[other], least[cell][other], size[cell][other])
+
+
 def _ties(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (a, b) with n summed."""
     order = np.lexsort((b, a))
@@ -316,10 +338,11 @@ def _member_sets(docs: DataFrame, members: DataFrame, k: int, n_members: int) ->
     joined = docs.select("doc_id", "text").join(F.broadcast(table) if n_members <= BROADCAST_ROWS else table, same).drop("doc_id", "__id", "__tag")
     more = [f for f in members.schema if f.name not in ("doc_id", "tag")]
 
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             texts = list(b["text"])
-            for i, j in slices(texts):
+            for i, j in slices(texts, 1_000_000):
                 hashes, ends = shingle_sets(texts[i:j], k)
                 starts = ends - np.diff(ends, prepend=0)
                 part = b.iloc[i:j][[f.name for f in more]].copy()
@@ -336,32 +359,41 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
     component_id is the component's smallest doc_id, null if none of its rows has one; component is a set key that names
     the component in any case (null for an empty set, which is in none).
     """
+    return _components(docs, k, num, den)[0]
+
+
+def _components(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The rows, and the materialised tables that they are read from."""
     route = _route(docs, k, num, den)
     ties, light = route.where("kind = 1"), route.where("kind = 2").select(F.col("a").alias("doc_id"), F.col("b").alias("set_key"), F.col("n").alias("n_shingles"), "tag")
     nodes = components(ties)
     first = light.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.coalesce(F.min_by("tag", "doc_id"), F.min("tag")).alias("tag"), F.max("n_shingles").alias("n"))
     weight = ties.select(F.col("a").alias("node"), "n").union(ties.select(F.col("b"), "n")).groupBy("node").agg(F.sum("n").alias("weight"))
+    # a candidate component has two nodes or more, as only ties of different nodes are listed
     members = nodes.withColumnRenamed("component", "comp").join(weight, "node").join(first.withColumnRenamed("set_key", "node"), "node")
-    sizes = members.groupBy("comp").agg(F.count("*").alias("comp_size"), _blocks("n").alias("chunks"))
-    members = materialise(members.join(sizes, "comp").where("comp_size > 1").select("doc_id", "tag", "node", "n", "comp", "chunks", "weight"), "jaccard-members")
+    sizes = members.groupBy("comp").agg(_blocks("n").alias("chunks"))
+    members = materialise(members.join(sizes, "comp").select("doc_id", "tag", "node", "n", "comp", "chunks", "weight"), "jaccard-members")
+    discard(nodes)
     n_members = members.count()
-    links = None
+    first = first.select("set_key", F.col("doc_id").alias("first_id"))
+    used = [route]
     if n_members:
         sets = materialise(_member_sets(docs, members, k, n_members), "jaccard-sets")
         links = _links(sets, num, den)
-    first = first.select("set_key", F.col("doc_id").alias("first_id"))
-    if links is None:
-        merged = first.select("set_key", F.col("first_id").alias("component_id"), F.col("set_key").alias("component"))
-    else:
         comp = components(links)
+        discard(sets, links)
+        used.append(comp)
         labelled = first.join(comp.withColumnRenamed("node", "set_key"), "set_key", "left")
         least = labelled.where("component is not null").groupBy("component").agg(F.min("first_id").alias("least"))
         merged = labelled.join(least, "component", "left").select("set_key", F.coalesce("least", "first_id").alias("component_id"), F.coalesce("component", "set_key").alias("component"))
+    else:
+        merged = first.select("set_key", F.col("first_id").alias("component_id"), F.col("set_key").alias("component"))
+    discard(members)
     # the empty set's rows are their own components; its key, which many rows may have, isn't joined
     some = light.where("n_shingles > 0").join(merged, "set_key", "left")
     none = light.where("n_shingles = 0").withColumn("component_id", F.col("doc_id")).withColumn("component", F.lit(None).cast("long"))
     columns = ["doc_id", "n_shingles", "set_key", "tag", "component_id", "component"]
-    return some.withColumn("component_id", F.coalesce("component_id", "doc_id")).select(columns).union(none.select(columns))
+    return some.withColumn("component_id", F.coalesce("component_id", "doc_id")).select(columns).union(none.select(columns)), used
 
 
 def one_of_each(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, one_per_id: bool = True) -> DataFrame:
@@ -374,7 +406,9 @@ def one_of_each(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, one_per
     Rows are told apart by doc_id and the text's hash. What goes is usually little and joined by broadcast, behind a
     check of its size; above that, by shuffle.
     """
-    rows = materialise(jaccard_components(docs, k, num, den), "jaccard-components")
+    rows, used = _components(docs, k, num, den)
+    rows = materialise(rows, "jaccard-components")
+    discard(*used)
     # in a component, all that qualify have the same doc_id, or all have none
     best = rows.where("n_shingles > 0").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component")
     stay = best.agg(F.min("doc_id").alias("doc_id"), F.min("tag").alias("tag"), F.count("*").alias("copies")).drop("component")
@@ -386,6 +420,7 @@ def one_of_each(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, one_per
     twice = materialise(stay.where("copies > 1").select("doc_id", "tag"), "jaccard-twice")
     first = rest.join(stay.select(F.col("doc_id").alias("s"), F.col("tag").alias("t")), F.col("doc_id").eqNullSafe(F.col("s")) & (F.col("tag") == F.col("t")), "left_anti")
     go = materialise(first.select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag")).distinct(), "jaccard-go")
+    discard(rows)
     tag = F.xxhash64("text")
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (tag == F.col("__tag"))
     small = lambda t: F.broadcast(t) if t.count() <= BROADCAST_ROWS else t
@@ -414,16 +449,20 @@ def _links(sets: DataFrame, num: int, den: int) -> DataFrame:
         return materialise(_search(small, num, den), "jaccard-links")
     asked = big.join(best, "node").withColumn("chunk", every_chunk).withColumn("role", F.lit(2)).select(cols)
     links = materialise(_search(small.union(big.withColumn("role", F.lit(0)).select(cols)).union(asked), num, den), "jaccard-links")
-    classes = components(links).select("node", F.col("component").alias("class"))
-    placed = big.select("comp", "node", "n").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    classes = components(links)
+    placed = big.select("comp", "node", "n").join(classes.select("node", F.col("component").alias("class")), "node", "left").withColumn("class", F.coalesce("class", "node"))
     counted = placed.groupBy("comp", "class").count()
     largest = counted.groupBy("comp").agg(F.max_by("class", F.struct("count", "class")).alias("largest"))
     rest = placed.join(largest, "comp").where("class <> largest").join(best, "node", "left_anti").select("node", "comp", "n")
     rest = materialise(rest, "jaccard-rest")
+    discard(best, classes)
     if rest.isEmpty():
+        discard(rest)
         return links
     turns = rest.groupBy("comp").agg(_blocks("n").alias("turns"))
     turn = F.pmod(F.xxhash64("node", F.lit(5)), F.col("turns")).cast("int")
     asked = big.join(rest.select("node"), "node").join(turns, "comp").withColumn("turn", turn).withColumn("chunk", every_chunk).withColumn("role", F.lit(2)).select(cols)
     there = big.join(turns, "comp").withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1))).withColumn("role", F.lit(0)).select(cols)
-    return materialise(links.union(_search(there.union(asked), num, den)), "jaccard-links")
+    out = materialise(links.union(_search(there.union(asked), num, den)), "jaccard-links")
+    discard(links, rest)
+    return out

@@ -131,11 +131,63 @@ def test_one_row_of_each_component(spark):
     assert sorted(kept, key=str) == sorted([(None, "a0"), (None, "b0"), (3, "c0"), (4, "d0"), (4, "e0"), (6, "f0"), (None, "g0"), (None, ""), (None, ""), (None, ""), (7, "")], key=str)
 
 
-def test_component_chains(spark):
-    edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)], "a long, b long")
-    out = {r.node: r.component for r in components(edges).collect()}
-    assert all(out[i] == 0 for i in range(61)) and out[101] == 100
-    assert components(edges.limit(0)).count() == 0
+def classes(found):
+    out = {}
+    for node, name in found:
+        out.setdefault(name, set()).add(node)
+    assert all(name in nodes for name, nodes in out.items())
+    return sorted(out.values(), key=min)
+
+
+def test_components(spark):
+    rng = random.Random(12)
+    edges = [(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)] + [(500, 501 + i) for i in range(40)] + [(900 + i, 999) for i in range(40)]
+    edges += [(rng.randrange(2000, 2300), rng.randrange(2000, 2300)) for _ in range(200)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    here = classes([(r.node, r.component) for r in components(df).collect()])
+    assert here == classes([(r.node, r.component) for r in components(df, local_edges=0).collect()])
+    assert here[0] == set(range(61)) and {100, 101} in here and {500 + i for i in range(41)} in here and {*range(900, 940), 999} in here
+    assert components(df.limit(0)).count() == 0 and components(df.limit(0), 0).count() == 0
+
+
+@pytest.mark.parametrize("n", [160, 10_000])
+def test_shuffled_chains(spark, monkeypatch, n):
+    from loomline.llm import components as module
+
+    ids = random.Random(n).sample(range(10**9), n)
+    df = spark.createDataFrame(list(zip(ids, ids[1:])), "a long, b long")
+    rounds = []
+    contract = module._contract
+    monkeypatch.setattr(module, "_contract", lambda e: rounds.append(1) or contract(e))
+    assert {len(c) for c in classes([(r.node, r.component) for r in module.components(df, local_edges=n // 20).collect()])} == {n}
+    assert 0 < len(rounds) <= 2 * np.log2(n)
+    node, root = module.local_components(np.array(ids[:-1]), np.array(ids[1:]))
+    assert len(node) == n and set(root) == {min(ids)}
+
+
+def test_merged_digests_are_the_same_in_any_order():
+    rng = np.random.default_rng(3)
+    d, node = rng.integers(0, 50, 400).astype(np.uint64), rng.integers(0, 90, 400)
+    keys, least, (a, b, n) = jaccard_join._merge(d, node)
+    assert keys.tolist() == sorted(set(d.tolist())) and all(least[i] == node[d == k].min() for i, k in enumerate(keys))
+    assert {(x, y) for x, y in zip(a, b)} == {(x, node[d == k].min()) for k, x in zip(d, node) if x != node[d == k].min()}
+
+
+def test_word_hashes():
+    from loomline.llm import shingles
+
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("aAbB \n\t\x0b\u00a0é") for _ in range(rng.randint(0, 60))) for _ in range(300)] + [None, "", "x" * 5000, "ab " * 4000]
+    named = {}
+    for piece in (1 << 19, 64):
+        shingles._PIECE = piece
+        h, n = shingles.word_hashes(texts)
+        words = [w for t in texts for w in (t or "").encode().lower().split()]
+        assert n.tolist() == [len((t or "").encode().split()) for t in texts] and len(h) == len(words)
+        for w, x in zip(words, h.tolist()):
+            assert named.setdefault(w, x) == x
+    assert len(set(named.values())) == len(named)
+    shingles._PIECE = 1 << 19
 
 
 def test_wand_is_exhaustive():
