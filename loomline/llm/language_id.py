@@ -1,15 +1,20 @@
 """Language identification by cross-parsing entropy over suffix automata.
 
 For each language, a suffix automaton of labelled text. A text is cut into phrases, each the longest match that begins
-there and occurs in the language's text; the language that needs fewest phrases per character wins.
+there and occurs in the language's text. Cross-parsing estimates the entropy of the text under the language by
+phrases x log2(length of the labelled text) / length of the text: longer labelled text has longer matches, and the
+logarithm makes up for it. The language of least entropy, so of fewest normalised phrases, wins.
 
 The automaton becomes a total transition table: where no match goes on, the step starts a new phrase and is marked.
 Texts are parsed in blocks of BLOCK symbols, all blocks of a slice in step, so a step of thousands of blocks is one
-numpy gather. Restarting a phrase at a block's border adds the same to every language.
+numpy gather. A block's first run starts without an open phrase. Blocks are then run again from the state in which the
+block before them ended, until they meet their earlier run, from where on both are the same; a block that doesn't meet
+it has a new end, and the block after it is run again. What results is the greedy parse of the whole text, exactly.
 
-Training: text and lang only, of the rows that the caller passes as labelled. The sample is bounded by three documented
-parameters: rows_per_language rows of each language (lowest hash of doc_id), the first chars_per_row characters of each,
-and chars_per_language characters of them. More than MAX_LANGUAGES languages raise an error; none is left out.
+Training: text and lang only, of the rows that the caller passes as labelled. The sample is bounded by documented
+parameters: chars_per_language characters of each language, taken from whole rows in order of a hash (rows of more than
+long_row characters after all others; the last row taken is cut where the characters are full), and at most
+rows_per_language rows. More than MAX_LANGUAGES languages raise an error; none is left out.
 
 Cases: null or letterless text: und, score 0; no labelled rows: und for all, score 0; one language: it wins with
 score 1; ties: the first language by code point; repeated rows are predicted alike; other columns are ignored.
@@ -23,12 +28,12 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomline.llm.common import slices, small_batches
+from loomline.llm.common import resident, slices, small_batches, tidy
 
-#: Symbols of a block; a power of 2 that keeps what the restarts add below 2 % of usual phrase counts.
+#: Symbols of a block; the parse is the same for any.
 BLOCK = 512
 #: No more languages than this are learned at once (the tables are held in memory by each worker).
 MAX_LANGUAGES = 200
@@ -93,8 +98,11 @@ class Parser:
             self.symbols[ord(c)] = i + 2
         self.alphabet = len(letters) + 2
         self.tables = []
+        self.bits = []  # log2 of the symbols learned
         for lang in self.languages:
-            t = suffix_automaton(self.encode(texts[lang]).tolist(), self.alphabet)
+            learned = self.encode(texts[lang]).tolist()
+            self.bits.append(np.log2(len(learned) + 1))
+            t = suffix_automaton(learned, self.alphabet)
             # One more state, the last, is where no phrase is open: at a block's start, and after a symbol that the text lacks.
             n = len(t) + 1
             t = np.concatenate([t, np.full((1, self.alphabet), -1, np.int32)])
@@ -125,33 +133,64 @@ class Parser:
         symbols = np.concatenate(pieces)
         blocks = -(-sizes // BLOCK)
         first = np.repeat(np.cumsum(sizes) - sizes, blocks) + (np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)) * BLOCK
-        end = np.minimum(first + BLOCK, np.repeat(np.cumsum(sizes), blocks))
+        size = np.minimum(first + BLOCK, np.repeat(np.cumsum(sizes), blocks)) - first
+        goes_on = np.ones(len(first) + 1, bool)  # whether a block follows another of its text
+        goes_on[np.append(0, np.cumsum(blocks))] = False
         of = np.repeat(np.array(owner), blocks)
-        order = np.argsort(-(end - first), kind="stable")
-        first, size, of = first[order], (end - first)[order], of[order]
-        active = np.searchsorted(-size, -np.arange(1, size[0] + 1), side="right")  # blocks with more than j symbols
+        trace, marks = np.empty(len(symbols), np.int32), np.empty(len(symbols), bool)
         for k, (table, n) in enumerate(self.tables):
-            state = np.full(len(first), n - 1, np.int32)
-            found = np.zeros(len(first), np.int64)
-            for j in range(int(size[0])):
-                m = active[j]
-                t = table[state[:m].astype(np.int64) * self.alphabet + symbols[first[:m] + j]]
-                new = t >= n
-                found[:m] += new
-                state[:m] = t - new * np.int32(n)
-            counts[k] = np.bincount(of, found, len(texts)).astype(np.int64)
+            end = self._run(table, n, symbols, first, size, np.full(len(first), n - 1, np.int32), trace, marks, False)
+            again = np.flatnonzero(goes_on[:-1])
+            while len(again):
+                new = self._run(table, n, symbols, first[again], size[again], end[again - 1], trace, marks, True)
+                changed = again[new != end[again]]
+                end[again] = new
+                again = changed[goes_on[changed + 1]] + 1
+            counts[k] = np.bincount(of, np.add.reduceat(marks, first, dtype=np.int64), len(texts)).astype(np.int64)
         return counts, letters
 
+    def _run(self, table: np.ndarray, n: int, symbols: np.ndarray, first: np.ndarray, size: np.ndarray, state: np.ndarray, trace: np.ndarray, marks: np.ndarray, until_met: bool) -> np.ndarray:
+        """Runs blocks in step from their states; writes each symbol's state and whether it begins a phrase. Returns the states at the blocks' ends.
+
+        until_met: a block stops where it comes to the state of its earlier run, whose end is then its own.
+        """
+        out = trace[first + size - 1].copy() if until_met else np.empty(len(first), np.int32)
+        block = np.argsort(-size, kind="stable")
+        state = state[block]
+        j = 0
+        while len(block):
+            last = int(np.searchsorted(-size[block], -j, side="left"))  # blocks of more than j symbols
+            if last < len(block):
+                out[block[last:]] = state[last:]
+                block, state = block[:last], state[:last]
+                if not last:
+                    break
+            at = first[block] + j
+            t = table[state.astype(np.int64) * self.alphabet + symbols[at]]
+            new = t >= n
+            state = t - new * np.int32(n)
+            if until_met:
+                unmet = state != trace[at]
+                marks[at] = new
+                if not unmet.all():
+                    block, state, at = block[unmet], state[unmet], at[unmet]
+                trace[at] = state
+            else:
+                trace[at], marks[at] = state, new
+            j += 1
+        return out
+
     def predict(self, texts: list[str | None]) -> pd.DataFrame:
-        """lang, score (how many fewer phrases than the runner-up, as a share) and rate (phrases per letter)."""
+        """lang, score (how much less entropy than the runner-up, as a share) and rate (phrases per letter)."""
         counts, letters = self.phrases(texts)
         if not self.languages:
             return pd.DataFrame({"lang": ["und"] * len(texts), "score": 0.0, "rate": 1.0})
-        best = counts.argmin(axis=0)
-        least = counts.min(axis=0)
+        entropy = counts * np.array(self.bits)[:, None]
+        best = entropy.argmin(axis=0)
+        least = counts[best, np.arange(len(texts))]
         if len(self.languages) > 1:
-            second = np.partition(counts, 1, axis=0)[1]
-            score = np.where(letters > 0, 1 - least / np.maximum(second, 1), 0.0)
+            lowest, second = np.partition(entropy, 1, axis=0)[:2]
+            score = np.where(letters > 0, 1 - lowest / np.maximum(second, 1e-9), 0.0)
         else:
             score = np.where(letters > 0, 1.0, 0.0)
         lang = np.where(letters > 0, np.array(self.languages, object)[best], "und")
@@ -163,25 +202,35 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def sample(labelled: DataFrame, rows_per_language: int = 400, chars_per_language: int = 40_000, chars_per_row: int = 2000) -> dict[str, str]:
-    """The training text of each language: at most chars_per_language characters, of each of at most rows_per_language rows the first chars_per_row."""
+def sample(labelled: DataFrame, rows_per_language: int = 400, chars_per_language: int = 40_000, long_row: int = 4000) -> dict[str, str]:
+    """The training text of each language. One pass counts the labelled rows, one takes the sample of all languages."""
     known = labelled.where("lang is not null and text is not null")
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES + 1).collect()}
+    short = F.length("text") <= long_row
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(short).alias("n_short")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES + 1).collect()
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages are labelled; learn them in groups")
-    out = {}
-    for lang, n in sorted(counts.items()):
-        h = F.xxhash64("doc_id", F.lit(6))
-        # about twice the rows that are wanted go on to the top-k
-        some = known.where(F.col("lang") == lang).where(F.pmod(h, F.lit(1_000_000)) < min(1_000_000, 1 + 2_000_000 * rows_per_language // n))
-        rows = some.orderBy(h, "doc_id").limit(rows_per_language).select(F.substring("text", 1, chars_per_row).alias("t")).collect()
-        out[lang] = " ".join(r["t"] for r in rows)[:chars_per_language]
+    if not counts:
+        return {}
+    # about twice the rows that are wanted go on to the window; a row that is repeated as it is counts once
+    h = F.xxhash64("doc_id", "text", F.lit(6))
+    some = F.lit(False)
+    for r in counts:
+        share = lambda n: min(1_000_000, 1 + 2_000_000 * rows_per_language // n) if n else 0
+        least = share(r.n_short) if r.n_short >= rows_per_language else 1_000_000
+        some |= (F.col("lang") == r.lang) & (F.pmod(h, F.lit(1_000_000)) < F.when(short, least).otherwise(0 if r.n_short >= rows_per_language else share(r.n - r.n_short)))
+    rows = known.where(some).select("lang", F.substring("text", 1, chars_per_language).alias("t"), short.alias("short"), h.alias("h")).dropDuplicates(["lang", "h"])
+    order = Window.partitionBy("lang").orderBy(F.desc("short"), "h")
+    before = F.coalesce(F.sum(F.length("t")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("before", before).withColumn("rank", F.row_number().over(order)).where(F.col("before") < chars_per_language).where(F.col("rank") <= rows_per_language)
+    texts: dict[str, list[str]] = {}
+    for r in rows.select("lang", "rank", "t").orderBy("lang", "rank").collect():
+        texts.setdefault(r.lang, []).append(r.t)
+    out = {lang: " ".join(ts)[:chars_per_language] for lang, ts in texts.items()}
     return {k: v for k, v in out.items() if any(c.isalpha() for c in v)}
 
 
-@lru_cache(maxsize=1)
 def _parser(texts: tuple[tuple[str, str], ...]) -> Parser:
-    return Parser(dict(texts))
+    return resident(("language_id", texts), lambda: Parser(dict(texts)))
 
 
 def identify(docs: DataFrame, texts: dict[str, str]) -> DataFrame:
@@ -190,11 +239,12 @@ def identify(docs: DataFrame, texts: dict[str, str]) -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast(tuple(sorted(texts.items())))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", __lang string, __score double, __rate double"
 
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parser = _parser(shipped.value)
         for b in batches:
             found = list(b["text"])
-            parts = [parser.predict(found[i:j]) for i, j in slices(found)]
+            parts = [parser.predict(found[i:j]) for i, j in slices(found, 1_000_000)]
             if parts:
                 p = pd.concat(parts, ignore_index=True)
                 yield b.assign(__lang=p["lang"].to_numpy(), __score=p["score"].to_numpy(), __rate=p["rate"].to_numpy())
@@ -211,12 +261,13 @@ def keep_identified(docs: DataFrame, texts: dict[str, str], most_rate: float = 0
     small_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(tuple(sorted(texts.items())))
 
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parser = _parser(shipped.value)
         for b in batches:
             found = list(b["text"])
             keep = np.zeros(len(found), bool)
-            for i, j in slices(found):
+            for i, j in slices(found, 1_000_000):
                 counts, n = parser.phrases(found[i:j])
                 least = counts.min(axis=0) if len(counts) else np.zeros(j - i)
                 keep[i:j] = (n > 0) & ((n < letters) | (least <= most_rate * n))
