@@ -49,7 +49,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.taken(mixing.schedule(_table(spark, sf_dir, "documents")))
+    return mixing.taken(mixing.queue(_table(spark, sf_dir, "documents")))
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
