@@ -1,37 +1,39 @@
 """Benchmark decontamination: a BM25 index of test items with block-max WAND, queried by every training passage.
 
-The items' inverted index is small (a benchmark), is built once and broadcast behind a check of its size. Impacts are
+The items' inverted index is small (a benchmark). It is built once in each worker, of items that are broadcast behind a
+check of their size; a larger benchmark is dealt into parts by hash, and each part is searched in a pass of its own. Impacts are
 BM25 weights divided by the item's own score, so a passage's score is the share of an item's weight that it covers,
 and one threshold holds for all items. Postings are cut into blocks of items with each term's largest impact.
 
 Passages are windows of two strides, a stride being the longest item, so any item lies whole within one. Both are
 counted in terms; words without a letter or digit take no place. A passage's distinct terms are its query. Block-max bounds of all passages of a slice are summed in numpy first; only passages
 whose bound in some block reaches the threshold go through WAND, which retrieves every item that reaches it. Bounds
-never fall below scores, so nothing is lost. For what is retrieved, the shares of the question's and of the answer's
+never fall below scores (the slack of float32 sums is taken off the threshold), so nothing is lost. For what is retrieved, the shares of the question's and of the answer's
 word 5-grams that occur in the passage are measured; both must reach the least overlap.
 
 Cases: null and empty texts and items match nothing; repeated items are each reported; repeated documents are judged
 alike; a null doc_id is reported as null; a part of fewer than five words is one gram; an empty benchmark or table
-gives no rows; other columns are ignored.
+gives no rows; other columns are ignored. BM25's statistics are those of a part.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from loomline.llm.common import slices, small_batches
+from loomline.llm.common import materialise, resident, slices, small_batches, tidy
 
 K1, B = 1.2, 0.75
 #: Blocks of items that postings are cut into, at most; the fewer items in a block, the closer its bound.
 BLOCKS = 64
-#: Items of one index; a larger benchmark is searched by one index after the other.
-MAX_ITEMS = 20_000
+#: Items and characters of a part, on average: what one index holds and one broadcast ships.
+MAX_ITEMS, MAX_CHARS = 20_000, 20_000_000
 GRAM = 5
 
 
@@ -132,7 +134,7 @@ class BlockMaxIndex:
             while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
                 pivot += 1
             block = item // self.size
-            if sum(self.block_max[c[2], block] for c in cursors[: pivot + 1]) < threshold:
+            if sum(float(self.block_max[c[2], block]) for c in cursors[: pivot + 1]) < threshold:
                 goal = min((block + 1) * self.size, cursors[pivot + 1][0] if pivot + 1 < len(cursors) else len(self.items))
             elif cursors[0][0] == item:
                 score = sum(self.impacts[c[2]][c[1]] for c in cursors[: pivot + 1])
@@ -143,8 +145,8 @@ class BlockMaxIndex:
                 goal = item
             for c in cursors[: pivot + 1]:
                 docs = self.docs[c[2]]
-                while c[1] < len(docs) and docs[c[1]] < goal:
-                    c[1] += 1
+                if c[0] < goal:
+                    c[1] = bisect_left(docs, goal, c[1] + 1)
                 c[0] = docs[c[1]] if c[1] < len(docs) else len(self.items)
             cursors = [c for c in cursors if c[0] < len(self.items)]
         return found
@@ -181,7 +183,8 @@ class BlockMaxIndex:
         cuts = np.searchsorted(at, np.arange(total + 1))
         best: dict[tuple[int, int], tuple[float, float, float]] = {}
         last, found = -1, []  # a text and its terms
-        for w in np.flatnonzero(bound >= threshold).tolist():
+        # a sum of m numbers in float32 is off by m units in the last place at most; a window has two strides of terms
+        for w in np.flatnonzero(bound >= threshold * (1 - 2 * self.stride * 2.0**-22)).tolist():
             query = tid[cuts[w] : cuts[w + 1]].tolist()
             i = int(text_of[w])
             start = (w - int(base[i])) * self.stride
@@ -211,46 +214,65 @@ def _runs(edges: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-@lru_cache(maxsize=4)
-def _index(items: tuple[tuple[int, str | None], ...]) -> BlockMaxIndex:
-    return BlockMaxIndex(list(items))
+def _parts(benchmark: DataFrame) -> Iterator[tuple[tuple[int | None, str | None], ...]]:
+    """The items in parts, each small enough to be broadcast, fetched one after the other."""
+    n, chars = benchmark.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    parts = max(1, -(-n // MAX_ITEMS), -(-chars // MAX_CHARS))
+    for i in range(parts):
+        part = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == i) if parts > 1 else benchmark
+        yield tuple(sorted(((r.item_id, r.text) for r in part.select("item_id", "text").collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1] or "")))
+
+
+def _index(items: tuple[tuple[int | None, str | None], ...]) -> BlockMaxIndex:
+    return resident(("decontamination", items), lambda: BlockMaxIndex(list(items)))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, least: float = 0.8) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap: a row per document and item that it leaks."""
     spark = docs.sparkSession
     small_batches(spark)
-    items = [(r.item_id, r.text) for r in benchmark.select("item_id", "text").limit(50 * MAX_ITEMS + 1).collect()]
-    if len(items) > 50 * MAX_ITEMS:
-        raise ValueError("the benchmark has more than a million items; search it in parts")
-    items.sort(key=lambda x: (x[0] is None, x[0] or 0, x[1] or ""))
-    parts = spark.sparkContext.broadcast([tuple(items[i : i + MAX_ITEMS]) for i in range(0, len(items), MAX_ITEMS)])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            texts, ids = list(b["text"]), b["doc_id"].astype("Int64").tolist()
-            for index in map(_index, parts.value):
-                for i, j in slices(texts):
+
+    def searched(items: tuple) -> DataFrame:
+        shipped = spark.sparkContext.broadcast(items)
+
+        @tidy
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            index = _index(shipped.value)
+            for b in batches:
+                texts, ids = list(b["text"]), b["doc_id"].astype("Int64").tolist()
+                for i, j in slices(texts, 1_000_000):
                     rows = [(ids[i + k], index.items[item], s, q, a) for k, item, s, q, a in index.search(texts[i:j], threshold, least)]
                     yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"]).astype({"doc_id": "Int64", "item_id": "Int64"})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
+        return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
+
+    found = None
+    for items in _parts(benchmark):
+        found = searched(items) if found is None else found.union(searched(items))
+    return found
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, least: float = 0.8) -> DataFrame:
-    """The documents, all columns, that leak no item; decided row by row in one pass, so no join on doc_id is needed."""
-    small_batches(docs.sparkSession)
-    items = [(r.item_id, r.text) for r in benchmark.select("item_id", "text").collect()]
-    items.sort(key=lambda x: (x[0] is None, x[0] or 0, x[1] or ""))
-    parts = docs.sparkSession.sparkContext.broadcast([tuple(items[i : i + MAX_ITEMS]) for i in range(0, len(items), MAX_ITEMS)])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            texts = list(b["text"])
-            keep = np.ones(len(texts), bool)
-            for index in map(_index, parts.value):
-                for i, j in slices(texts):
+    """The documents, all columns, that leak no item; decided row by row, so no join on doc_id is needed. Between parts of a large benchmark, what is left is written."""
+    spark = docs.sparkSession
+    small_batches(spark)
+
+    def cleaned(left: DataFrame, items: tuple) -> DataFrame:
+        shipped = spark.sparkContext.broadcast(items)
+
+        @tidy
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            index = _index(shipped.value)
+            for b in batches:
+                texts = list(b["text"])
+                keep = np.ones(len(texts), bool)
+                for i, j in slices(texts, 1_000_000):
                     keep[[i + x[0] for x in index.search(texts[i:j], threshold, least)]] = False
-            yield b[keep]
+                yield b[keep]
+
+        return left.mapInPandas(run, left.schema)
 
-    return docs.mapInPandas(run, docs.schema)
+    left, done = docs, False
+    for items in _parts(benchmark):
+        left, done = cleaned(materialise(left, "decontaminated") if done else left, items), True
+    return left
