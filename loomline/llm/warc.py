@@ -7,7 +7,9 @@ which any record can be read alone.
 Files go to a folder that all executors share, by its file system's own client; each is written under a name of its
 task attempt and then renamed, and a task's input is a fixed set of rows, so a task that runs again or twice leaves
 the same files. A monolithic archive is removed only when its normalised form and index are in place, and a
-normaliser that finds them in place has nothing to do.
+normaliser that finds them in place has nothing to do. An archive that ends within a gzip member or a record, or whose
+checksum is wrong, raises an error and stays. Inflation is bounded: a piece of input gives _READ bytes at a time, and only
+the record at hand is held. Payloads count as equal if length, SHA-1 and a 64-bit hash agree.
 
 Records: WARC/1.1 response records whose block is an HTTP response, and revisit records (identical payload digest)
 that keep the HTTP header, whose Content-Length still tells the payload's length. The page's id is in the record id.
@@ -24,7 +26,9 @@ import base64
 import hashlib
 import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import ExitStack
+from itertools import islice
 from typing import BinaryIO
 
 import pandas as pd
@@ -79,14 +83,29 @@ def headers(head: bytes) -> dict[str, str]:
 
 
 def inflate(stream: BinaryIO) -> Iterator[bytes]:
-    """The bytes of a gzip file of one or many members, in pieces."""
-    z = zlib.decompressobj(47)
-    while data := stream.read(_READ):
-        while data:
-            yield z.decompress(data)
-            data = z.unused_data
-            if z.eof:
-                z = zlib.decompressobj(47)
+    """The bytes of a gzip file of one or many members, in pieces of _READ bytes at most. Raises an error if the last member isn't whole."""
+    z, members = None, 0
+    data = stream.read(_READ)
+    while data or z:
+        if z is None:
+            data = data.lstrip(b"\0")  # members may be padded
+            if not data:
+                data = stream.read(_READ)
+                continue
+            z, members = zlib.decompressobj(47), members + 1
+        piece = z.decompress(data, _READ)
+        if piece:
+            yield piece
+        if z.eof:
+            data, z = z.unused_data, None
+        else:
+            data = z.unconsumed_tail
+        if not data:
+            data = stream.read(_READ)
+            if not data and z and not piece:
+                raise ValueError("the archive ends within a gzip member")
+    if not members:
+        raise ValueError("the archive holds no gzip member")
 
 
 def records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -102,6 +121,8 @@ def records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
                 if end < 0:
                     break
                 head = headers(bytes(buffer[at:end]))
+                if not head.get("content-length", "").isdecimal():
+                    raise ValueError("a record has no length")
                 need = end + 4 - at + int(head["content-length"]) + 4
             if len(buffer) - at < need:
                 break
@@ -113,29 +134,41 @@ def records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
         raise ValueError("the archive ends within a record")
 
 
-def _put(path: str, write) -> None:
-    """Calls write(stream) on a file of this attempt's own, then gives it its name."""
-    files, name = fs.FileSystem.from_uri(path)
+def store_uri(path: str) -> str:
+    """Hadoop's names of its S3 clients (s3a, s3n) are one store's."""
+    scheme, sep, rest = path.partition("://")
+    return f"s3://{rest}" if sep and scheme in ("s3a", "s3n") else path
+
+
+def _files(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system and the path in it."""
+    return fs.FileSystem.from_uri(store_uri(path))
+
+
+def _put(paths: list[str], write: Callable[..., None]) -> None:
+    """Calls write with a stream for each path, on files of this attempt's own, then gives them their names, in order."""
     context = TaskContext.get()
-    own = f"{name}.{context.taskAttemptId() if context else 0}"
-    with files.open_output_stream(own, compression=None) as f:
-        write(f)
-    files.move(own, name)
+    places = [_files(p) for p in paths]
+    own = [f"{name}.{context.taskAttemptId() if context else 0}" for _, name in places]
+    with ExitStack() as stack:
+        write(*[stack.enter_context(files.open_output_stream(x, compression=None)) for (files, _), x in zip(places, own, strict=True)])
+    for (files, name), x in zip(places, own, strict=True):
+        files.move(x, name)
 
 
 def _exists(path: str) -> bool:
-    files, name = fs.FileSystem.from_uri(path)
+    files, name = _files(path)
     return files.get_file_info(name).type == fs.FileType.File
 
 
 def classify(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     """page_id, url, html and refers_to (null for a response). No payload is shuffled unless repeated ones are very many."""
-    keyed = pages.select("page_id", "url", "html", F.sha1(F.coalesce("html", F.lit(""))).alias("digest"), F.coalesce(F.octet_length("html"), F.lit(0)).alias("n"))
-    repeated = keyed.where(F.col("n") >= least).groupBy("digest").agg(F.max("page_id").alias("response_id"), F.count("*").alias("copies")).where("copies > 1").select("digest", "response_id")
+    keyed = pages.select("page_id", "url", "html", F.sha1(F.coalesce("html", F.lit(""))).alias("digest"), F.xxhash64("html").alias("hash"), F.coalesce(F.octet_length("html"), F.lit(0)).alias("n"))
+    repeated = keyed.where(F.col("n") >= least).groupBy("digest", "hash", "n").agg(F.max("page_id").alias("response_id"), F.count("*").alias("copies")).where("copies > 1").select("digest", "hash", "n", "response_id")
     repeated = materialise(repeated, "warc-repeated")
     table = F.broadcast(repeated) if repeated.count() <= BROADCAST_ROWS else repeated
     revisits = (F.col("n") >= least) & F.col("response_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response_id"))
-    return keyed.join(table, "digest", "left").select("page_id", "url", "html", F.when(revisits, F.col("response_id")).alias("refers_to"))
+    return keyed.join(table, ["digest", "hash", "n"], "left").select("page_id", "url", "html", F.when(revisits, F.col("response_id")).alias("refers_to"))
 
 
 def write_monolithic(classified: DataFrame, folder: str) -> DataFrame:
@@ -162,7 +195,7 @@ def write_monolithic(classified: DataFrame, folder: str) -> DataFrame:
 
         first = next((b for b in batches if len(b)), None)
         if first is not None:
-            _put(path, lambda f: write(f, first))
+            _put([path], lambda f: write(f, first))
             yield pd.DataFrame({"path": [path], "records": [count]})
 
     return materialise(classified.mapInPandas(run, "path string, records long"), "warc-written")
@@ -176,30 +209,36 @@ def normalise_file(source: str, target: str, keep_source: bool = False) -> int:
     """Rewrites one archive to target with a member per record, and target + .idx with a JSON line per record. Returns the records."""
     index = f"{target}.idx"
     if not (_exists(target) and _exists(index)):
-        entries = []
 
-        def write(f: BinaryIO) -> None:
-            files, name = fs.FileSystem.from_uri(source)
+        def write(f: BinaryIO, lines: BinaryIO) -> None:
+            files, name = _files(source)
             z = Gzip(f)
             with files.open_input_stream(name, compression=None) as stream:
                 for head, data in records(inflate(stream)):
                     start = z.size
                     z.write(data)
                     z.end_member()
-                    entries.append({"offset": start, "length": z.size - start, "id": head.get("warc-record-id", ""), "type": head.get("warc-type", ""), "digest": head.get("warc-payload-digest", "")})
+                    entry = {"offset": start, "length": z.size - start, "id": head.get("warc-record-id", ""), "type": head.get("warc-type", ""), "digest": head.get("warc-payload-digest", "")}
+                    lines.write(json.dumps(entry).encode() + b"\n")
 
-        _put(target, write)
-        _put(index, lambda f: f.write("".join(json.dumps(x) + "\n" for x in entries).encode()))
+        _put([target, index], write)
+    n = sum(1 for _ in read_index(index))
     if not keep_source and _exists(source):
-        files, name = fs.FileSystem.from_uri(source)
+        files, name = _files(source)
         files.delete_file(name)
-    return len(read_index(index))
+    return n
 
 
-def read_index(path: str) -> list[dict]:
-    files, name = fs.FileSystem.from_uri(path)
+def read_index(path: str) -> Iterator[dict]:
+    """The entries of an index, one line after the other."""
+    files, name = _files(path)
+    rest = b""
     with files.open_input_stream(name, compression=None) as f:
-        return [json.loads(x) for x in f.read().decode().splitlines()]
+        while data := f.read(_READ):
+            *lines, rest = (rest + data).split(b"\n")
+            yield from map(json.loads, lines)
+    if rest:
+        raise ValueError("the index ends within an entry")
 
 
 def normalise(archives: DataFrame) -> DataFrame:
@@ -222,10 +261,10 @@ def read(archives: DataFrame) -> DataFrame:
         for b in batches:
             for path in b["path"]:
                 entries = read_index(path + ".idx")
-                files, name = fs.FileSystem.from_uri(path)
+                files, name = _files(path)
                 with files.open_input_file(name) as f:
-                    for i in range(0, len(entries), 1000):
-                        yield pd.DataFrame([_row(f, path, e) for e in entries[i : i + 1000]], columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "path", "offset"]).astype({"page_id": "Int64", "refers_to": "Int64"})
+                    while some := list(islice(entries, 1000)):
+                        yield pd.DataFrame([_row(f, path, e) for e in some], columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "path", "offset"]).astype({"page_id": "Int64", "refers_to": "Int64"})
 
     n = archives.count()
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, path string, offset long"
