@@ -1,7 +1,7 @@
 """Token counts by compiled finite-state tokenizers: a cascade of two deterministic transducers.
 
 The first reads code points (as classes that look ahead two characters) and marks where the byte-level pattern's
-pieces begin. It has 9 states: every chunk of text is run from all of them at once, the chunks' state maps are
+pieces begin. It has 8 states (and reads 9 symbols): every chunk of text is run from all of them at once, the chunks' state maps are
 composed by a parallel prefix scan, and each chunk is then run from its true start.
 
 The second reads a piece's bytes. By a property of byte-pair encoding, every prefix of a piece has one last token,
@@ -19,6 +19,7 @@ and spaces are those of Python's Unicode tables.
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,7 +28,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from loomline.llm.common import slices, small_batches
+from loomline.llm.common import resident, slices, small_batches, tidy
 
 CHUNK = 64
 MAX_STATES = 200_000
@@ -315,18 +316,14 @@ class Tokenizer:
         shown = _shown_bytes()
         raw = lambda s: bytes(shown[c] for c in s)
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        self.specials = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
+        self.specials = sorted((t["content"] for t in spec["added_tokens"] if t["content"]), key=len, reverse=True)
+        self.special = re.compile("|".join(map(re.escape, self.specials))) if self.specials else None
         self.bpe = BpeTransducer([(raw(a), raw(b)) for a, b in pairs])
 
     def _parts(self, text: str) -> tuple[list[str], int]:
         """What lies between special strings, and their number; the leftmost counts, of those the longest."""
-        parts, n = [], 0
-        while found := [(at, -len(s), s) for s in self.specials if (at := text.find(s)) >= 0]:
-            at, _, s = min(found)
-            parts.append(text[:at])
-            text = text[at + len(s) :]
-            n += 1
-        return [*parts, text], n
+        parts = self.special.split(text)
+        return parts, len(parts) - 1
 
     def counts(self, texts: list[str | None]) -> np.ndarray:
         out = np.zeros(len(texts), np.int64)
@@ -335,7 +332,7 @@ class Tokenizer:
             if not t:
                 continue
             parts = [t]
-            if any(s in t for s in self.specials):
+            if self.special and any(s in t for s in self.specials):
                 parts, out[i] = self._parts(t)
             for p in parts:
                 if p:
@@ -370,9 +367,8 @@ def _shown_bytes() -> dict[str, int]:
     return {chr(b): b for b in itself} | {chr(0x100 + i): b for i, b in enumerate(others)}
 
 
-@lru_cache(maxsize=2)
 def tokenizer(path: str) -> Tokenizer:
-    return Tokenizer(path)
+    return resident(("token_count", path), lambda: Tokenizer(path))
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
@@ -380,6 +376,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = tokenizer(path)
         for b in batches:
