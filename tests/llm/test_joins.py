@@ -228,6 +228,20 @@ def test_leaks(spark):
     assert decontamination.leaks(empty(spark), bench).count() == 0 and decontamination.leaks(edge(spark), bench.limit(0)).count() == 0
 
 
+def test_large_benchmarks_go_in_parts(spark, monkeypatch):
+    rng = random.Random(17)
+    say = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    items = [(i, f"{say(12)}? {say(8)}") for i in range(60)] + [(3, None)]
+    docs = [(d, f"{say(30)} {items[d][1]} {say(30)}" if d < 40 else say(60)) for d in range(80)]
+    bench, df = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    want = {(d, d) for d in range(40)}
+    assert {(r.doc_id, r.item_id) for r in decontamination.leaks(df, bench).collect()} == want
+    monkeypatch.setattr(decontamination, "MAX_ITEMS", 25)
+    assert len(list(decontamination._parts(bench))) == 3 and sum(map(len, decontamination._parts(bench))) == 61
+    assert {(r.doc_id, r.item_id) for r in decontamination.leaks(df, bench).collect()} == want
+    assert sorted(r.doc_id for r in decontamination.clean(df, bench).collect()) == list(range(40, 80))
+
+
 def test_symbols_take_no_place_in_a_window():
     question, answer = [f"q{i}" for i in range(30)], [f"a{i}" for i in range(30)]
     spaced = " = ".join(question) + " ? " + " | ".join(answer)

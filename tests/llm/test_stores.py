@@ -29,14 +29,35 @@ def test_normaliser_makes_members(tmp_path):
     target = f"file://{tmp_path}/a.warc.gz"
     assert warc.normalise_file(f"file://{mono}", target) == 5
     raw = (tmp_path / "a.warc.gz").read_bytes()
-    entries = warc.read_index(f"{target}.idx")
+    entries = list(warc.read_index(f"{target}.idx"))
     assert [gzip.decompress(raw[e["offset"] : e["offset"] + e["length"]]) for e in entries] == data
     assert not mono.exists() and warc.normalise_file(f"file://{mono}", target) == 5
-    mono.write_bytes(gzip.compress(b"".join(data))[:-40])
-    with pytest.raises((ValueError, EOFError)):
+    for cut in (1, 8, 40, 10_000):
+        mono.write_bytes(gzip.compress(b"".join(data), 0)[:-cut])
+        with pytest.raises(ValueError, match="ends within"):
+            warc.normalise_file(f"file://{mono}", f"file://{tmp_path}/b.warc.gz")
+        assert mono.exists() and not (tmp_path / "b.warc.gz").exists()
+    mono.write_bytes(b"")
+    with pytest.raises(ValueError, match="no gzip member"):
         warc.normalise_file(f"file://{mono}", f"file://{tmp_path}/b.warc.gz")
 
 
+def test_inflation_is_bounded(monkeypatch):
+    import gzip
+    import io
+
+    monkeypatch.setattr(warc, "_READ", 1000)
+    data = b"a" * 300_000 + bytes(range(256)) * 50
+    stream = gzip.compress(data) + b"\0" * 2000 + gzip.compress(b"") + gzip.compress(b"end")
+    pieces = list(warc.inflate(io.BytesIO(stream)))
+    assert b"".join(pieces) == data + b"end" and max(map(len, pieces)) <= 1000
+
+
+def test_names_of_stores():
+    for path, want in (("s3a://bucket/key", "s3://bucket/key"), ("file:///tmp/x", "file:///tmp/x")):
+        assert warc.store_uri(path) == want
+
+
 RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
 
 
@@ -92,29 +113,57 @@ def test_targets(spark, sizes):
     assert got == pytest.approx(want)
 
 
-def test_mix(spark):
-    rows = [(i, " ".join(["w"] * (1 + i * 7 % 50)), "en", None if i % 11 == 0 else f"s{i % 4}", 1) for i in range(400)]
+def brute_queue(plan, repeats, share):
+    """(row, copy) -> words served, of one queue over rows of (row, source, size, end, source_size, target)."""
+    packets = []
+    for row, source, size, end, source_size, target in plan:
+        for copy in range(repeats):
+            for at in range(0, size, mixing.PACKET):
+                words = min(mixing.PACKET, size - at)
+                packets.append(((end - size + at + words + copy * source_size) / target, source, end, copy, at, words, row))
+    left, got = int(sum({s: t for _, s, *_, t in plan}.values())), {}
+    for *_, words, row in sorted(packets):
+        got[row] = got.get(row, 0) + min(words, left)
+        left -= min(words, left)
+    return got
+
+
+@pytest.mark.parametrize("packet", [256, 7])
+def test_mix(spark, monkeypatch, packet):
+    monkeypatch.setattr(mixing, "PACKET", packet)
+    rows = [(i, " ".join(["w"] * (i * 7 % 50 if i != 5 else 1500)), "en", None if i % 11 == 0 else f"s{i % 4}", 1) for i in range(400)]
+    rows += [rows[8], rows[0], rows[0]]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    plan = mixing.schedule(docs)
-    out = mixing.taken(plan).collect()
-    assert sorted(tuple(r) for r in out) == sorted(tuple(r) for r in mixing.taken(mixing.schedule(docs.repartition(7))).collect())
+    queued = mixing.queue(docs).cache()
+    out = mixing.taken(queued).collect()
+    assert len(out) == len(rows) and sorted(tuple(r) for r in out) == sorted(tuple(r) for r in mixing.taken(mixing.queue(docs.repartition(7))).collect())
+    plan = [tuple(r) for r in queued.where("size > 0").select("row", "source_key", "size", "end", "source_size", "target").distinct().collect()]
+    ends = {}
+    for _, source, size, end, source_size, _ in plan:
+        ends.setdefault(source, []).append((end, size, source_size))
+    for x in ends.values():  # the rows of a source follow each other without a gap
+        x.sort()
+        assert [e for e, *_ in x] == [sum(s for _, s, _ in x[: i + 1]) for i in range(len(x))] and x[-1][0] == x[-1][2]
+    want = brute_queue(plan, 2, 1.5)
+    assert {r.row: r.n for r in queued.where("size > 0").groupBy("row").agg(F.sum("served").alias("n")).collect()} == want
     source, by = {r[0]: r[3] for r in rows}, {}
     for r in out:
         assert 0 <= r["taken"] <= 2 * r["size"]
         got = by.setdefault(source[r.doc_id], [0, r.target])
         got[0] += r.taken
-    assert all(abs(t - k) <= 1 for k, t in by.values())
-    stream = mixing.mix(plan).collect()
+    assert all(abs(t - k) <= packet for k, t in by.values())
+    assert abs(sum(k for k, _ in by.values()) - sum(t for _, t in by.values())) <= 1
+    stream = mixing.mix(queued).collect()
     assert [r.finish for r in stream] == sorted(r.finish for r in stream)
     assert sum(r.served for r in stream) == sum(r.taken for r in out)
 
 
 def test_mix_edges(spark):
-    out = mixing.taken(mixing.schedule(edge(spark))).collect()
+    out = mixing.taken(mixing.queue(edge(spark))).collect()
     assert len(out) == len(EDGE)
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     assert sorted(r["size"] for r in out) == sorted(size(r[1]) for r in EDGE)
-    assert mixing.taken(mixing.schedule(empty(spark))).count() == 0
+    assert mixing.taken(mixing.queue(empty(spark))).count() == 0
     kept = mixing.keep_mixed(edge(spark))
     assert kept.columns == edge(spark).columns and kept.count() <= len(EDGE)
     assert mixing.keep_mixed(empty(spark)).count() == 0

@@ -29,6 +29,15 @@ def test_token_counts_are_the_librarys(tokenizer, library):
     assert tokenizer.counts(texts).tolist() == want
 
 
+def test_many_special_strings_take_linear_time(tokenizer, library):
+    import time
+
+    text = "ab<|endoftext|>" * 40_000
+    began = time.thread_time()
+    assert tokenizer._parts(text) == (["ab"] * 40_000 + [""], 40_000) and time.thread_time() - began < 0.3
+    assert tokenizer.counts([text[:3000]])[0] == len(library.encode(text[:3000], add_special_tokens=False).ids)
+
+
 def test_token_counts_survive_a_reset(tokenizer, library, monkeypatch):
     monkeypatch.setattr(token_count, "MAX_STATES", 50)
     texts = ["of the houses and rivers", "tionement éeaux", "of the houses and rivers"]
@@ -74,6 +83,41 @@ def test_cross_parsing_is_greedy_longest_match():
     assert letters.tolist() == [len(s) for s in samples]
 
 
+@pytest.mark.parametrize("block", [4, 64, 512])
+def test_blocks_dont_change_the_parse(monkeypatch, block):
+    monkeypatch.setattr(language_id, "BLOCK", block)
+    rng = random.Random(block)
+    vocabulary = ["".join(rng.choice("abcdefg") for _ in range(rng.randint(2, 7))) for _ in range(60)]
+    say = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    learned = {"aa": say(700), "bb": "gfedcba" * 40 + "xyz", "cc": "a"}
+    p = language_id.Parser(learned)
+
+    def greedy(t, ref):
+        n = i = 0
+        while i < len(t):
+            k = 1
+            while i + k <= len(t) and t[i : i + k] in ref:
+                k += 1
+            i += max(1, k - 1)
+            n += 1
+        return n
+
+    at = rng.randrange(200)
+    texts = [say(1000)[:5000], learned["aa"][at : at + 2500] + "q" + learned["aa"][:2400], "gfedcba" * 700, "a" * 3000, "xyz" * 50 + say(300), *[say(rng.randint(1, 300)) for _ in range(10)], "", None, "123"]
+    counts, _ = p.phrases(texts)
+    for k, lang in enumerate(p.languages):
+        assert counts[k].tolist() == [greedy(t, learned[lang]) if t and t != "123" else 0 for t in texts]
+
+
+def test_little_labelled_text_is_made_up_for():
+    rng = random.Random(4)
+    words = {lang: ["".join(rng.choice(letters) for _ in range(rng.randint(2, 6))) for _ in range(80)] for lang, letters in (("aa", "abcdef"), ("bb", "abcdeg"))}
+    say = lambda lang, n: " ".join(rng.choice(words[lang]) for _ in range(n))
+    p = language_id.Parser({"aa": say("aa", 8000), "bb": say("bb", 200)})
+    assert p.predict([say("bb", 60) for _ in range(50)])["lang"].tolist() == ["bb"] * 50
+    assert p.predict([say("aa", 60) for _ in range(50)])["lang"].tolist() == ["aa"] * 50
+
+
 def test_language_edges(spark):
     texts = {"en": "the house of the rising sun and the river of words " * 20, "de": "die häuser und der fluß mit vielen worten " * 20}
     out = {r.doc_id: r for r in language_id.identify(edge(spark), texts).collect()}
@@ -96,11 +140,18 @@ def test_held_out_accuracy(spark):
 
 
 def test_sample_is_bounded_openly(spark, monkeypatch):
-    docs = spark.createDataFrame([(1, "en", "ab " * 2000), (2, "de", "cd")], "doc_id long, lang string, text string")
-    assert len(language_id.sample(docs)["en"]) == 2000 and len(language_id.sample(docs, chars_per_row=5000)["en"]) == 5000
+    docs = [(1, "en", "ab " * 5000), (2, "de", "cd"), (None, "de", "ef"), (None, "de", "ef"), (3, None, "gh"), (4, "fr", None), (5, "es", "12 34")]
+    docs += [(10 + i, "it", f"word{i} " * 100) for i in range(100)] + [(200, "it", "long " * 2000)]
+    df = spark.createDataFrame(docs, "doc_id long, lang string, text string")
+    found = language_id.sample(df, chars_per_language=9000)
+    assert sorted(found) == ["de", "en", "it"] and found["en"] == ("ab " * 5000)[:9000] and sorted(found["de"].split()) == ["cd", "ef"]
+    assert len(found["it"]) == 9000 and "long" not in found["it"]
+    whole = [t for _, lang, t in docs if lang == "it"]
+    assert sum(t in found["it"] for t in whole) >= 9000 // 700 - 2
+    assert len(language_id.sample(df, rows_per_language=3)["it"]) <= 2402 + 3 and "long" in language_id.sample(df, chars_per_language=100_000)["it"]
     monkeypatch.setattr(language_id, "MAX_LANGUAGES", 1)
     with pytest.raises(ValueError, match="languages"):
-        language_id.sample(docs)
+        language_id.sample(df)
 
 
 KEY = b"test key"
