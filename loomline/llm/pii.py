@@ -1,16 +1,20 @@
 """PII: keyed surrogates for detected entities, type-consistent, of the same gender, script and format.
 
-A surrogate is the entity's canonical form under a keyed permutation of its format: the letters and digits that may
-vary are the digits of a number in mixed radix (each place has the alphabet of its character's kind), which a Feistel
-network permutes. So different entities of a format get different surrogates and one entity gets the same one in every
-document, without any table. Places that make a value valid (card and account check digits, private address ranges,
-country codes, top-level domains) are kept or recomputed. Known given names are permuted within the list of their
-gender and script; other names keep vowels and consonants apart, so that they can be spoken, and the endings that
-tell a gender. Titles stay as they are; unlisted names aren't drawn from a title's list, which has too few for all.
-
-Each document is checked: a surrogate that equals its original, or that of another entity there, is drawn anew under
-the next attempt's key. After ATTEMPTS of them, listed given names get letters as other names do, then names and
-the local parts of emails grow by a letter; the other formats are far larger than a document, and an error is raised if one is used up.
+A surrogate is the entity's canonical form under a keyed derangement of its format: the letters and digits that may
+vary are the digits of a number in mixed radix (each place has the alphabet of its character's kind). A Feistel network
+numbers the format's values in a secret order, and each is replaced by the next one in that order, round in a single
+cycle. So different entities of a format get different surrogates, none gets itself, and one entity gets the same
+surrogate in every document, whatever else stands there, without any table. Values that a format rules out (a listed
+name among unlisted ones, another ending, a private address) are walked over along the cycle, which keeps all three.
+
+Places that make a value valid (card and account check digits, private address ranges, country codes, top-level
+domains) are kept or recomputed. Known given names are replaced within the list of their gender and script; other names
+keep vowels and consonants apart, so that they can be spoken, and the endings that tell a gender. Titles stay as they
+are; unlisted names aren't drawn from a title's list, which has too few for all. Names are found behind titles and as a
+listed given name with a capitalised surname.
+
+Each document is checked for distinctness and coreference. What can't vary (a format with a single value, as an address
+of signs only) is the one case in which a surrogate would equal its original: letters are put in front of it then.
 
 Cases: null texts stay null with no entities; texts without entities are returned as they are; repeated rows are
 treated alike; a null doc_id is kept; an empty table gives no rows; other columns are ignored.
@@ -24,11 +28,12 @@ import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from loomline.llm.common import small_batches
+from loomline.llm.common import small_batches, tidy
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 #: Titles that a name follows, with the gender that they tell.
@@ -76,21 +81,33 @@ def _stream(key: bytes, *parts: object) -> int:
     return int.from_bytes(hashlib.blake2b("\x1f".join(map(str, parts)).encode("utf-8", "surrogatepass"), key=key, digest_size=32).digest(), "big")
 
 
-def permute(value: int, size: int, key: bytes, tweak: str) -> int:
-    """A keyed permutation of 0 ... size - 1: Feistel rounds on the next even number of bits, walked until within size."""
+def _rounds(value: int, half: int, size: int, key: bytes, tweak: str, back: bool) -> int:
+    mask = (1 << half) - 1
+    left, right = value >> half, value & mask
+    for r in reversed(range(8)) if back else range(8):
+        if back:
+            left, right = right ^ (_stream(key, tweak, size, r, left) & mask), left
+        else:
+            left, right = right, left ^ (_stream(key, tweak, size, r, right) & mask)
+    return left << half | right
+
+
+def permute(value: int, size: int, key: bytes, tweak: str, back: bool = False) -> int:
+    """A keyed permutation of 0 ... size - 1, or its inverse: Feistel rounds on the next even number of bits, walked until within size."""
     if size < 2:
         return value
     half = max(1, ((size - 1).bit_length() + 1) // 2)
-    mask = (1 << half) - 1
     while True:
-        left, right = value >> half, value & mask
-        for r in range(8):
-            left, right = right, left ^ (_stream(key, tweak, size, r, right) & mask)
-        value = left << half | right
+        value = _rounds(value, half, size, key, tweak, back)
         if value < size:
             return value
 
 
+def following(value: int, size: int, key: bytes, tweak: str) -> int:
+    """The value after this one in the permutation's order, round in one cycle: never itself if there are two."""
+    return permute((permute(value, size, key, tweak) + 1) % size, size, key, tweak, True)
+
+
 @lru_cache(maxsize=4096)
 def alphabet(c: str, kind: str) -> str:
     """What a character may become, itself included; kind: 'hex', 'spoken' (vowels and consonants apart) or ''."""
@@ -109,15 +126,27 @@ def alphabet(c: str, kind: str) -> str:
     return "".join(letters) if low in letters else low
 
 
+_HEX = re.compile(r"[0-9a-f]{16,}|[0-9A-F]{16,}")
+
+
 def redraw(text: str, key: bytes, tweak: str, kind: str = "") -> str:
-    """text with its letters and digits permuted in their places; case is kept and doesn't count."""
-    if kind == "" and len(text) >= 16 and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", text):
-        kind = "hex"
+    """The text of the same format that follows this one; case is kept and doesn't count. Digits in base 16 stay such."""
+    if kind == "":
+        if _HEX.fullmatch(text):
+            return _next(text, key, tweak, "hex")
+        new = _next(text, key, tweak, "")
+        while _HEX.fullmatch(new):
+            new = _next(new, key, tweak, "")
+        return new
+    return _next(text, key, tweak, kind)
+
+
+def _next(text: str, key: bytes, tweak: str, kind: str) -> str:
     places = [alphabet(c, kind) for c in text]
     value, size = 0, 1
     for c, letters in zip(text, places, strict=True):
         value, size = value * len(letters) + max(0, letters.find(c if c in letters else c.lower())), size * len(letters)
-    value = permute(value, size, key, f"{tweak}|{''.join(a[0] for a in places if a)}")
+    value = following(value, size, key, f"{tweak}|{''.join(a[0] for a in places if a)}")
     out = []
     for c, letters in zip(reversed(text), reversed(places), strict=True):
         value, k = divmod(value, len(letters))
@@ -144,26 +173,45 @@ def _email(s: str, key: bytes, tweak: str) -> str:
 
 
 def _phone(s: str, key: bytes, tweak: str) -> str:
-    """The country code stays, however the number is written."""
-    digits = re.sub(r"\D", "", s)
-    code = next((n for n in (1, 2) if digits[:n] in CODES), 3) if s[0] == "+" else 0
-    return _put_digits(s, digits[:code] + redraw(digits[code:], key, tweak))
+    """The country code stays, however the number is written, and so does a trunk zero in brackets."""
+    code, national = _phone_parts(s)
+    new = iter(redraw(national, key, tweak))
+    out, skip = [], len(code)
+    for i, c in enumerate(s):
+        if not c.isdigit() or s[i - 1 : i + 2] == "(0)":
+            out.append(c)
+        elif skip:
+            out.append(c)
+            skip -= 1
+        else:
+            out.append(next(new))
+    return "".join(out)
+
+
+def _phone_parts(s: str) -> tuple[str, str]:
+    """(country code, national number), empty and ten digits for a number without +."""
+    digits = re.sub(r"\D", "", s.replace("(0)", ""))
+    plain = "".join(str(unicodedata.decimal(c)) for c in digits)
+    code = next((n for n in (1, 2) if plain[:n] in CODES), 3) if s[0] == "+" else 0
+    return digits[:code], digits[code:]
+
+
+_PRIVATE = ((10, 8), (127, 8), (0xAC1, 12), (0xC0A8, 16))
 
 
 def _ip(s: str, key: bytes, tweak: str) -> str:
     value = 0
     for part in s.split("."):
         value = value << 8 | int(part)
-    for prefix, bits in ((10, 8), (127, 8), (0xAC1, 12), (0xC0A8, 16)):
+    for prefix, bits in _PRIVATE:
         if value >> (32 - bits) == prefix:
             rest = 32 - bits
-            value = prefix << rest | permute(value & ((1 << rest) - 1), 1 << rest, key, tweak)
+            value = prefix << rest | following(value & ((1 << rest) - 1), 1 << rest, key, f"{tweak}|{prefix}")
             break
     else:
-        private = lambda v: any(v >> (32 - b) == p for p, b in ((10, 8), (127, 8), (0xAC1, 12), (0xC0A8, 16)))
-        value = permute(value, 1 << 32, key, tweak)
-        while private(value):
-            value = permute(value, 1 << 32, key, tweak)
+        value = following(value, 1 << 32, key, tweak)
+        while any(value >> (32 - bits) == prefix for prefix, bits in _PRIVATE):
+            value = following(value, 1 << 32, key, tweak)
     return ".".join(str(value >> k & 255) for k in (24, 16, 8, 0))
 
 
@@ -196,8 +244,11 @@ def _script(word: str) -> str:
     return unicodedata.name(word[0], "").split(" ")[0]
 
 
+_GIVEN_PLACE = {n.lower(): (g, script, i) for (g, script), names in GIVEN.items() for i, n in enumerate(names)}
+
+
 def given_gender(word: str) -> str:
-    return next((g for (g, _), names in GIVEN.items() if word in names), "")
+    return _GIVEN_PLACE.get(word.lower(), ("",))[0]
 
 
 def _ending(word: str) -> str:
@@ -205,13 +256,17 @@ def _ending(word: str) -> str:
     return next((word[len(word) - len(e) :] for e in ENDINGS if len(word) > len(e) + 1 and low.endswith(e)), "")
 
 
+def _is_particle(word: str) -> bool:
+    return word in PARTICLES or len(word) > 1 and word.lower() in PARTICLES
+
+
 def _spoken(word: str, key: bytes, tweak: str) -> str:
-    """Other letters but for the ending; words of one ending are permuted among themselves, listed given names left out."""
+    """Other letters but for the ending; words of one ending follow each other, listed given names and particles left out."""
     end = _ending(word)
     new = word
     while True:
         new = redraw(new[: len(new) - len(end)], key, f"{tweak}|{end.lower()}" if end else tweak, "spoken") + end
-        if not given_gender(new) and _ending(new) == end:
+        if not given_gender(new) and not _is_particle(new) and _ending(new).lower() == end.lower():
             return new
 
 
@@ -219,14 +274,13 @@ def _name(s: str, key: bytes, tweak: str) -> str:
     """Given names by list, else and for surnames by spoken letters; each word by itself, so that a surname alone is the same."""
     out = []
     for word in re.split(r"([ -])", s):
-        gender = "" if tweak.endswith("|wide") else given_gender(word)
-        if gender:
-            names = GIVEN[gender, _script(word)]
-            out.append(names[permute(names.index(word), len(names), key, f"{tweak}|{gender}")])
-        elif word in (" ", "-", *PARTICLES):
+        if word in ("", " ", "-") or _is_particle(word):
             out.append(word)
-        elif given_gender(word):
-            out.append(redraw(word, key, tweak, "spoken"))
+        elif word.lower() in _GIVEN_PLACE:
+            gender, script, i = _GIVEN_PLACE[word.lower()]
+            names = GIVEN[gender, script]
+            new = names[following(i, len(names), key, f"{tweak}|{gender}|{script}")]
+            out.append(new.upper() if word.isupper() else new)
         else:
             out.append(_spoken(word, key, tweak))
     return "".join(out)
@@ -238,9 +292,11 @@ DRAW: dict[str, Callable[[str, bytes, str], str]] = {"email": _email, "phone": _
 def canonical(kind: str, s: str) -> str:
     """The same for all ways to write one entity."""
     if kind == "phone":
-        return re.sub(r"\D", "", s)[-10:]
+        return "+".join(_phone_parts(s)) if s[0] == "+" else f"1+{_phone_parts(s)[1]}"
     if kind in ("card", "ssn", "iban"):
         return re.sub(r"[ -]", "", s)
+    if kind == "ip":
+        return ".".join(str(int(x)) for x in s.split("."))
     return s.lower() if kind in ("email", "name") else s
 
 
@@ -248,6 +304,26 @@ def canonical(kind: str, s: str) -> str:
 _HINT = re.compile("|".join([*"0123456789@", *sorted(TITLES, key=len, reverse=True), *(f(w) for w in ("token", "secret", "passw", "key") for f in (str, str.upper, str.capitalize)), "AKIA"]))
 
 
+# A given name, more initials or words and a surname; sought where a listed given name stands.
+_FULL = re.compile(rf"(?<![\w.'’-])[{_UPPER}][^\W\d_]+(?:[ -][{_UPPER}](?:\.|[^\W\d_]+)){{0,2}} {_PARTICLES}[{_UPPER}](?:['’][{_UPPER}])?[^\W\d_]+(?:-[{_UPPER}][^\W\d_]+)?(?!\w)")
+@lru_cache(maxsize=1)
+def _given_names() -> ahocorasick.Automaton:
+    found = ahocorasick.Automaton()
+    for names in GIVEN.values():
+        for n in names:
+            for form in (n, n.upper()):
+                found.add_word(f"{form} ", len(form) + 1)
+                found.add_word(f"{form}-", len(form) + 1)
+    found.make_automaton()
+    return found
+
+
+def _full_names(text: str) -> Iterator[tuple[int, int, str]]:
+    for end, n in _given_names().iter(text):
+        if m := _FULL.match(text, end + 1 - n):
+            yield *m.span(), "name"
+
+
 def entities(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of each entity, in order."""
     found, done = [], 0
@@ -261,28 +337,28 @@ def entities(text: str) -> list[tuple[int, int, str]]:
             if kind == "iban" and not iban_valid(m[kind]):
                 continue
             found.append((start + lo, start + hi, kind))
-    return found
+    names, at = [], 0
+    for start, end, kind in _full_names(text):
+        while at < len(found) and found[at][1] <= start:
+            at += 1
+        if (at == len(found) or found[at][0] >= end) and (not names or names[-1][1] <= start):
+            names.append((start, end, kind))
+    return sorted(found + names) if names else found
 
 
-#: Draws of a surrogate within its format; the last free value of 40 is missed with a chance below 1e-10.
-ATTEMPTS = 1000
+def surrogate(kind: str, s: str, key: bytes) -> str:
+    """The same for all ways to write one entity, but for how it is written; never the entity itself."""
+    new = DRAW[kind](s, key, kind)
+    return new if canonical(kind, new) != canonical(kind, s) else _wider(kind, s, key, 0)
 
 
-def _draw(kind: str, s: str, own: str, taken: dict[tuple[str, str], str], key: bytes, first: int) -> tuple[str, int]:
-    """The first surrogate from attempt first on that neither equals the entity nor another's surrogate, and its attempt."""
-    for attempt in range(first, 3 * ATTEMPTS):
-        tweak, wide = (f"{kind}|{attempt}" if attempt else kind), attempt >= ATTEMPTS
-        if wide and kind == "email":
-            new = "x" * (attempt // ATTEMPTS) + DRAW[kind](s, key, tweak)
-        else:
-            new = DRAW[kind](s, key, f"{tweak}|wide" if wide and kind == "name" else tweak)
-            if kind == "name" and attempt >= 2 * ATTEMPTS:
-                new += new[-1]
-        form = canonical(kind, new)
-        if form != own and taken.get((kind, form), own) == own:
-            taken[kind, form] = own
-            return new, attempt
-    raise ValueError(f"a document has so many entities of kind {kind} that no surrogate of this format is free")
+def _wider(kind: str, s: str, key: bytes, attempt: int) -> str:
+    """A surrogate of a longer format, for what can't vary in its own."""
+    if kind == "email":
+        return f"{redraw('xxxx', key, f'{attempt}|{canonical(kind, s)}')}{s}"
+    if kind == "name":
+        return f"{redraw('Xaxax', key, f'{attempt}|{canonical(kind, s)}', 'spoken')}{s[1:]}"
+    raise ValueError(f"an entity of kind {kind} has no surrogate of its own")
 
 
 def replace(text: str | None, key: bytes) -> tuple[str | None, list[tuple[str, str]]]:
@@ -290,12 +366,15 @@ def replace(text: str | None, key: bytes) -> tuple[str | None, list[tuple[str, s
     if not text:
         return text, []
     parts, at, out = [], 0, []
-    taken: dict[tuple[str, str], str] = {}
-    drawn: dict[tuple[str, str], int] = {}
+    given: dict[tuple[str, str], str] = {}
     for start, end, kind in entities(text):
         s = text[start:end]
-        own = canonical(kind, s)
-        new, drawn[kind, own] = _draw(kind, s, own, taken, key, drawn.get((kind, own), 0))
+        own, new, attempt = canonical(kind, s), surrogate(kind, s, key), 0
+        # The check of distinctness and coreference: to one canonical form belongs one entity's. Only forms that Unicode
+        # folds together (of one letter in two spellings) can fail it.
+        while given.setdefault((kind, canonical(kind, new)), own) != own:
+            attempt += 1
+            new = _wider(kind, s, key, attempt)
         parts += [text[at:start], new]
         at = end
         out.append((kind, new))
@@ -309,6 +388,7 @@ def surrogates(docs: DataFrame, key: bytes) -> DataFrame:
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [replace(t, key) for t in b["text"]]
