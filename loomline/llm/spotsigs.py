@@ -3,7 +3,11 @@
 A signature is a common word (the anchor, the last of its run) with the chain of the next two content words; a text's
 first content words form one more, so that a text without common words has a signature too. A fingerprint is the set
 of signature hashes, sorted. Candidates for comparison are partitioned by set length, as a similarity bounds the ratio
-of lengths, and pairs are compared through pruned Jaccard: only those that share one of the first hashes of their sets.
+of lengths, and pairs are compared through pruned Jaccard: a pair whose lengths lie in partitions that aren't adjacent, or
+that shares none of the hashes that come first in its sets, can't reach the similarity and isn't intersected for the verdict.
+
+Each row is paired with its edited text and with the next document; near_edited and near_next are the exact
+similarities that follow, and same_edited and same_next the verdicts of the pruned comparison.
 
 The common words are a parameter; the default has the most usual function words of four languages.
 
@@ -61,30 +65,51 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(both == 0, 1.0).otherwise(shared / both)
 
 
+def first_hashes(signature_set: Column, threshold: float) -> Column:
+    """The hashes one of which two sets, ordered alike, have in common if they are as alike as threshold."""
+    size = F.size(signature_set)
+    return F.slice(signature_set, F.lit(1), (size - F.ceil(size * threshold) + 1).cast("int"))
+
+
+def pruned_jaccard(a: Column, b: Column, threshold: float) -> Column:
+    """Whether two sorted sets are as alike as threshold: by length partition, then first hashes, then intersection."""
+    adjacent = F.abs(length_partition(a, threshold) - length_partition(b, threshold)) <= 1
+    candidates = F.arrays_overlap(first_hashes(a, threshold), first_hashes(b, threshold))
+    both = (F.size(a) > 0) & (F.size(b) > 0)
+    return F.when(~both, F.size(a) == F.size(b)).when(~adjacent, False).when(~candidates, False).otherwise(likeness(a, b) >= threshold)
+
+
 def near_pairs(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """(pairs, members): class representatives a < b with likeness of threshold or more, and doc_id, class_id of every row.
 
-    A class is the documents of one fingerprint, named by its smallest doc_id; copies aren't paired. Two sets as alike
-    share one of their first size - ceil(threshold x size) + 1 hashes, and lie in adjacent length partitions; only such
-    representatives are compared. Documents without signatures are classes of their own.
+    A class is the documents of one fingerprint, named by its smallest doc_id; copies aren't paired. Sets are ordered by
+    how many classes have a hash, the rarest first, so that boilerplate signatures are among the first ones of such sets
+    only that have nothing else. Representatives in adjacent length partitions that share one of their first hashes
+    are compared. Documents without signatures are classes of their own.
     """
     sets = materialise(docs.select("doc_id", signatures(F.col("text")).alias("set")).withColumn("key", F.sha2(as_text(F.col("set")), 256)), "spotsigs")
-    classes = sets.where(F.size("set") > 0).groupBy("key").agg(F.min("doc_id").alias("class_id"), F.first("set").alias("set"))
-    size = F.size("set")
-    first = F.slice("set", F.lit(1), (size - F.ceil(size * threshold) + 1).cast("int"))
-    probes = classes.withColumn("part", length_partition(F.col("set"), threshold)).select("class_id", "part", size.alias("size"), F.explode(first).alias("hash"))
+    classes = materialise(sets.where(F.size("set") > 0).groupBy("key").agg(F.min("doc_id").alias("class_id"), F.first("set").alias("set")), "spotsigs-classes")
+    each = classes.select("key", F.explode("set").alias("hash"))
+    ranked = each.join(each.groupBy("hash").agg(F.count("*").alias("classes")), "hash")
+    ordered = ranked.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("classes", "hash"))), lambda x: x["hash"]).alias("rarest"))
+    size = F.size("rarest")
+    probes = ordered.join(classes.select("key", "class_id"), "key")
+    probes = probes.withColumn("part", length_partition(F.col("rarest"), threshold)).select("key", "class_id", "part", size.alias("size"), F.explode(first_hashes(F.col("rarest"), threshold)).alias("hash"))
     a, b = probes.select(*[F.col(c).alias(f"{c}_a") for c in probes.columns]), probes.select(*[F.col(c).alias(f"{c}_b") for c in probes.columns])
-    near = (F.col("hash_a") == F.col("hash_b")) & (F.col("class_id_a") < F.col("class_id_b")) & (F.abs(F.col("part_a") - F.col("part_b")) <= 1)
+    near = (F.col("hash_a") == F.col("hash_b")) & (F.col("key_a") < F.col("key_b")) & (F.abs(F.col("part_a") - F.col("part_b")) <= 1)
     near &= (F.col("size_a") >= F.col("size_b") * threshold) & (F.col("size_b") >= F.col("size_a") * threshold)
-    pairs = a.join(b, near).select(F.col("class_id_a").alias("a"), F.col("class_id_b").alias("b")).distinct()
-    pairs = pairs.join(classes.select(F.col("class_id").alias("a"), F.col("set").alias("set_a")), "a").join(classes.select(F.col("class_id").alias("b"), F.col("set").alias("set_b")), "b")
-    pairs = pairs.withColumn("likeness", likeness(F.col("set_a"), F.col("set_b"))).where(F.col("likeness") >= threshold).select("a", "b", "likeness")
+    pairs = a.join(b, near).select("key_a", "key_b").distinct()
+    named = lambda x: classes.select(F.col("key").alias(f"key_{x}"), F.col("class_id").alias(x), F.col("set").alias(f"set_{x}"))
+    pairs = pairs.join(named("a"), "key_a").join(named("b"), "key_b")
+    pairs = pairs.withColumn("likeness", likeness(F.col("set_a"), F.col("set_b"))).where(F.col("likeness") >= threshold).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "likeness")
     members = sets.join(classes.select("key", "class_id"), "key", "left").select("doc_id", F.when(F.size("set") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
     return pairs, members
 
 
-def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """doc_id and columns of every row, and next_<column> of the row that follows by doc_id (after the last: the first).
+def with_next(docs: DataFrame, columns: list[str], derived: dict[str, Column]) -> DataFrame:
+    """doc_id, columns and derived of every row, and next_<column> of the row that follows by doc_id (after the last: the first).
+
+    What is derived of the columns is made after the exchange, so it isn't shuffled.
 
     Rows are dealt into ranges of doc_id whose borders are ids themselves (approximate quantiles), and each range is
     windowed by itself. The first row of a range goes to the range before it too, which so knows what follows its last.
@@ -105,25 +130,28 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     is_border = F.array_contains(within, F.col("__order"))
     before = F.pmod(F.col("__range") - 1, F.lit(max(1, len(borders))))
     places = F.when(is_border, F.array(F.struct(F.col("__range").alias("r"), F.lit(False).alias("ghost")), F.struct(before.alias("r"), F.lit(True).alias("ghost")))).otherwise(F.array(F.struct(F.col("__range").alias("r"), F.lit(False).alias("ghost"))))
-    placed = rows.select("doc_id", "__order", *columns, F.explode(places).alias("p")).select("doc_id", "__order", *columns, "p.*")
+    placed = rows.select("doc_id", "__order", *columns, F.explode(places).alias("p")).select("doc_id", "__order", *columns, "p.*").repartition("r").withColumns(derived)
     window = Window.partitionBy("r").orderBy("ghost", "__order", F.xxhash64(*columns))
-    after = [F.lead(c).over(window).alias(f"next_{c}") for c in columns]
-    return placed.select("doc_id", *columns, *after, "ghost").where(~F.col("ghost")).drop("ghost")
+    all_columns = [*columns, *derived]
+    after = [F.lead(c).over(window).alias(f"next_{c}") for c in all_columns]
+    return placed.select("doc_id", *all_columns, *after, "ghost").where(~F.col("ghost")).drop("ghost")
 
 
-def fingerprints_and_edits(docs: DataFrame) -> DataFrame:
+def fingerprints_and_edits(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Each row's fingerprint beside that of its edited text and of the next document.
 
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many of the next document.
     """
-    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("signs", signatures(F.col("text")))
-    rows = with_next(own, ["text", "signs"])
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = with_next(own, ["text"], {"signs": signatures(F.col("text"))})
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     rows = rows.withColumn("n", n).withColumn("half", half)
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n") - F.col("half")), F.substring("next_text", F.lit(1), F.col("half"))))
     rows = rows.withColumn("edited_signs", signatures(F.col("edited")))
+    signs, edited, after = F.col("signs"), F.col("edited_signs"), F.col("next_signs")
     return rows.select(
-        "doc_id", F.col("n").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), as_text(F.col("signs")).alias("fingerprint"), as_text(F.col("edited_signs")).alias("edited_fingerprint"),
-        likeness(F.col("signs"), F.col("edited_signs")).cast("double").alias("near_edited"), likeness(F.col("signs"), F.col("next_signs")).cast("double").alias("near_next"),
+        "doc_id", F.col("n").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), as_text(signs).alias("fingerprint"), as_text(edited).alias("edited_fingerprint"),
+        likeness(signs, edited).cast("double").alias("near_edited"), likeness(signs, after).cast("double").alias("near_next"),
+        pruned_jaccard(signs, edited, threshold).alias("same_edited"), pruned_jaccard(signs, after, threshold).alias("same_next"),
     )
