@@ -2,7 +2,8 @@
 
 LPT is sequential, so what it schedules has a proven bound. A group of more than 1/256 of a shard's mean load is an
 item of its own: there are fewer than 256 x shards of those, as their sizes sum to at most the total. All other groups
-are hashed into 256 x shards bundles, each an item. At most 512 x shards items reach the driver's heap, at any input size.
+are hashed into 256 x shards bundles, each an item. At most 512 x shards items reach the driver's heap, at any input size,
+and as many rows are broadcast; more than MAX_SHARDS shards are refused.
 
 Rows are then numbered within their shard through cells of the row's hash, so that neither a large shard nor a large
 group is windowed in one task.
@@ -22,6 +23,8 @@ from loomline.llm.common import materialise, partitions
 
 #: Items per shard that one kind of item has at most.
 FINE = 256
+#: Shards of one call: 512 items of 24 bytes each are scheduled and broadcast.
+MAX_SHARDS = 10_000
 
 
 def lpt(items: list[tuple[object, int]], n_shards: int) -> dict[object, int]:
@@ -37,6 +40,8 @@ def lpt(items: list[tuple[object, int]], n_shards: int) -> dict[object, int]:
 
 def assign_shards(rows: DataFrame, group: Column, size: Column, n_shards: int = 40) -> DataFrame:
     """Adds shard (int). group: a long, equal for rows that stay together; size: a long. rows should be materialised."""
+    if not 0 < n_shards <= MAX_SHARDS:
+        raise ValueError(f"1 to {MAX_SHARDS} shards")
     spark = rows.sparkSession
     keyed = rows.withColumn("__group", group).withColumn("__bundle", F.pmod(F.xxhash64("__group", F.lit(7)), F.lit(n_shards * FINE)).cast("long"))
     total = keyed.agg(F.sum(size)).first()[0] or 0
