@@ -270,22 +270,62 @@ def brute_signatures(text):
     return {(a, w, groups[i + 1][1] if i + 1 < len(groups) else None) for i, (a, w) in enumerate(groups) if a is not None}
 
 
+def brute_sets(spark, texts):
+    """brute_signatures as the hashes that the engine gives each signature, so that sets can be compared by identity."""
+    found = [brute_signatures(t) for t in texts]
+    chains = [(i, f"{a}~{w}", nxt) for i, s in enumerate(found) for a, w, nxt in s]
+    schema = "i int, first string, second string"
+    chain = F.when(F.col("second").isNull(), F.xxhash64("first", F.lit(None).cast("string"))).otherwise(F.xxhash64("first", "second"))
+    out = [set() for _ in texts]
+    for r in spark.createDataFrame(chains, schema).select("i", F.shiftrightunsigned(chain, 16).alias("h")).collect():
+        out[r.i].add(r.h)
+    return out
+
+
+def as_hex(s):
+    return "".join(f"{h:012x}" for h in sorted(s))
+
+
 def test_signatures_and_next(spark):
-    docs = edge(spark).where("doc_id is not null")
-    rows = [(r.doc_id, r.text, len(r.s)) for r in docs.select("doc_id", "text", spotsigs.signatures(F.col("text")).alias("s")).collect()]
-    assert all(n == len(brute_signatures(t)) for _, t, n in rows if d_ok(t))
+    docs = edge(spark).where("doc_id is not null and instr(coalesce(text, ''), '~') = 0")
+    rows = [(r.doc_id, r.text, r.s) for r in docs.select("doc_id", "text", spotsigs.signatures(F.col("text")).alias("s")).collect()]
+    for (_, _, got), want in zip(rows, brute_sets(spark, [t for _, t, _ in rows])):
+        assert got == sorted(want)
     out = spotsigs.fingerprints_and_edits(edge(spark)).collect()
     assert len(out) == len(EDGE)
     by = {r.doc_id: r for r in out}
-    assert by[1].fingerprint == by[2].fingerprint and by[1].near_next == 1.0
+    assert by[1].fingerprint == by[2].fingerprint and by[1].near_next == 1.0 and by[1].same_next
     assert by[3].fingerprint == "" and by[3].n_chars == 0
     assert spotsigs.fingerprints_and_edits(empty(spark)).count() == 0
     one = spotsigs.fingerprints_and_edits(spark.createDataFrame([(5, "ab of cd", "en", "s", 8)], DOCUMENT)).first()
     assert one.near_next == 1.0 and one.n_chars == 8
 
 
-def d_ok(text):
-    return text is None or "~" not in text
+def test_fingerprints_and_likeness_are_brute_force(spark):
+    rng = random.Random(21)
+    words = [*spotsigs.COMMON_WORDS[:12], *(f"word{i}" for i in range(40))]
+    texts = []
+    for i in range(120):
+        w = [rng.choice(words) for _ in range(rng.choice([0, 1, 3, 40, 200]))]
+        texts.append(texts[-1] + " more" if i % 5 == 4 else texts[-1] if i % 5 == 3 else rng.choice([" ", ", ", "\n"]).join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    edited = [t[: len(t) - len(t) // 2] + texts[(i + 1) % len(texts)][: len(t) // 2] for i, t in enumerate(texts)]
+    own, changed = brute_sets(spark, texts), brute_sets(spark, edited)
+    alike = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    out = {r.doc_id: r for r in spotsigs.fingerprints_and_edits(df).collect()}
+    for i in range(len(texts)):
+        r, nxt = out[i], own[(i + 1) % len(texts)]
+        assert (r.fingerprint, r.edited_fingerprint) == (as_hex(own[i]), as_hex(changed[i]))
+        assert r.near_edited == pytest.approx(alike(own[i], changed[i])) and r.near_next == pytest.approx(alike(own[i], nxt))
+        assert r.same_edited == (alike(own[i], changed[i]) >= 0.8) and r.same_next == (alike(own[i], nxt) >= 0.8)
+    pairs, members = spotsigs.near_pairs(df, 0.8)
+    classes = {}
+    for i, s in enumerate(own):
+        if s:
+            classes.setdefault(as_hex(s), i)
+    reps = [(i, own[i]) for i in classes.values()]
+    assert {(r.a, r.b) for r in pairs.collect()} == {(i, j) for i, a in reps for j, b in reps if i < j and alike(a, b) >= 0.8}
+    assert {r.doc_id: r.class_id for r in members.collect()} == {i: classes.get(as_hex(s), i) for i, s in enumerate(own)}
 
 
 def test_next_is_global(spark):
