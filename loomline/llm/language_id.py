@@ -5,7 +5,8 @@ there and occurs in the language's text. Cross-parsing estimates the entropy of
 phrases x log2(length of the labelled text) / length of the text: longer labelled text has longer matches, and the
 logarithm makes up for it. The language of least entropy, so of fewest normalised phrases, wins.
 
-The automaton becomes a total transition table: where no match goes on, the step starts a new phrase and is marked.
+The automaton becomes a total transition table: where no match goes on, the step starts a new phrase and is marked. Of a
+large alphabet, the table is kept as the sorted list of its transitions instead, three a symbol learned at most.
 Texts are parsed in blocks of BLOCK symbols, all blocks of a slice in step, so a step of thousands of blocks is one
 numpy gather. A block's first run starts without an open phrase. Blocks are then run again from the state in which the
 block before them ended, until they meet their earlier run, from where on both are the same; a block that doesn't meet
@@ -49,9 +50,8 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def suffix_automaton(symbols: list[int], alphabet: int) -> np.ndarray:
-    """Transitions [state, symbol] of the minimal automaton of all factors; -1: none. State 0 is the start."""
-    most = 2 * len(symbols) + 2
+def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
+    """Of each state, symbol -> next state, of the minimal automaton of all factors. State 0 is the start."""
     nxt: list[dict[int, int]] = [{}]
     link, length = [-1], [0]
     last = 0
@@ -78,12 +78,42 @@ def suffix_automaton(symbols: list[int], alphabet: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = copy
         last = cur
-    assert len(nxt) <= most
-    table = np.full((len(nxt), alphabet), -1, np.int32)
-    for s, row in enumerate(nxt):
-        for c, t in row.items():
-            table[s, c] = t
-    return table
+    return nxt
+
+
+#: Entries of a table that is held as a whole; a larger one is held as the sorted list of its transitions.
+DENSE = 8_000_000
+
+
+class Steps:
+    """The total transition function of an automaton. A state is its number times the alphabet; flag marks a step that begins a phrase."""
+
+    def __init__(self, automaton: list[dict[int, int]], alphabet: int):
+        # One more state, the last, is where no phrase is open: at a text's start, and after a symbol that the labelled text lacks.
+        n = len(automaton) + 1
+        dense = n * alphabet <= DENSE
+        kind = np.int32 if dense else np.int64
+        self.flag = kind(1 << (30 if dense else 62))
+        self.start = kind((n - 1) * alphabet)
+        keys = np.array([s * alphabet + c for s, row in enumerate(automaton) for c in row], np.int64)
+        ends = np.array([t * alphabet for row in automaton for t in row.values()], kind)
+        self.first = np.full(alphabet, self.start | self.flag, kind)
+        for c, t in automaton[0].items():
+            self.first[c] = kind(t * alphabet) | self.flag
+        self.table = self.keys = None
+        if dense:
+            self.table = np.tile(self.first, n)
+            self.table[keys] = ends
+        else:
+            order = np.argsort(keys)
+            self.keys, self.ends = keys[order], ends[order]
+
+    def __call__(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        if self.table is not None:
+            return self.table[state + symbol]
+        key = state + symbol
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ends[at], self.first[symbol])
 
 
 class Parser:
@@ -97,18 +127,12 @@ class Parser:
         for i, c in enumerate(letters):
             self.symbols[ord(c)] = i + 2
         self.alphabet = len(letters) + 2
-        self.tables = []
+        self.steps = []
         self.bits = []  # log2 of the symbols learned
         for lang in self.languages:
             learned = self.encode(texts[lang]).tolist()
             self.bits.append(np.log2(len(learned) + 1))
-            t = suffix_automaton(learned, self.alphabet)
-            # One more state, the last, is where no phrase is open: at a block's start, and after a symbol that the text lacks.
-            n = len(t) + 1
-            t = np.concatenate([t, np.full((1, self.alphabet), -1, np.int32)])
-            first = np.where(t[0] < 0, n - 1, t[0])
-            # a step without transition begins a phrase: marked by adding the number of states
-            self.tables.append((np.where(t < 0, first[None, :] + n, t).astype(np.int32).ravel(), n))
+            self.steps.append(Steps(suffix_automaton(learned), self.alphabet))
 
     def encode(self, text: str) -> np.ndarray:
         s = self.symbols[code_points(text.lower())]
@@ -132,53 +156,56 @@ class Parser:
         sizes = np.array([len(p) for p in pieces])
         symbols = np.concatenate(pieces)
         blocks = -(-sizes // BLOCK)
-        first = np.repeat(np.cumsum(sizes) - sizes, blocks) + (np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)) * BLOCK
+        total = int(blocks.sum())
+        first = np.repeat(np.cumsum(sizes) - sizes, blocks) + (np.arange(total) - np.repeat(np.cumsum(blocks) - blocks, blocks)) * BLOCK
         size = np.minimum(first + BLOCK, np.repeat(np.cumsum(sizes), blocks)) - first
-        goes_on = np.ones(len(first) + 1, bool)  # whether a block follows another of its text
-        goes_on[np.append(0, np.cumsum(blocks))] = False
-        of = np.repeat(np.array(owner), blocks)
-        trace, marks = np.empty(len(symbols), np.int32), np.empty(len(symbols), bool)
-        for k, (table, n) in enumerate(self.tables):
-            end = self._run(table, n, symbols, first, size, np.full(len(first), n - 1, np.int32), trace, marks, False)
-            again = np.flatnonzero(goes_on[:-1])
+        follows = np.ones(total, bool)  # whether a block goes on with the text of the one before
+        follows[np.cumsum(blocks) - blocks] = False
+        # a column for each block, the longest first; a row for each step
+        order = np.argsort(-size, kind="stable")
+        column = np.empty(total, np.int64)
+        column[order] = np.arange(total)
+        width = int(size[order[0]])
+        by_block = np.zeros((total, width), symbols.dtype)
+        by_block.reshape(-1)[np.arange(len(symbols)) + np.repeat(column * width - first, size)] = symbols
+        grid = np.ascontiguousarray(by_block.T)
+        active = np.searchsorted(-size[order], -np.arange(1, width + 1), side="right").tolist()  # blocks of more than j symbols
+        of = np.repeat(np.array(owner), blocks)[order]
+        last = size[order] - 1
+        before = np.where(follows[order], column[np.maximum(order - 1, 0)], -1)  # the column of the block before
+        for k, step in enumerate(self.steps):
+            trace = np.zeros(grid.shape, self.steps[k].first.dtype)  # each symbol's state, flagged where a phrase begins
+            state = np.full(total, step.start, trace.dtype)
+            state_of = ~step.flag
+            for j, m in enumerate(active):
+                trace[j, :m] = t = step(state[:m], grid[j, :m])
+                state = t & state_of
+            end = trace[last, np.arange(total)] & state_of
+            again = np.flatnonzero(before >= 0)
             while len(again):
-                new = self._run(table, n, symbols, first[again], size[again], end[again - 1], trace, marks, True)
-                changed = again[new != end[again]]
-                end[again] = new
-                again = changed[goes_on[changed + 1]] + 1
-            counts[k] = np.bincount(of, np.add.reduceat(marks, first, dtype=np.int64), len(texts)).astype(np.int64)
+                changed = self._rerun(step, grid, trace, last, again, end[before[again]])
+                end[changed] = trace[last[changed], changed] & state_of
+                again = np.flatnonzero(np.isin(before, changed))
+            counts[k] = np.bincount(of, (trace >= step.flag).sum(axis=0), len(texts)).astype(np.int64)
         return counts, letters
 
-    def _run(self, table: np.ndarray, n: int, symbols: np.ndarray, first: np.ndarray, size: np.ndarray, state: np.ndarray, trace: np.ndarray, marks: np.ndarray, until_met: bool) -> np.ndarray:
-        """Runs blocks in step from their states; writes each symbol's state and whether it begins a phrase. Returns the states at the blocks' ends.
-
-        until_met: a block stops where it comes to the state of its earlier run, whose end is then its own.
-        """
-        out = trace[first + size - 1].copy() if until_met else np.empty(len(first), np.int32)
-        block = np.argsort(-size, kind="stable")
-        state = state[block]
-        j = 0
-        while len(block):
-            last = int(np.searchsorted(-size[block], -j, side="left"))  # blocks of more than j symbols
-            if last < len(block):
-                out[block[last:]] = state[last:]
-                block, state = block[:last], state[:last]
-                if not last:
-                    break
-            at = first[block] + j
-            t = table[state.astype(np.int64) * self.alphabet + symbols[at]]
-            new = t >= n
-            state = t - new * np.int32(n)
-            if until_met:
-                unmet = state != trace[at]
-                marks[at] = new
-                if not unmet.all():
-                    block, state, at = block[unmet], state[unmet], at[unmet]
-                trace[at] = state
-            else:
-                trace[at], marks[at] = state, new
+    @staticmethod
+    def _rerun(step: Steps, grid: np.ndarray, trace: np.ndarray, last: np.ndarray, columns: np.ndarray, state: np.ndarray) -> np.ndarray:
+        """Runs the blocks in these columns from other states, until each meets its earlier run. Returns those that don't and now end otherwise."""
+        changed, j = [], 0
+        while len(columns):
+            t = step(state, grid[j, columns])
+            state = t & ~step.flag
+            unmet = state != trace[j, columns] & ~step.flag
+            trace[j, columns] = t
+            ended = last[columns] == j
+            if ended.any():
+                changed.append(columns[unmet & ended])
+                unmet &= ~ended
+            if not unmet.all():
+                columns, state = columns[unmet], state[unmet]
             j += 1
-        return out
+        return np.concatenate(changed) if changed else np.empty(0, np.int64)
 
     def predict(self, texts: list[str | None]) -> pd.DataFrame:
         """lang, score (how much less entropy than the runner-up, as a share) and rate (phrases per letter)."""
@@ -244,7 +271,7 @@ def identify(docs: DataFrame, texts: dict[str, str]) -> DataFrame:
         parser = _parser(shipped.value)
         for b in batches:
             found = list(b["text"])
-            parts = [parser.predict(found[i:j]) for i, j in slices(found, 1_000_000)]
+            parts = [parser.predict(found[i:j]) for i, j in slices(found)]
             if parts:
                 p = pd.concat(parts, ignore_index=True)
                 yield b.assign(__lang=p["lang"].to_numpy(), __score=p["score"].to_numpy(), __rate=p["rate"].to_numpy())
@@ -267,7 +294,7 @@ def keep_identified(docs: DataFrame, texts: dict[str, str], most_rate: float = 0
         for b in batches:
             found = list(b["text"])
             keep = np.zeros(len(found), bool)
-            for i, j in slices(found, 1_000_000):
+            for i, j in slices(found):
                 counts, n = parser.phrases(found[i:j])
                 least = counts.min(axis=0) if len(counts) else np.zeros(j - i)
                 keep[i:j] = (n > 0) & ((n < letters) | (least <= most_rate * n))

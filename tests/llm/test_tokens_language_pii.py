@@ -83,9 +83,10 @@ def test_cross_parsing_is_greedy_longest_match():
     assert letters.tolist() == [len(s) for s in samples]
 
 
-@pytest.mark.parametrize("block", [4, 64, 512])
-def test_blocks_dont_change_the_parse(monkeypatch, block):
+@pytest.mark.parametrize("block,dense", [(4, 10**7), (64, 10**7), (512, 10**7), (64, 0)])
+def test_blocks_dont_change_the_parse(monkeypatch, block, dense):
     monkeypatch.setattr(language_id, "BLOCK", block)
+    monkeypatch.setattr(language_id, "DENSE", dense)
     rng = random.Random(block)
     vocabulary = ["".join(rng.choice("abcdefg") for _ in range(rng.randint(2, 7))) for _ in range(60)]
     say = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
