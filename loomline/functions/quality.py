@@ -70,13 +70,12 @@ def code_likeness(text: Column) -> Column:
     """The share of lines in fences or that look like code."""
 
     def body(ls: Column) -> Column:
-        def looks(line: Column, i: Column) -> Column:
+        def step(acc: Column, line: Column) -> Column:
             fence = F.trim(line).startswith("```")
-            inside = F.size(F.filter(F.slice(ls, F.lit(1), i), lambda x: F.trim(x).startswith("```"))) % 2 == 1
             word = F.trim(line).rlike(r"=|\bif\b|\bfor\b|\bwhile\b|\bdef\b|\bclass\b|\breturn\b|\bimport\b") & (F.length(F.trim(line)) > 8)
-            return fence | inside | word
+            return F.struct((acc["n"] + F.when(fence | acc["inside"] | word, 1).otherwise(0)).alias("n"), (acc["inside"] != fence).alias("inside"))
 
-        return F.round(F.size(F.filter(F.transform(ls, looks), lambda x: x)) / F.size(ls), 4)
+        return F.aggregate(ls, F.struct(F.lit(0).alias("n"), F.lit(False).alias("inside")), step, lambda a: F.round(a["n"] / F.size(ls), 4))
 
     return let(lines(text), body)
 

@@ -88,3 +88,9 @@ def sub_cap(budget: Column, fraction: float, floor: int) -> Column:
 
 def savings(original: Column, optimised: Column) -> Column:
     return F.greatest(F.lit(0), original - optimised).cast("long")
+
+
+def kv_estimate(tokens: Column) -> Column:
+    """Tokens and their key-value slots, four each, in words; from 10,000 on with a warning."""
+    shown = lambda n: F.format_number(n, 0)
+    return F.concat(shown(tokens), F.lit(" tokens (~"), shown(tokens * 4), F.lit(" KV slots"), F.when(tokens >= 10_000, " — near context limit)").otherwise(")"))

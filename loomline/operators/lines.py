@@ -12,25 +12,27 @@ from pyspark.sql import functions as F
 from loomline.functions.core import any_of, indexes, let, lines, unlines
 
 # Words and frames that tell a failure, lines that tell an outcome, and noise.
-FAILURE = r"(?i)\b(errors?|failed|failures?|panic|fatal|traceback|exceptions?|assert(?:ion)?error|unresolved|cannot|could not|no such|not found|permission denied|segfault|aborted|expected\b.*\bgot\b)\b|^[✗✘❌]"
+FAILURE = r"(?i)\b(errors?|failed|failures?|panic|fatal|traceback|exceptions?|assert(?:ion)?error|unresolved|cannot|could not|no such|not found|permission denied|segfault|aborted|expected\b.*\bgot\b)\b|^[✗✘❌]|^(FAIL|ERROR|PANIC|FATAL)\b"
 FRAME = r'^\s*File\s+"[^"]+",\s*line\s+\d+|\bat\s+\S+\s+\(?[\w./\\-]+:\d+[:\d]*\)?|^\s*[\w./\\-]+\.\w+:\d+(:\d+)?\b|^\s*[\w./\\-]+:\d+:\d+:'
 STACK_FRAME = r'^\s*File\s+"[^"]+",\s*line\s+\d+,\s*in\s+\S+'
 OUTCOME = r"(?i)\d+\s+(passed|failed|errors?|skipped|ignored|warnings?)|test result:|build (succeeded|failed|complete)|found \d+ (errors?|warnings?)|=+\s.*(pass|fail|error|summary).*\s=+"
 NOISE = r"(?i)^\s*(?:\.{2,}|\[?\s*\d+%\]?|ok\b.*\d+(?:\.\d+)?s|running\b.*|collecting\b.*|[-_=]{3,}|)\s*$"
 ANSI = r"\x1b\[[0-9;?]*[ -/]*[@-~]"
 # The filter's rules in order. Those that need a failure word can't fire, as failures pass unfiltered;
-# the rule for repeated lines is left out, as run collapse does what it means.
+# the rule for repeated lines is left out, as run collapse does what it means. A rule only has to fit somewhere, so
+# what may stand repeatedly (test lines, log lines, lines of a diff's statistics) stands once here.
 RULES = [
     (r"(?im)^(ok\s+\S+\s+[\d.]+s|\?\s+\S+\s+\S+|FAIL\s+\S+)", "[go test result]"),
-    (r"(?im)^.*?(\[100%\]|passed.*?failed).*?$", "[pytest result]"),
-    (r"(?im)^test result: ok\. \d+ passed; \d+ failed; \d+ ignored; \d+ measured; \d+ filtered out", "[cargo test result]"),
-    (r"(?im)^Tests:\s+\d+\s+passed,\s+\d+\s+failed,\s+\d+\s+total", "[npm test result]"),
+    (r"(?im)^(=+ .+ =+$)\n.*?(\d+ passed|passed).*?(\d+ failed|failed).*?(\d+ error|error).*?(\d+ skipped|skipped)", "[pytest summary]"),
+    (r"(?im)^(.*?\[100%\]|.*?passed.*?failed.*?)$", "[pytest result]"),
+    (r"(?im)^(test result: ok\. \d+ passed; \d+ failed; \d+ ignored; \d+ measured; \d+ filtered out)", "[cargo test result]"),
+    (r"(?im)^(Tests:\s+\d+\s+passed,\s+\d+\s+failed,\s+\d+\s+total)", "[npm test result]"),
     (r"(?im)^On branch \S+[\s\S]*?(?:Changes to be committed|Changes not staged for commit|nothing to commit|Untracked files)", "[git status]"),
     (r"(?im)^[0-9a-f]{7,40}\s+.*?\n", "[git log]"),
-    (r"(?im)^.*?\|.*?\n(.*?\|.*?\n)*\d+ files? changed.*$", "[git diff stat]"),
+    (r"(?im)^(.*?\|.*?\n)(\d+ files? changed.*)$", "[git diff stat]"),
     (r"(?im)^(Build succeeded|Build complete|Compilation succeeded|Finished \w+ \[.+\] in \d+\.\d+s)", "[build success]"),
-    (r"(?im)^error(?:\[[\w\s]+\])?:.*?$", "[build error]"),
-    (r"(?im)^Found \d+ (error|warning)s?.*?$", "[lint summary]"),
+    (r"(?im)^(error(?:\[[\w\s]+\])?:.*?)$", "[build error]"),
+    (r"(?im)^(Found \d+ (error|warning)s?.*?)$", "[lint summary]"),
     (r"(?im)^(Command finished successfully|Process completed|Done\.|Done in \d+\.\d+s)", "[shell ok]"),
 ]
 AWARE = "... [error-aware compressed:"
@@ -87,7 +89,6 @@ def collapsed_frames(text: Column) -> Column:
 
 def error_aware(text: Column, most: int) -> Column:
     """Of a text with an outcome: the verdict alone if nothing failed, else head, tail and diagnostics with context. Null without an outcome."""
-    fails = lambda x: x.rlike(FAILURE) | x.rlike(FRAME)
 
     def success(ls: Column) -> Column:
         verdict = F.trim(F.element_at(F.filter(ls, lambda x: x.rlike(OUTCOME)), 1))
@@ -95,12 +96,12 @@ def error_aware(text: Column, most: int) -> Column:
 
     def failure(ls: Column) -> Column:
         n = F.size(ls)
-        kinds = F.transform(ls, lambda x: F.struct(x.alias("x"), x.rlike(FRAME).alias("frame"), (x.rlike(FAILURE) | x.rlike(OUTCOME)).alias("word")))
+        kinds = F.transform(ls, lambda x: F.struct(x.alias("x"), x.rlike(FRAME).alias("frame"), (x.rlike(FAILURE) | x.rlike(OUTCOME)).alias("word"), x.rlike(NOISE).alias("noise")))
 
         def kept(ks: Column) -> Column:
             hit = lambda i, only_frame=False: F.coalesce(F.get(ks, i)["frame"] if only_frame else F.get(ks, i)["frame"] | F.get(ks, i)["word"], F.lit(False))
             near = lambda i: (i < 4) | (i >= n - 4) | hit(i) | hit(i + 1) | hit(i - 1) | hit(i - 2, True)
-            noisy = lambda i: ks[i]["x"].rlike(NOISE) & ~ks[i]["word"]
+            noisy = lambda i: ks[i]["noise"] & ~ks[i]["word"]
             places = F.filter(F.transform(indexes(ls), lambda i: i - 1), lambda i: near(i) & ~noisy(i))
             gapped = lambda ps: F.flatten(F.transform(ps, lambda i, k: F.when((k > 0) & (i != F.get(ps, k - 1) + 1), F.array(F.lit("..."), ks[i]["x"])).otherwise(F.array(ks[i]["x"]))))
             return unlines(let(places, gapped))
@@ -112,7 +113,8 @@ def error_aware(text: Column, most: int) -> Column:
 
         return let(let(kinds, kept), capped)
 
-    whole = lambda ls: F.when(F.exists(ls, fails), failure(ls)).otherwise(success(ls))
+    # the signal is sought in the whole text first; only texts that have it are classified line by line
+    whole = lambda ls: F.when(failure_signal(text), failure(ls)).otherwise(success(ls))
     return F.when(text.contains(AWARE), text).when(text.rlike(per_line(OUTCOME)), let(lines(text), whole))
 
 

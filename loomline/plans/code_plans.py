@@ -48,7 +48,10 @@ def outline(m: DataFrame) -> DataFrame:
     return m.select("id", F.array_join(kept, "\n").alias("outline"))
 
 
-@query(CODE)
+@query(CODE, f"""WITH p AS (SELECT id, string_split(content, '```') AS ps FROM src), e AS (SELECT id, i, ps[i] AS p FROM (SELECT id, ps, unnest(range(1, len(ps) + 1)) AS i FROM p)),
+    b AS (SELECT id, i, p, i % 2 = 0 AND contains(p, chr(10)) AS fenced, string_split(regexp_replace(p, '^[^\\n]*\\n', ''), chr(10)) AS ls FROM e),
+    k AS (SELECT id, i, CASE WHEN fenced THEN split_part(p, chr(10), 1) || chr(10) || array_to_string([CASE WHEN regexp_matches(trim(x), '{K.SKELETON}') OR trim(x) = '' OR starts_with(trim(x), '#') THEN x ELSE repeat(' ', length(x) - length(ltrim(x))) || '...' END FOR x IN ls], chr(10)) ELSE p END AS t FROM b)
+    SELECT id, string_agg(t, '```' ORDER BY i) AS content FROM k GROUP BY id""")
 def skeleton_fences(m: DataFrame) -> DataFrame:
     return m.select("id", K.over_fences(C("content"), K.skeleton).alias("content"))
 
@@ -87,7 +90,8 @@ def block_optimise(m: DataFrame) -> DataFrame:
 DOUBLED = f"SELECT id, conv_id, turn, content || chr(10) || content AS content FROM ({CODE})"
 
 
-@query(DOUBLED)
+@query(DOUBLED, """WITH p AS (SELECT id, string_split(content, '```') AS ps FROM src)
+    SELECT id, array_to_string([CASE WHEN i % 2 = 0 AND (len(ps) % 2 = 1 OR i < len(ps)) THEN CASE WHEN list_contains([ps[j] FOR j IN range(2, i, 2)], ps[i]) THEN '' ELSE '```' || ps[i] || '```' END WHEN i % 2 = 0 THEN '```' || ps[i] ELSE ps[i] END FOR i IN range(1, len(ps) + 1)], '') AS content FROM p""")
 def dup_blocks(m: DataFrame) -> DataFrame:
     return m.select("id", K.without_repeated_blocks(C("content")).alias("content"))
 

@@ -12,8 +12,17 @@ from loomline.plans.registry import CODE, LOGS, MESSAGES, VOLATILE_TEXT, query
 C = F.col
 _q = lambda s: s.replace("'", "''")
 _ml = lambda p: _q(L.per_line(p))
-_FAILS = f"(regexp_matches(text, '{_ml(L.FAILURE)}') OR regexp_matches(text, '{_ml(L.FRAME)}'))"
-_RULES = "CASE " + " ".join(f"WHEN regexp_matches(text, '{_q(p)}') THEN '{m}'" for p, m in L.RULES) + " ELSE text END"
+# Written apart from the operator's patterns: what the words, marks and rules mean, a condition each.
+_FAIL_WORDS = "error errors failed failure failures panic fatal traceback exception exceptions asserterror assertionerror unresolved cannot could_not no_such not_found permission_denied segfault aborted".split()
+_FAILS = "(" + " OR ".join([
+    *(rf"regexp_matches(lower(text), '\b{w.replace('_', ' ')}\b')" for w in _FAIL_WORDS), r"regexp_matches(lower(text), '\bexpected\b.*\bgot\b')", "regexp_matches(chr(10) || text, '\\n[✗✘❌]')", r"regexp_matches(chr(10) || lower(text), '\n(fail|error|panic|fatal)\b')",
+    f"regexp_matches(text, '{_ml(L.FRAME)}')",
+]) + ")"
+_RULES = "CASE " + " ".join(f"WHEN {c} THEN '{m}'" for c, m in [
+    (r"regexp_matches(chr(10) || lower(text), '\n(ok\s+\S+\s+[0-9.]+s|\?\s+\S+\s+\S)')", "[go test result]"), (r"regexp_matches(text || chr(10), '(?i)(\[100%\]\n|passed[^\n]*failed)')", "[pytest result]"),
+    (r"regexp_matches(chr(10) || lower(text), '\non branch \S')", "[git status]"), (r"regexp_matches(chr(10) || lower(text), '\n[0-9a-f]{7,40}\s+[^\n]*\n')", "[git log]"), (r"regexp_matches(lower(text), '\|[^\n]*\n[0-9]+ files? changed')", "[git diff stat]"),
+    (r"regexp_matches(chr(10) || lower(text), '\n(build succeeded|build complete|compilation succeeded)')", "[build success]"), (r"regexp_matches(chr(10) || lower(text), '\nfound [0-9]+ warnings?')", "[lint summary]"), (r"regexp_matches(chr(10) || lower(text), '\n(command finished successfully|process completed|done\.|done in [0-9]+\.[0-9]+s)')", "[shell ok]"),
+]) + " ELSE text END"
 _LINES = "l AS (SELECT log_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM src)"
 
 
@@ -49,12 +58,15 @@ def document_runs(d: DataFrame) -> DataFrame:
     return d.select("doc_id", L.collapsed_runs(C("text")).alias("collapsed"))
 
 
-@query(LOGS, f"""WITH {_LINES}, f AS (SELECT *, regexp_matches(x, '{_q(L.STACK_FRAME)}') AS frame FROM l),
+_FRAMES = f"""WITH {_LINES}, f AS (SELECT *, regexp_matches(x, '{_q(L.STACK_FRAME)}') AS frame FROM l),
     s AS (SELECT *, CASE WHEN frame AND lag(frame) OVER (PARTITION BY log_id ORDER BY i) IS NOT DISTINCT FROM true THEN 0 ELSE 1 END AS new FROM f),
     g AS (SELECT *, sum(new) OVER (PARTITION BY log_id ORDER BY i) AS run FROM s),
     b AS (SELECT log_id, run, min(i) AS i, any_value(frame) AS frame, string_agg(x, chr(10) ORDER BY i) AS body, count(*) AS n FROM g GROUP BY log_id, run),
     k AS (SELECT *, row_number() OVER (PARTITION BY log_id, frame, body ORDER BY i) AS seen FROM b)
-    SELECT log_id, string_agg(CASE WHEN frame AND seen > 1 THEN '... (stack frame block repeated; omitted ' || n || ' lines) ...' ELSE body END, chr(10) ORDER BY i) AS collapsed FROM k GROUP BY log_id""")
+    SELECT log_id, string_agg(CASE WHEN frame AND seen > 1 THEN '... (stack frame block repeated; omitted ' || n || ' lines) ...' ELSE body END, chr(10) ORDER BY i) AS collapsed FROM k GROUP BY log_id"""
+
+
+@query(LOGS, _FRAMES)
 def frame_blocks(d: DataFrame) -> DataFrame:
     return d.select("log_id", L.collapsed_frames(C("text")).alias("collapsed"))
 
@@ -69,9 +81,13 @@ _AWARE = f"""{_LINES}, k AS (SELECT *, regexp_matches(x, '{_q(L.FRAME)}') AS fra
     verdict AS (SELECT log_id, trim(arg_min(x, i)) AS v FROM w WHERE has_outcome AND NOT fails AND outcome GROUP BY log_id)"""
 
 
-@query(LOGS, f"""WITH {_AWARE} SELECT s.log_id, CASE WHEN v IS NOT NULL THEN v || chr(10) || '{L.AWARE} success collapsed ' || length(text) || ' -> ~' || length(v) || ' chars] ...'
-    WHEN length(body) > 160 THEN substr(body, 1, 160) || chr(10) || '{L.AWARE} capped at 160 chars] ...' WHEN length(body) < length(text) THEN body || chr(10) || '{L.AWARE} ' || length(text) || ' -> ' || length(body) || ' chars] ...' ELSE body END AS extracted
-    FROM src s LEFT JOIN out o USING (log_id) LEFT JOIN verdict v USING (log_id)""")
+def _extracted(most: int) -> str:
+    return f"""WITH {_AWARE} SELECT s.log_id, CASE WHEN v IS NOT NULL THEN v || chr(10) || '{L.AWARE} success collapsed ' || length(text) || ' -> ~' || length(v) || ' chars] ...'
+    WHEN length(body) > {most} THEN substr(body, 1, {most}) || chr(10) || '{L.AWARE} capped at {most} chars] ...' WHEN length(body) < length(text) THEN body || chr(10) || '{L.AWARE} ' || length(text) || ' -> ' || length(body) || ' chars] ...' ELSE body END AS extracted
+    FROM src s LEFT JOIN out o USING (log_id) LEFT JOIN verdict v USING (log_id)"""
+
+
+@query(LOGS, _extracted(160))
 def error_context(d: DataFrame) -> DataFrame:
     return d.select("log_id", L.error_aware(C("text"), 160).alias("extracted"))
 
@@ -100,19 +116,35 @@ def tool_budget(d: DataFrame) -> DataFrame:
     return d.groupBy("tool").agg(F.count("*").alias("outputs"), F.sum(F.length("text")).alias("chars_in"), F.sum((F.length("text") > cap).cast("long")).alias("over"))
 
 
-@query(LOGS)
+def _compressed(source: str, most: int) -> str:
+    """A query of log_id and compressed of a table with log_id and text: the steps one after the other, each the lone operator's SQL."""
+    step = lambda sql, of: f"WITH src AS (SELECT * FROM {of}), {sql.strip()[5:]}"
+    runs, first = "WITH " + _RUNS.format(lines=_LINES, id="log_id"), int(most * 0.6)
+    plain = rf"SELECT log_id, regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '{L.ANSI}', '', 'g') AS text FROM {source} WHERE length(text) > {most}"
+    cut = f"CASE WHEN length(c2.text) <= {most} THEN c2.text ELSE substr(c2.text, 1, {first}) || chr(10) || '{L.TRUNCATED} ' || (length(c2.text) - {most}) || ' chars omitted] ...' || chr(10) || right(c2.text, {most - first}) END"
+    return f"""WITH c0 AS ({plain}), c1 AS (SELECT log_id, collapsed AS text FROM ({step(_FRAMES, "c0")})), c2 AS (SELECT log_id, collapsed AS text FROM ({step(runs, "c1")})), c3 AS ({step(_extracted(most), "c2")})
+        SELECT s.log_id, CASE WHEN length(s.text) <= {most} THEN s.text ELSE coalesce(c3.extracted, {cut}) END AS compressed FROM {source} s LEFT JOIN c2 ON c2.log_id = s.log_id LEFT JOIN c3 ON c3.log_id = s.log_id"""
+
+
+@query(LOGS, f"WITH z AS ({_compressed('src', 200)}) SELECT log_id, tool, compressed FROM z JOIN src USING (log_id)")
 def compress_tool_output(d: DataFrame) -> DataFrame:
     return d.select("log_id", "tool", L.compressed(C("text"), 200).alias("compressed"))
 
 
-@query(LOGS)
+@query(LOGS, f"WITH z AS ({_compressed('src', 200)}) SELECT tool, sum(length(text))::BIGINT AS chars_in, sum(length(compressed))::BIGINT AS chars_out FROM z JOIN src USING (log_id) GROUP BY tool")
 def tool_savings(d: DataFrame) -> DataFrame:
     """Characters in and out of compression by tool."""
     out = d.select("tool", F.length("text").alias("a"), F.length(L.compressed(C("text"), 200)).alias("b"))
     return out.groupBy("tool").agg(F.sum("a").alias("chars_in"), F.sum("b").alias("chars_out"))
 
 
-@query(LOGS)
+_MASKED = "compressed"
+for _p, _m in T.VOLATILE:
+    _MASKED = f"regexp_replace({_MASKED}, '{_p}', '{_m}', 'g')"
+
+
+@query(LOGS, f"""WITH tools AS (SELECT log_id, CASE WHEN length(text) < 200 OR {_FAILS} THEN text ELSE {_RULES} END AS text FROM src WHERE log_id % 3 <> 0), users AS (SELECT log_id, text FROM src WHERE log_id % 3 = 0)
+    SELECT log_id, 'tool' AS role, {_MASKED} AS content FROM ({_compressed('tools', 250)}) UNION ALL SELECT log_id, 'user', compressed FROM ({_compressed('users', 300)})""")
 def boundary_pipeline(d: DataFrame) -> DataFrame:
     role = F.when(C("log_id") % 3 == 0, "user").otherwise("tool")
     return d.select("log_id", role.alias("role"), L.boundary(C("text"), role, 250, 300, T.masked).alias("content"))

@@ -47,15 +47,20 @@ def anchor_recall(d: DataFrame) -> DataFrame:
     return d.select("doc_id", F.round(sum((low.contains(a).cast("int") for a in ("license", "token", "@")), F.lit(0)) / 3, 6).alias("anchor_recall"))
 
 
-@query(CODE)
+_KINDS = [(0.4, r"\b([\w.-]+(?:/[\w.-]+)+)\b"), (0.3, r"\b(?:def|class|function|method|symbol)\s+([a-z_]\w*)"), (0.2, r"(?m)^(.*\b(?:error|failed|assert|exception)\b.*)$"), (0.1, r"(?m)^(.*\b(?:must|should|required|ensure|acceptance)\b.*)$"), (0.1, r"(```[^\n]*\n)")]
+_FOUND = [f"[x FOR x IN regexp_extract_all(low, '{p}', 1) IF trim(x) <> '']" for _, p in _KINDS]
+
+
+@query(CODE, f"""WITH t AS (SELECT id, lower(content) AS low, lower(split_part(content, '```js', 1)) AS short FROM src),
+    f AS (SELECT id, {', '.join(f'CASE WHEN len({x}) > 0 THEN {w} ELSE 0.0 END::DOUBLE AS t{i}, CASE WHEN len({x}) > 0 AND len([y FOR y IN {x} IF NOT contains(short, trim(y))]) = 0 THEN {w} ELSE 0.0 END::DOUBLE AS k{i}' for i, ((w, _), x) in enumerate(zip(_KINDS, _FOUND, strict=True)))} FROM t)
+    SELECT id, CASE WHEN {' + '.join(f't{i}' for i in range(5))} > 0 THEN round(({' + '.join(f'k{i}' for i in range(5))}) / ({' + '.join(f't{i}' for i in range(5))}), 6) END AS anchor_recall FROM f""")
 def anchor_categories(m: DataFrame) -> DataFrame:
     """Without explicit anchors: paths 0.4, symbols 0.3, failures 0.2, rules 0.1, fences 0.1, each all or nothing, against the text without its second block."""
     short = F.lower(F.element_at(F.split("content", "```js"), 1))
     low = F.lower("content")
     find = lambda p: F.array_distinct(F.filter(F.regexp_extract_all(low, F.lit(p), F.lit(1)), lambda x: F.trim(x) != ""))
-    kinds = [(0.4, r"\b([\w.-]+(?:/[\w.-]+)+)\b"), (0.3, r"\b(?:def|class|function|method|symbol)\s+([a-z_]\w*)"), (0.2, r"(?m)^(.*\b(?:error|failed|assert|exception)\b.*)$"), (0.1, r"(?m)^(.*\b(?:must|should|required|ensure|acceptance)\b.*)$"), (0.1, r"(```[^\n]*\n)")]
     total, kept = F.lit(0.0), F.lit(0.0)
-    for weight, pattern in kinds:
+    for weight, pattern in _KINDS:
         has = F.size(find(pattern)) > 0
         total = total + F.when(has, weight).otherwise(0.0)
         kept = kept + F.when(has & F.forall(find(pattern), lambda x: F.col("short").contains(F.trim(x))), weight).otherwise(0.0)

@@ -71,6 +71,7 @@ LOGS = """SELECT event_id AS log_id, user_id AS conv_id, event_type AS tool,
     || CASE WHEN event_id % 4 = 0 THEN 'test case failed' || chr(10) ELSE '' END
     || CASE WHEN event_id % 5 = 1 THEN 'Build succeeded' || chr(10) WHEN event_id % 5 = 2 THEN 'On branch main' || chr(10) || 'nothing to commit' || chr(10) ELSE '' END
     || CASE WHEN event_id % 3 = 0 THEN CAST(event_id % 9 AS STRING) || ' passed in 1s' || chr(10) ELSE '' END
+    || CASE WHEN event_id % 7 = 3 THEN 'ok  ' || chr(9) || 'example.org/' || event_type || chr(9) || '0.012s' || chr(10) ELSE '' END || CASE WHEN event_id % 14 = 3 THEN 'FAIL' || chr(9) || 'example.org/y' || chr(9) || '0.010s' || chr(10) ELSE '' END
     || 'end of ' || event_type AS text
     FROM {events}"""
 

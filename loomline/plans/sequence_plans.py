@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from loomline.functions import text as T
 from loomline.functions.core import any_of, let
-from loomline.plans.registry import CODE, MESSAGES, ORACLE, QUERIES, STEPS, TRACES, fixture, query, table
+from loomline.plans.registry import CODE, MESSAGES, ORACLE, QUERIES, STEPS, TRACES, fixture, oracle_text, query, table
 from loomline.plans.text_plans import ordered_join
+from loomline.sources import messages as M
 
 C = F.col
 
@@ -170,12 +173,30 @@ def query_vectors(v: DataFrame) -> DataFrame:
     return v.where("vec_id % 50 = 0")
 
 
+#: Query vectors that are broadcast at once (with 64 dimensions, 6 MB).
+QUERY_BLOCK = 20_000
+
+
+def in_query_blocks(v: DataFrame, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """search of the query set, in blocks of about QUERY_BLOCK by hash, each broadcast and held against every row."""
+    q = query_vectors(v).withColumnsRenamed({"vec_id": "query_id", "embedding": "query"})
+    n = -(-q.count() // QUERY_BLOCK)
+    found = search(q) if n <= 1 else None
+    for i in range(n if n > 1 else 0):
+        part = search(q.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i))
+        found = part if found is None else found.union(part)
+    return found
+
+
 def nearest(v: DataFrame, k: int) -> DataFrame:
-    """The k nearest of each query vector, of all vectors: queries in blocks against every row, the best kept by partition first."""
-    q = query_vectors(v).select(C("vec_id").alias("query_id"), C("embedding").alias("query"))
-    scored = v.join(F.broadcast(q), C("vec_id") != C("query_id")).select("query_id", "vec_id", cosine(C("query"), C("embedding"), 5).alias("similarity"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
-    return scored.withColumn("place", F.row_number().over(w)).where(C("place") <= k)
+    """The k nearest of each query vector, of all vectors; the best are kept by partition first."""
+
+    def search(q: DataFrame) -> DataFrame:
+        scored = v.join(F.broadcast(q.select("query_id", "query")), C("vec_id") != C("query_id")).select("query_id", "vec_id", cosine(C("query"), C("embedding"), 5).alias("similarity"))
+        w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
+        return scored.withColumn("place", F.row_number().over(w)).where(C("place") <= k)
+
+    return in_query_blocks(v, search)
 
 
 @query(_VEC, f"WITH s AS (SELECT a.vec_id AS query_id, b.vec_id, {_COS} AS similarity FROM src a JOIN src b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS place FROM s) SELECT query_id, vec_id, similarity, place FROM r WHERE place <= 5")
@@ -186,11 +207,31 @@ def vector_search(v: DataFrame) -> DataFrame:
 @query(_VEC, f"WITH s AS (SELECT a.vec_id AS query_id, b.vec_id, {_COS} AS similarity FROM src a JOIN src b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND a.label = b.label), r AS (SELECT *, max(similarity) OVER (PARTITION BY query_id) >= 0.2 AS any_good, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS place FROM s) SELECT query_id, vec_id, similarity, place FROM r WHERE place <= 5 AND (NOT any_good OR similarity >= 0.2)")
 def rank_with_fallback(v: DataFrame) -> DataFrame:
     """Chunks (vectors of the query's label) of similarity 0.2 or more, the five best; the five best anyway if none is."""
-    q = query_vectors(v).select(C("vec_id").alias("query_id"), C("embedding").alias("query"), "label")
-    s = v.join(F.broadcast(q), "label").where(C("vec_id") != C("query_id")).select("query_id", "vec_id", cosine(C("query"), C("embedding"), 5).alias("similarity"))
-    w = Window.partitionBy("query_id")
-    s = s.withColumn("any_good", F.max("similarity").over(w) >= 0.2).withColumn("place", F.row_number().over(w.orderBy(F.desc("similarity"), "vec_id")))
-    return s.where((C("place") <= 5) & (~C("any_good") | (C("similarity") >= 0.2))).select("query_id", "vec_id", "similarity", "place")
+
+    def search(q: DataFrame) -> DataFrame:
+        s = v.join(F.broadcast(q), "label").where(C("vec_id") != C("query_id")).select("query_id", "vec_id", cosine(C("query"), C("embedding"), 5).alias("similarity"))
+        w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
+        # the first of the five best is the best, so whether any is good shows among them
+        best = s.withColumn("place", F.row_number().over(w)).where("place <= 5")
+        best = best.withColumn("any_good", F.max("similarity").over(Window.partitionBy("query_id")) >= 0.2)
+        return best.where(~C("any_good") | (C("similarity") >= 0.2)).select("query_id", "vec_id", "similarity", "place")
+
+    return in_query_blocks(v, search)
+
+
+def vector_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of vectors with metadata, written in two appends and read back."""
+    v, d = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "documents")
+    rows = v.join(d.select(C("doc_id").alias("vec_id"), "source"), "vec_id", "left").select(C("vec_id").alias("turn_id"), "embedding", F.create_map(F.lit("source"), F.col("source")).alias("metadata"))
+    path = M.shared_path(spark, "vector-index")
+    for part in (0, 1):
+        M.index_vectors(rows.where(F.pmod("turn_id", F.lit(2)) == part), path)
+    found = M.read_vectors(spark, path)
+    return found.select("turn_id", F.size("embedding").cast("long").alias("dimensions"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")), 4).alias("squared_norm"), C("metadata")["source"].alias("source"))
+
+
+QUERIES["vector_index_write"] = vector_index
+ORACLE["vector_index_write"] = "SELECT e.vec_id AS turn_id, CAST(len(e.embedding) AS BIGINT) AS dimensions, round(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]), 4) AS squared_norm, d.source FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id"
 
 
 def embedding_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -397,12 +438,13 @@ def terse_instruction(m: DataFrame) -> DataFrame:
 
 
 def message_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Steps of a session, each once by its fingerprint: a second delivery of the same steps adds none."""
-    s = fixture(spark, sf_dir, STEPS)
+    """Steps of a session with tool name and call id, each once by its fingerprint: a second delivery of the same steps adds none."""
+    s = fixture(spark, sf_dir, STEPS).withColumn("tool_id", F.when(C("tool_name").isNotNull(), F.concat(F.lit("call_"), C("event_id").cast("string"))))
     again = s.union(s.where("step_index % 3 = 0"))
     key = T.step_fingerprint(C("role"), C("step_index"), C("content"), C("tool_name"), F.lit("{}"))
-    return again.withColumn("fingerprint", key).dropDuplicates(["conv_id", "fingerprint"]).groupBy("conv_id").agg(F.count("*").alias("steps"), F.count("tool_name").alias("tool_steps"))
+    steps = again.withColumn("fingerprint", key).dropDuplicates(["conv_id", "fingerprint"])
+    return steps.select("conv_id", "step_index", "role", "tool_name", "tool_id", "content", F.length("fingerprint").alias("fingerprint_length"))
 
 
 QUERIES["step_ingest"] = message_steps
-ORACLE["step_ingest"] = "SELECT user_id AS conv_id, count(*) AS steps, count(*) FILTER (WHERE event_id % 5 IN (1, 3)) AS tool_steps FROM events GROUP BY user_id"
+ORACLE["step_ingest"] = f"SELECT conv_id, step_index, role, tool_name, CASE WHEN tool_name IS NOT NULL THEN 'call_' || event_id END AS tool_id, content, 64 AS fingerprint_length FROM ({oracle_text(STEPS)})"

@@ -9,6 +9,7 @@ from loomline.functions import text as T
 from loomline.operators import summary as S
 from loomline.operators import zones as Z
 from loomline.plans.registry import CODE, LOGS, MESSAGES, ORACLE, QUERIES, STEPS, TRACES, fixture, query, table
+from loomline.plans.text_plans import _TASKS as TASKS
 from loomline.plans.text_plans import TOK, ordered_join, static_prefix
 from loomline.plans.zone_plans import _TURNS
 from loomline.sources import messages as M
@@ -91,6 +92,9 @@ def jsonl_reader(d: DataFrame) -> DataFrame:
     return parsed.select("event_id", C("j.k").alias("k"), C("j._corrupt").isNotNull().alias("corrupt"), (C("j.k").isNull() & C("j._corrupt").isNull()).alias("incomplete"))
 
 
+ORACLE["jsonl_reader"] = "SELECT event_id, CASE WHEN event_id % 10 > 1 THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k, event_id % 10 = 0 AS corrupt, event_id % 10 = 1 AS incomplete FROM events"
+
+
 @query("events", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM src")
 def json_field(d: DataFrame) -> DataFrame:
     return d.select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
@@ -199,15 +203,33 @@ def hit_route(m: DataFrame) -> DataFrame:
 
 
 def hit_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boosted trees (20 of depth 3) on the features of the conversations; the label is a hit of the session's last trace."""
+    """Boosted trees (20 of depth 3) on the recorded outcomes of all turns but each session's last three, which are predicted.
+
+    A turn's outcome is a hit if half of its prompt or more came from the cache. Its features are its size and what was
+    recorded of the session before it.
+    """
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    f = features(fixture(spark, sf_dir, MESSAGES))
-    label = (F.pmod(F.xxhash64("conv_id"), F.lit(3)) == 0) | (C("static_ratio") > 0.3)
-    data = VectorAssembler(inputCols=["total_tokens", "static_tokens", "static_ratio", "message_count", "mean_length", "turn_count"], outputCol="features").transform(f.withColumn("label", label.cast("double")))
-    model = GBTClassifier(maxIter=20, maxDepth=3, seed=7).fit(data)
-    return model.transform(data).select("conv_id", "label", "prediction")
+    r = recorded_outcomes(fixture(spark, sf_dir, TRACES))
+    data = VectorAssembler(inputCols=["raw_tokens", "prompt_tokens", "turn", "last_hit", "hit_rate", "last_cached"], outputCol="features").transform(r)
+    model = GBTClassifier(maxIter=20, maxDepth=3, seed=7).fit(data.where("left > 3"))
+    return model.transform(data.where("left <= 3")).select("session_id", "turn", "label", "prediction")
+
+
+@query(TRACES, """WITH h AS (SELECT *, CASE WHEN cached_tokens * 2 >= prompt_tokens THEN 1.0 ELSE 0.0 END AS label FROM src)
+    SELECT session_id, turn, label, coalesce(lag(label) OVER w, 0.0) AS last_hit, round(coalesce(avg(label) OVER (PARTITION BY session_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0), 6) AS hit_rate, count(*) OVER (PARTITION BY session_id) - turn + 1 AS left FROM h WINDOW w AS (PARTITION BY session_id ORDER BY turn)""", name="record_outcome")
+def record_outcome(t: DataFrame) -> DataFrame:
+    return recorded_outcomes(t).select("session_id", "turn", "label", "last_hit", F.round("hit_rate", 6).alias("hit_rate"), "left")
+
+
+def recorded_outcomes(t: DataFrame) -> DataFrame:
+    """Each turn's outcome (label), what was recorded of its session before it, and how many turns are left with it."""
+    w = Window.partitionBy("session_id").orderBy("turn")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    t = t.withColumn("label", (C("cached_tokens") * 2 >= C("prompt_tokens")).cast("double"))
+    t = t.withColumn("last_hit", F.coalesce(F.lag("label").over(w), F.lit(0.0))).withColumn("last_cached", F.coalesce(F.lag("cached_tokens").over(w), F.lit(0)))
+    return t.withColumn("hit_rate", F.coalesce(F.avg("label").over(before), F.lit(0.0))).withColumn("left", F.count("*").over(Window.partitionBy("session_id")) - C("turn") + 1)
 
 
 QUERIES["hit_classifier"] = hit_classifier
@@ -227,10 +249,12 @@ def session_ttl(e: DataFrame) -> DataFrame:
     return e.groupBy("user_id", F.session_window("ts", "1 hour").alias("w")).agg(F.count("*").alias("events")).select("user_id", C("w.start").alias("started"), "events")
 
 
-@query("events", "WITH l AS (SELECT user_id, max(ts) AS last_active, count(*) AS events FROM src GROUP BY user_id), r AS (SELECT *, row_number() OVER (ORDER BY last_active DESC, user_id) AS k FROM l) SELECT user_id, events FROM r WHERE k <= 100")
-def session_cap(e: DataFrame) -> DataFrame:
-    """The hundred sessions active last (the manager's cap)."""
-    return e.groupBy("user_id").agg(F.max("ts").alias("last_active"), F.count("*").alias("events")).orderBy(F.desc("last_active"), "user_id").limit(100).select("user_id", "events")
+@query("events", "WITH l AS (SELECT user_id, max(ts) AS last_active, count(*) AS events FROM src GROUP BY user_id), r AS (SELECT *, row_number() OVER (ORDER BY last_active DESC, user_id) AS k FROM l) SELECT user_id, events FROM r WHERE k <= 256")
+def session_cap(e: DataFrame, most: int = 256) -> DataFrame:
+    """The sessions active last, as many as the manager keeps; 0: all."""
+    sessions = e.groupBy("user_id").agg(F.max("ts").alias("last_active"), F.count("*").alias("events"))
+    kept = sessions.orderBy(F.desc("last_active"), "user_id").limit(most) if most else sessions
+    return kept.select("user_id", "events")
 
 
 @query("events", "SELECT user_id, count(*) AS events, min(ts) AS first_seen, max(ts) AS last_seen, round(sum(value), 4) AS total FROM src GROUP BY user_id")
@@ -254,6 +278,8 @@ def request_hygiene(m: DataFrame) -> DataFrame:
     return m.select("conv_id", "turn", F.map_filter("extra", lambda k, v: ~k.startswith("_"))["a"].alias("a"), F.size(F.map_filter("extra", lambda k, v: ~k.startswith("_"))).alias("n_extra"))
 
 
+ORACLE["request_hygiene"] = "SELECT conv_id, turn, 'x' AS a, 1 AS n_extra FROM conversations"
+
 # --- streams --------------------------------------------------------------------------------------------------------
 
 
@@ -294,7 +320,7 @@ def main_pipeline(m: DataFrame) -> DataFrame:
     return compact_conversations(m, budget=600)
 
 
-@query(MESSAGES, None)
+@query(MESSAGES, "WITH f AS (SELECT conv_id, coalesce(arg_min(content, turn) FILTER (WHERE role = 'user'), '') AS content FROM src GROUP BY conv_id), " + TASKS.replace("FROM src", "FROM f", 1)[5:] + " SELECT conv_id, task, task || ':' || CAST(('0x' || substr(md5(task), 1, 8))::BIGINT % 1000 AS STRING) || ':' || substr(md5(content), 1, 8) AS partition_key FROM k")
 def template_partition(m: DataFrame) -> DataFrame:
     first = m.groupBy("conv_id").agg(F.coalesce(F.min_by("content", F.when(C("role") == "user", C("turn"))), F.lit("")).alias("c"))
     return first.select("conv_id", T.task_class(C("c")).alias("task"), T.partition_key(T.task_class(C("c")), C("c")).alias("partition_key"))

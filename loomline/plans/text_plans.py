@@ -247,6 +247,11 @@ def adaptive_budget_fold(t: DataFrame) -> DataFrame:
     return sessions.select("session_id", F.explode(folded).alias("f")).select("session_id", "f.turn", "f.output")
 
 
+@query(TRACES, "WITH n AS (SELECT session_id, turn, prompt_tokens * turn AS t FROM src) SELECT session_id, turn, format('{:,}', t) || ' tokens (~' || format('{:,}', t * 4) || ' KV slots' || CASE WHEN t >= 10000 THEN ' — near context limit)' ELSE ')' END AS estimate FROM n")
+def kv_estimate(t: DataFrame) -> DataFrame:
+    return t.select("session_id", "turn", K.kv_estimate(C("prompt_tokens") * C("turn")).alias("estimate"))
+
+
 @query(TRACES, "SELECT session_id, CAST(sum(greatest(0, raw_tokens - prompt_tokens)) AS BIGINT) AS saved, round(avg(prompt_tokens), 6) AS mean_prompt FROM src GROUP BY session_id")
 def savings(t: DataFrame) -> DataFrame:
     return t.groupBy("session_id").agg(F.sum(K.savings(C("raw_tokens"), C("prompt_tokens"))).alias("saved"), F.round(F.avg("prompt_tokens"), 6).alias("mean_prompt"))

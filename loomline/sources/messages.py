@@ -37,8 +37,11 @@ def filled(m: DataFrame) -> DataFrame:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that all executors share; a local one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file:///tmp/checkpoints/loomline"
+    """A fresh path in the folder that all executors share; in local mode, a local one where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    base = base or "file:///tmp/checkpoints/loomline"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
@@ -54,6 +57,19 @@ def parquet_round_trip(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A row of the vector index.
+VECTOR = "turn_id BIGINT, embedding ARRAY<FLOAT>, metadata MAP<STRING, STRING>"
+
+
+def index_vectors(rows: DataFrame, path: str) -> None:
+    """Appends turn_id, embedding and metadata to the index, which begins where there is none. What is there stays."""
+    rows.select("turn_id", "embedding", "metadata").write.mode("append").parquet(path)
+
+
+def read_vectors(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(VECTOR).parquet(path)
+
+
 #: The scenario's kinds of turns.
 KINDS = ["add", "refine", "wrap-up"]
 

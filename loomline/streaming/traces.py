@@ -10,9 +10,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from loomline.sources.messages import shared_path
 
@@ -22,7 +23,8 @@ C = F.col
 
 def events(spark: SparkSession, path: str) -> DataFrame:
     schema = spark.read.parquet(path).schema
-    stream = spark.readStream.schema(schema).parquet(path if "*" in path else f"{path}*")
+    # a stream reads a folder or a pattern of names; a class of one character makes a pattern that fits this name alone
+    stream = spark.readStream.schema(schema).parquet(path if "*" in path else f"{path[:-1]}[{path[-1]}]")
     return stream.withColumn("ts", C("ts").cast("timestamp"))
 
 
@@ -36,7 +38,7 @@ def _run(df: DataFrame, mode: str, name: str) -> DataFrame:
 
     q = df.writeStream.outputMode(mode).option("checkpointLocation", check).foreachBatch(keep).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(df.schema).option("basePath", out).parquet(f"{out}/*")
+    return spark.read.schema(StructType([*df.schema.fields, StructField("batch", IntegerType())])).option("basePath", out).parquet(f"{out}/*")
 
 
 def window_counts(spark: SparkSession, path: str) -> DataFrame:
@@ -48,7 +50,10 @@ def window_counts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def expired_sessions(spark: SparkSession, path: str, idle_ms: int = 3_600_000) -> DataFrame:
-    """user_id, events, total of sessions as they end: after an hour of silence in event time, or (open ones) at the end of input."""
+    """user_id, events, total of sessions as they end: after an hour of silence in event time, or (open ones) at the end of input.
+
+    A session's state is three numbers; a batch's rows of one user are one task's.
+    """
     e = events(spark, path).withWatermark("ts", "1 minute").select("user_id", "ts", "value")
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -71,4 +76,6 @@ def expired_sessions(spark: SparkSession, path: str, idle_ms: int = 3_600_000) -
         yield pd.DataFrame([*done, (key[0], n, total, False)], columns=["user_id", "events", "total", "ended"])
 
     out = e.groupBy("user_id").applyInPandasWithState(step, "user_id BIGINT, events BIGINT, total DOUBLE, ended BOOLEAN", "events BIGINT, total DOUBLE, last BIGINT", "update", GroupStateTimeout.EventTimeTimeout)
-    return _run(out, "update", "sessions")
+    # a session that stays open is told of with each batch; only what a user's last batch says of it stands
+    rows = _run(out, "update", "sessions").withColumn("__last", F.max("batch").over(Window.partitionBy("user_id")))
+    return rows.where(C("ended") | (C("batch") == C("__last"))).drop("batch", "__last")

@@ -55,6 +55,63 @@ def test_filter_keeps_failures(spark):
     assert one(spark, "Build succeeded", L.filtered) == "Build succeeded"
 
 
+def test_failing_go_test_keeps_its_log(spark):
+    log = "=== RUN   TestA\n--- FAIL: TestA (0.00s)\n    a_test.go: want 1\nFAIL\tgithub.com/x/y\t0.012s\nok  \tgithub.com/x/z\t0.010s\n" + "verbose line\n" * 20
+    assert one(spark, log, L.filtered) == log and one(spark, log, L.failure_signal)
+    passing = "ok  \tgithub.com/x/z\t0.010s\n" + "verbose line\n" * 20
+    assert one(spark, passing, L.filtered) == "[go test result]" and not one(spark, passing, L.failure_signal)
+    out = one(spark, "1 passed\n" + log, lambda t: L.compressed(t, 150))
+    assert "FAIL\tgithub.com/x/y" in out and "success collapsed" not in out
+    for line, signal in (("FAIL x", True), ("a FAIL x", False), ("FAILING", False), ("✗ case", True), ("PANIC: x", True), ("fatal", True), ("nothing", False)):
+        assert one(spark, f"start\n{line}\nend", L.failure_signal) is signal
+
+
+def test_rules(spark):
+    pad = "plain\n" * 60
+    cases = {
+        "tests 50% [100%] more": None, "tests .... [100%]": "[pytest result]", "test result: ok. 3 passed; 0 failed; 0 ignored; 0 measured; 0 filtered out": None, "abcdef1 fix it": "[git log]", " a.py | 3 ++\n1 file changed, 3 insertions": "[git diff stat]",
+        "On branch main\nnothing to commit": "[git status]", "Done in 1.2s": "[shell ok]", "Found 3 warnings here": "[lint summary]", "Finished dev [opt] in 0.05s": "[build success]", "Something else": None,
+    }
+    for text, marker in cases.items():
+        whole = f"{text}\n{pad}"
+        assert one(spark, whole, L.filtered) == (marker or whole), text
+
+
+def test_code_likeness(spark):
+    assert one(spark, "a\n```\nx\ny\n```\nplain words\nvalue = some + 1", Q.code_likeness) == round(5 / 7, 4)
+    assert one(spark, "```\nx", Q.code_likeness) == 1.0 and one(spark, "a", Q.code_likeness) == 0.0
+    assert one(spark, "if x = 1\n" * 20_000, Q.code_likeness) > 0 - 1
+
+
+def test_query_blocks_find_the_same(spark, monkeypatch):
+    from tests.conftest import DATA
+
+    from loomline.plans import sequence_plans as P
+    from loomline.plans.catalog import QUERIES
+
+    whole = {n: sorted(map(tuple, QUERIES[n](spark, DATA).collect())) for n in ("vector_search", "rank_with_fallback")}
+    monkeypatch.setattr(P, "QUERY_BLOCK", 1)
+    assert whole == {n: sorted(map(tuple, QUERIES[n](spark, DATA).collect())) for n in whole}
+
+
+def test_session_cap_is_a_parameter(spark):
+    from loomline.plans.state_plans import session_cap
+
+    e = spark.createDataFrame([(i, f"2024-01-01 00:{i % 60:02d}:00") for i in range(300)], "user_id long, ts string")
+    assert [session_cap(e, n).count() for n in (7, 0)] == [7, 300] and session_cap(e).count() == 256
+
+
+def test_hit_classifier_predicts_recorded_outcomes(spark):
+    from tests.conftest import DATA
+
+    from loomline.plans.catalog import QUERIES
+
+    real = {(r.session_id, r.turn): r.label for r in QUERIES["record_outcome"](spark, DATA).collect()}
+    out = QUERIES["hit_classifier"](spark, DATA).collect()
+    assert out and all(real[r.session_id, r.turn] == r.label and r.prediction in (0.0, 1.0) for r in out)
+    assert max(sum(1 for r in out if r.session_id == s) for s in {r.session_id for r in out}) <= 3
+
+
 def test_packing(spark):
     assert one(spark, "aa\nbb\ncccccccc\nd", lambda t: L.packed(t, 4)) == ["aa\nbb", "cccccccc", "d"]
     assert one(spark, "", lambda t: L.packed(t, 4)) == [""]
@@ -157,6 +214,19 @@ def test_sessions_of_stream_match_batch(spark):
     total = batch.groupBy("user_id").agg(F.sum("n").alias("n"))
     late = ended.join(total.withColumnRenamed("n", "all"), "user_id").where("n > all").count()
     assert late == 0 and ended.count() > 0
+    counted = out.groupBy("user_id").agg(F.sum("events").alias("n"), F.count_if(~F.col("ended")).alias("open")).collect()
+    assert {r.user_id: r.n for r in counted} == {r.user_id: r.n for r in total.collect()} and all(r.open <= 1 for r in counted)
+
+
+def test_streams_read_no_sibling_file(spark, tmp_path):
+    from tests.conftest import DATA
+
+    from loomline.streaming import traces
+
+    e = spark.read.parquet(f"{DATA}/events.parquet")
+    e.limit(50).write.parquet(str(tmp_path / "events.parquet"))
+    e.write.parquet(str(tmp_path / "events.parquet.bak"))
+    assert traces.window_counts(spark, str(tmp_path / "events.parquet")).agg(F.sum("n")).first()[0] == 50
 
 
 def test_queries_read_whole_texts(spark, tmp_path):
