@@ -6,10 +6,11 @@ logs never mix. Positions are found first (where runs or blocks begin), then lin
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomline.functions.core import any_of, indexes, let, lines, unlines
+from loomline.functions.text import handle
 
 # Words and frames that tell a failure, lines that tell an outcome, and noise.
 FAILURE = r"(?i)\b(errors?|failed|failures?|panic|fatal|traceback|exceptions?|assert(?:ion)?error|unresolved|cannot|could not|no such|not found|permission denied|segfault|aborted|expected\b.*\bgot\b)\b|^[✗✘❌]|^(FAIL|ERROR|PANIC|FATAL)\b"
@@ -154,3 +155,12 @@ def packed(text: Column, most: int) -> Column:
 
 def any_line(text: Column, patterns: list[str]) -> Column:
     return any_of(text.rlike(per_line(p)) for p in patterns)
+
+
+def deduplicated(m: DataFrame, of: Column | None = None, least: int = 200) -> DataFrame:
+    """conv_id, turn, content and more: a long output (of: which rows are) seen before in its session becomes a placeholder with the original's handle. Adds duplicate."""
+    of = F.lit(True) if of is None else of
+    k = F.row_number().over(Window.partitionBy("conv_id", F.sha2("content", 256), of).orderBy("turn"))
+    text = F.col("content")
+    note = F.concat(F.lit("[original retained: handle="), handle(text), F.lit(", "), F.length(text).cast("string"), F.lit(" chars; duplicate output]"))
+    return m.withColumn("duplicate", of & (k > 1) & (F.length(text) >= least)).withColumn("content", F.when(F.col("duplicate"), note).otherwise(text))

@@ -172,9 +172,7 @@ _DUP = "SELECT doc_id % 50 AS conv_id, doc_id AS turn, text AS content FROM {doc
     SELECT conv_id, turn, CASE WHEN k > 1 AND length(content) >= 200 THEN '[original retained: handle=' || substr(sha256(content), 1, 16) || ', ' || length(content) || ' chars; duplicate output]' ELSE content END AS content FROM r""")
 def dup_output(d: DataFrame) -> DataFrame:
     """A long output seen before in its session becomes a placeholder with the original's handle."""
-    k = F.row_number().over(Window.partitionBy("conv_id", F.sha2("content", 256)).orderBy("turn"))
-    note = F.concat(F.lit("[original retained: handle="), T.handle(C("content")), F.lit(", "), F.length("content").cast("string"), F.lit(" chars; duplicate output]"))
-    return d.withColumn("k", k).select("conv_id", "turn", F.when((C("k") > 1) & (F.length("content") >= 200), note).otherwise(C("content")).alias("content"))
+    return L.deduplicated(d).select("conv_id", "turn", "content")
 
 
 @query(_DUP, "SELECT turn, content AS original FROM src")

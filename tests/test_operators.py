@@ -163,6 +163,28 @@ def test_ledger_of_evicted_code(spark):
     assert out.content == "[Evicted-turn code index]\nclass Parser\ndef compute_hash(x)" or out.content == "[Evicted-turn code index]\ndef compute_hash(x)\nclass Parser"
 
 
+def test_pipeline_folds_dedups_and_warns(spark):
+    output = "line of a tool's output\n" * 20
+    rows = [(1, 0, "system", "s" * 40), (1, 1, "user", "Please build the parser and keep the tests green"), (1, 2, "assistant", "I will read src/app/main.py first")]
+    for i in range(3):
+        rows.append((1, 3 + i, "tool", output))
+    rows += [(1, 6, "assistant", "the error in main was found: failed to parse the header")]
+    for i in range(8):
+        rows += [(1, 7 + 2 * i, "user", f"step {i} " + "q" * 300), (1, 8 + 2 * i, "assistant", "r" * 300)]
+    frame = spark.createDataFrame(rows, MESSAGE)
+    whole = compact_conversations(frame, 100_000).orderBy("place").collect()
+    assert [r.content for r in whole].count(output) == 1 and sum("duplicate output]" in r.content for r in whole) == 2
+    out = compact_conversations(frame, 300).orderBy("place").collect()
+    kinds = [r.synthetic for r in out]
+    assert "summary" in kinds and "anchor" in kinds
+    summary = next(r for r in out if r.synthetic == "summary")
+    assert summary.content.startswith(S.MARKER) and "build the parser" in summary.content and "src/app/main.py" in summary.content and "failed to parse" in summary.content
+    assert out[kinds.index("summary") - 1].role == "user" and "came again 2 times" in out[-1].content
+    assert sum(len(r.content) for r in out) <= sum(len(r[3]) for r in rows)
+    tiny = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "a" * 50), (1, 2, "user", "more"), (1, 3, "assistant", "b")], MESSAGE)
+    assert sum(len(r.content) for r in compact_conversations(tiny, 1).collect()) <= 57
+
+
 def test_text_forms(spark):
     assert one(spark, "a \r\nb\t\n\n\n\nc", T.canonical) == "a\nb\n\nc"
     assert one(spark, "x ```\ny", T.balanced_fences) == "x ```\ny"
