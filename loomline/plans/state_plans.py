@@ -217,8 +217,8 @@ def hit_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.transform(data.where("left <= 3")).select("session_id", "turn", "label", "prediction")
 
 
-@query(TRACES, """WITH h AS (SELECT *, CASE WHEN cached_tokens * 2 >= prompt_tokens THEN 1.0 ELSE 0.0 END AS label FROM src)
-    SELECT session_id, turn, label, coalesce(lag(label) OVER w, 0.0) AS last_hit, round(coalesce(avg(label) OVER (PARTITION BY session_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0), 6) AS hit_rate, count(*) OVER (PARTITION BY session_id) - turn + 1 AS left FROM h WINDOW w AS (PARTITION BY session_id ORDER BY turn)""", name="record_outcome")
+@query(TRACES, """WITH h AS (SELECT *, CASE WHEN cached_tokens * 2 >= prompt_tokens THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS label FROM src)
+    SELECT session_id, turn, label, coalesce(lag(label) OVER w, 0.0::DOUBLE) AS last_hit, round(coalesce(avg(label) OVER (PARTITION BY session_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE), 6) AS hit_rate, count(*) OVER (PARTITION BY session_id) - turn + 1 AS left FROM h WINDOW w AS (PARTITION BY session_id ORDER BY turn)""", name="record_outcome")
 def record_outcome(t: DataFrame) -> DataFrame:
     return recorded_outcomes(t).select("session_id", "turn", "label", "last_hit", F.round("hit_rate", 6).alias("hit_rate"), "left")
 
