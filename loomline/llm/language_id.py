@@ -154,21 +154,22 @@ class Parser:
         if not pieces:
             return counts, letters
         sizes = np.array([len(p) for p in pieces])
-        symbols = np.concatenate(pieces)
         blocks = -(-sizes // BLOCK)
         total = int(blocks.sum())
-        first = np.repeat(np.cumsum(sizes) - sizes, blocks) + (np.arange(total) - np.repeat(np.cumsum(blocks) - blocks, blocks)) * BLOCK
-        size = np.minimum(first + BLOCK, np.repeat(np.cumsum(sizes), blocks)) - first
+        begin = np.cumsum(blocks) - blocks  # each text's first block
+        size = np.minimum(np.repeat(sizes, blocks) - (np.arange(total) - np.repeat(begin, blocks)) * BLOCK, BLOCK)
         follows = np.ones(total, bool)  # whether a block goes on with the text of the one before
-        follows[np.cumsum(blocks) - blocks] = False
+        follows[begin] = False
         # a column for each block, the longest first; a row for each step
         order = np.argsort(-size, kind="stable")
         column = np.empty(total, np.int64)
         column[order] = np.arange(total)
         width = int(size[order[0]])
-        by_block = np.zeros((total, width), symbols.dtype)
-        by_block.reshape(-1)[np.arange(len(symbols)) + np.repeat(column * width - first, size)] = symbols
-        grid = np.ascontiguousarray(by_block.T)
+        rows = np.zeros(total * width, self.symbols.dtype)
+        for piece, at in zip(pieces, (begin * width).tolist(), strict=True):
+            rows[at : at + len(piece)] = piece  # of more blocks than one, all but the last are full
+        grid = np.ascontiguousarray(rows.reshape(total, width)[order].T)
+        del rows, pieces
         active = np.searchsorted(-size[order], -np.arange(1, width + 1), side="right").tolist()  # blocks of more than j symbols
         of = np.repeat(np.array(owner), blocks)[order]
         last = size[order] - 1
@@ -271,7 +272,7 @@ def identify(docs: DataFrame, texts: dict[str, str]) -> DataFrame:
         parser = _parser(shipped.value)
         for b in batches:
             found = list(b["text"])
-            parts = [parser.predict(found[i:j]) for i, j in slices(found)]
+            parts = [parser.predict(found[i:j]) for i, j in slices(found, 1_000_000)]
             if parts:
                 p = pd.concat(parts, ignore_index=True)
                 yield b.assign(__lang=p["lang"].to_numpy(), __score=p["score"].to_numpy(), __rate=p["rate"].to_numpy())
@@ -294,7 +295,7 @@ def keep_identified(docs: DataFrame, texts: dict[str, str], most_rate: float = 0
         for b in batches:
             found = list(b["text"])
             keep = np.zeros(len(found), bool)
-            for i, j in slices(found):
+            for i, j in slices(found, 1_000_000):
                 counts, n = parser.phrases(found[i:j])
                 least = counts.min(axis=0) if len(counts) else np.zeros(j - i)
                 keep[i:j] = (n > 0) & ((n < letters) | (least <= most_rate * n))
