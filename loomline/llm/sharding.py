@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import heapq
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,7 +50,12 @@ def assign_shards(rows: DataFrame, group: Column, size: Column, n_shards: int =
     own = F.col("bytes") * (n_shards * FINE) > total
     items = groups.groupBy(own.alias("own"), F.when(own, F.col("__group")).otherwise(F.col("__bundle")).alias("item")).agg(F.sum("bytes").alias("bytes"))
     placed = lpt([((r.own, r.item), r.bytes) for r in items.collect()], n_shards)
-    table = lambda kind, name: spark.createDataFrame([(k, s) for (own, k), s in placed.items() if own == kind], f"`{name}` long, `{name}_shard` int")
+
+    def table(kind: bool, name: str) -> DataFrame:
+        # by Arrow, as a list of rows would start workers of another kind, which stay, on every executor
+        found = [(k, s) for (own, k), s in placed.items() if own == kind]
+        return spark.createDataFrame(pa.table({name: pa.array([k for k, _ in found], pa.int64()), f"{name}_shard": pa.array([s for _, s in found], pa.int32())}))
+
     out = keyed.join(F.broadcast(table(True, "__group")), "__group", "left").join(F.broadcast(table(False, "__bundle")), "__bundle", "left")
     shard = F.coalesce("__group_shard", "__bundle_shard")
     return out.select(*[F.col(f"`{c}`") for c in rows.columns], shard.alias("shard"))
