@@ -266,3 +266,82 @@ def test_queries_read_whole_texts(spark, tmp_path):
     assert rows("header_safe")[3].folded == f"\"{far} ... \"end\"\" - ... 'x' - "
     assert rows("rolling_block_text")[1].block.endswith("hello\n" + far + "end")
     assert {k: r.item_id for k, r in rows("source_recall").items()} == {1: 1, 2: 2, 3: 3, 205: 5}
+
+
+def test_common_prefix_and_rouge_are_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    text = lambda n: " ".join(rng.choice("abcd") for _ in range(n))
+    pairs = [(None, "a"), ("", ""), ("a", None), ("ab", "abc"), ("x" * 5000 + "y", "x" * 5000 + "z")]
+    for _ in range(40):
+        head = text(rng.randrange(12))
+        pairs.append((head + text(rng.randrange(12)), head + text(rng.randrange(12))))
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i long, a string, b string")
+    out = rows.select("a", "b", Q.common_prefix(F.col("a"), F.col("b")).alias("n"), Q.rouge_l(F.col("a"), F.col("b")).alias("r")).collect()
+    for r in out:
+        a, b = r.a or "", r.b or ""
+        assert r.n == max(k for k in range(min(len(a), len(b)) + 1) if a[:k] == b[:k])
+        x, y = a.lower().split(), b.lower().split()
+        table = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, w in enumerate(x):
+            for j, v in enumerate(y):
+                table[i + 1][j + 1] = table[i][j] + 1 if w == v else max(table[i][j + 1], table[i + 1][j])
+        n = table[-1][-1]
+        assert (r.r.precision, r.r.recall) == (round(n / len(x), 6) if x else 0.0, round(n / len(y), 6) if y else 0.0)
+        assert r.r.edit == (round(n / max(len(x), len(y)), 6) if x and y else float(not x and not y))
+
+
+def test_code_validity(spark):
+    cases = {None: 1.0, "no code": 1.0, "```python\nx = 1\n```": 1.0, "```py\nx = (\n```": 0.0, "```python\nx = 1\n``` and ```py\ndef f(:\n```": 0.5, "```js\nx = (\n```": 1.0}
+    for text, share in cases.items():
+        assert one(spark, text, Q.python_validity) == share
+
+
+def test_state_of_messages(spark):
+    rows = [
+        (1, 0, "user", "Please mend the parser in src/app/parse.py today. Thanks"),
+        (1, 1, "assistant", "Here it is:\n```python\nx = 1\n```"),
+        (1, 2, "tool", "ValueError: bad input in line 3\nall is well here\n404 not found: page"),
+        (2, 0, "user", None),
+    ]
+    out = {r.conv_id: r.state for r in S.state_of(spark.createDataFrame(rows, MESSAGE)).collect()}
+    state = out[1].split("\n")
+    assert state[0] == "Files touched: src/app/parse.py"
+    assert "Code:\n```python\nx = 1\n```" in out[1]
+    assert "Last errors: ValueError: bad input in line 3 | 404 not found: page" in state
+    assert state[-1] == "Topic: Please mend the parser in src/app/parse"
+    assert not out.get(2)
+
+
+def test_bootstrap_interval_holds_the_mean(spark):
+    from tests.conftest import DATA
+
+    from loomline.plans.catalog import QUERIES
+    from loomline.plans.registry import TRACES, fixture
+
+    means = {r.stage: r.m for r in fixture(spark, DATA, TRACES).groupBy("stage").agg(F.avg("latency_ms").alias("m")).collect()}
+    out = QUERIES["bootstrap_ci"](spark, DATA).collect()
+    assert {r.stage for r in out} == set(means) and all(r.low < means[r.stage] < r.high for r in out)
+    assert sorted(out) == sorted(QUERIES["bootstrap_ci"](spark, DATA).collect())
+
+
+def test_deltas_are_diffs_of_versions(spark):
+    from tests.conftest import DATA
+
+    from loomline.plans.catalog import QUERIES
+    from loomline.plans.code_plans import VERSIONS
+    from loomline.plans.registry import fixture
+
+    before, full = {}, {}
+    for r in sorted(fixture(spark, DATA, VERSIONS).collect(), key=lambda r: r.version):
+        old = before.get(r.path)
+        full[r.id] = (r.path, CODE.changed_lines(old or "", r.content) if old is not None else None, r.content)
+        before[r.path] = r.content
+    found = QUERIES["delta_prev"](spark, DATA).collect()
+    assert len(found) == len(full)
+    assert all(r.delta == full[r.id][1] for r in found if full[r.id][1] is not None)
+    stats = {r.path: (r.full_chars, r.snapshots) for r in QUERIES["snapshot_stats"](spark, DATA).collect()}
+    for path in before:
+        mine = [c for p, _, c in full.values() if p == path][-100:]
+        assert stats[path] == (sum(map(len, mine)), len(mine))
