@@ -300,14 +300,14 @@ def test_code_validity(spark):
 
 def test_state_of_messages(spark):
     rows = [
-        (1, 0, "user", "Please mend the parser in src/app/parse.py today. Thanks"),
+        (1, 0, "user", "Please mend the parser in src/app/parse.py today. See /etc/app.conf, `main.py` and https://example.org/a.html"),
         (1, 1, "assistant", "Here it is:\n```python\nx = 1\n```"),
         (1, 2, "tool", "ValueError: bad input in line 3\nall is well here\n404 not found: page"),
         (2, 0, "user", None),
     ]
     out = {r.conv_id: r.state for r in S.state_of(spark.createDataFrame(rows, MESSAGE)).collect()}
     state = out[1].split("\n")
-    assert state[0] == "Files touched: src/app/parse.py"
+    assert state[0] == "Files touched: src/app/parse.py, /etc/app.conf, main.py, example.org/a.html"
     assert "Code:\n```python\nx = 1\n```" in out[1]
     assert "Last errors: ValueError: bad input in line 3 | 404 not found: page" in state
     assert state[-1] == "Topic: Please mend the parser in src/app/parse"
