@@ -21,7 +21,7 @@ MARKER = "Context summary (rolling):"
 CONSTRAINTS = ["don't", "do not", "must not", "avoid", "never"]
 PLAN = r"(?i)^(i\s+will|next,|let's|now\s+we|the\s+plan|step\s*\d)"
 ERROR = r"(?i)error|exception|traceback|failed|failure|assert|raised?|\b\d{3}\b\s*(?:forbidden|not\s*found)|module\s+not\s+found|no\s+such\s+file"
-PATH = r"((?:(?<![\w/:])/)?(?:[\w.\-]+/)+[\w.\-]+\.\w{1,6}|(?<=[\"'`])[\w.\-]+\.\w{1,6}(?=[\"'`]))"
+PATH = r"((?:(?<![\w/:])/)?(?<![\w.\-])(?:[\w.\-]+/)+[\w.\-]+\.\w{1,6}|(?<=[\"'`])[\w.\-]+\.\w{1,6}(?=[\"'`]))"
 
 
 def is_summary(content: Column) -> Column:

@@ -304,6 +304,7 @@ def test_state_of_messages(spark):
         (1, 1, "assistant", "Here it is:\n```python\nx = 1\n```"),
         (1, 2, "tool", "ValueError: bad input in line 3\nall is well here\n404 not found: page"),
         (2, 0, "user", None),
+        (3, 0, "user", "x" * 1_000_000 + " a/b.py"),
     ]
     out = {r.conv_id: r.state for r in S.state_of(spark.createDataFrame(rows, MESSAGE)).collect()}
     state = out[1].split("\n")
@@ -311,7 +312,7 @@ def test_state_of_messages(spark):
     assert "Code:\n```python\nx = 1\n```" in out[1]
     assert "Last errors: ValueError: bad input in line 3 | 404 not found: page" in state
     assert state[-1] == "Topic: Please mend the parser in src/app/parse"
-    assert not out.get(2)
+    assert not out.get(2) and out[3].startswith("Files touched: a/b.py")
 
 
 def test_bootstrap_interval_holds_the_mean(spark):
