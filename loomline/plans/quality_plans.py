@@ -167,6 +167,8 @@ def fact_recall(d: DataFrame) -> DataFrame:
     return d.select("event_id", Q.fact_recall(C("t"), FACTS).alias("recall"))
 
 
+#: Words of a claim whose pairs are listed: 2016 pairs at most.
+PAIRED = 64
 # Replies that assert things, sometimes negated.
 CLAIMS = "SELECT user_id AS conv_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS turn, 'The ' || event_type || ' service' || CASE WHEN event_id % 3 = 0 THEN ' does not' ELSE '' END || ' always use port ' || CAST(event_id % 4 AS STRING) || '.' AS t FROM {events}"
 _NEG = "(" + " OR ".join(f"contains(lower(s), '{m.replace(chr(39), chr(39) * 2)}')" for m in Q.NEGATIONS) + ")"
@@ -175,13 +177,23 @@ _NEG = "(" + " OR ".join(f"contains(lower(s), '{m.replace(chr(39), chr(39) * 2)}
 @query(CLAIMS, f"""WITH a AS (SELECT conv_id, turn, trim(unnest(regexp_extract_all(t, '{Q.ASSERTION}', 1))) AS s FROM src), w AS (SELECT *, {_NEG} AS neg, list_distinct(regexp_extract_all(lower(s), '[a-z]{{4,}}')) AS ws FROM a)
     SELECT conv_id, count(*) AS contradictions FROM w x WHERE EXISTS (SELECT 1 FROM w y WHERE y.conv_id = x.conv_id AND y.turn < x.turn AND y.neg <> x.neg AND len(list_intersect(x.ws, y.ws)) >= 2) GROUP BY conv_id""")
 def contradictions(p: DataFrame) -> DataFrame:
-    """Assertions that an earlier one contradicts: exactly one negated, two shared words of four letters. Equal claims are compared once, by their first turn."""
-    a = p.select("conv_id", "turn", F.explode(Q.assertions(C("t"))).alias("s"))
-    w = a.withColumn("neg", Q.negated(C("s"))).withColumn("ws", F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("s"), F.lit("([a-z]{4,})"), F.lit(1)))))
-    kinds = w.groupBy("conv_id", "neg", "ws").agg(F.min("turn").alias("first"))
-    y = kinds.select("conv_id", C("neg").alias("neg2"), C("ws").alias("ws2"), "first")
-    against = kinds.select("conv_id", "neg", "ws").join(y, "conv_id").where((C("neg") != C("neg2")) & (F.size(F.array_intersect("ws", "ws2")) >= 2)).groupBy("conv_id", "neg", "ws").agg(F.min("first").alias("since"))
-    return w.join(against, ["conv_id", "neg", "ws"]).where("since < turn").groupBy("conv_id").agg(F.count("*").alias("contradictions"))
+    """Assertions that an earlier one contradicts: exactly one negated, two shared words of four letters.
+
+    A claim of PAIRED words or fewer stands under each pair of them. Of a pair's claims only the first turn matters, so a
+    conversation with many claims isn't joined with itself: its pairs are, once each. Longer claims, whose pairs would
+    be too many, are compared one by one with the claims of their conversation.
+    """
+    a = p.select("conv_id", "turn", F.posexplode(Q.assertions(C("t"))).alias("k", "s"))
+    w = a.select("conv_id", "turn", "k", Q.negated(C("s")).alias("neg"), F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("s"), F.lit("([a-z]{4,})"), F.lit(1)))).alias("ws"))
+    w, long = w.where(F.size("ws") > 1), F.size("ws") > PAIRED
+    two = F.flatten(F.transform("ws", lambda x, i: F.transform(F.slice("ws", i + 2, F.size("ws")), lambda y: F.concat_ws(" ", x, y))))
+    pairs = w.where(~long).select("conv_id", "turn", "k", "neg", F.explode(two).alias("pair"))
+    first = pairs.groupBy("conv_id", "pair").agg(F.min(F.when(C("neg"), C("turn"))).alias("denied"), F.min(F.when(~C("neg"), C("turn"))).alias("said")).where("denied is not null and said is not null")
+    against = pairs.join(first, ["conv_id", "pair"]).where(F.when(C("neg"), C("said")).otherwise(C("denied")) < C("turn"))
+    other = w.where(long).select("conv_id", C("turn").alias("turn2"), C("k").alias("k2"), C("neg").alias("neg2"), C("ws").alias("ws2"))
+    beside = w.join(other, "conv_id").where((C("neg") != C("neg2")) & (C("turn") != C("turn2")) & (F.size(F.array_intersect("ws", "ws2")) >= 2))
+    beside = beside.select("conv_id", F.greatest("turn", "turn2").alias("turn"), F.when(C("turn") > C("turn2"), C("k")).otherwise(C("k2")).alias("k"))
+    return against.select("conv_id", "turn", "k").union(beside).distinct().groupBy("conv_id").agg(F.count("*").alias("contradictions"))
 
 
 @query(TRACES, """WITH h AS (SELECT *, turn >= 5 AND (code_ratio < 0.5 OR quality < 0.3) AS bad FROM src), g AS (SELECT *, turn - row_number() OVER (PARTITION BY session_id, bad ORDER BY turn) AS island FROM h),
@@ -222,6 +234,10 @@ def common_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["common_prefix"] = common_prefix
+ORACLE["common_prefix"] = f"""WITH RECURSIVE src AS ({_GROWING.replace('{', '').replace('}', '')}), p AS (SELECT *, coalesce(lag(prompt) OVER (PARTITION BY conv_id ORDER BY turn), '') AS previous FROM src),
+    b(conv_id, turn, x, y, lo, hi) AS (SELECT conv_id, turn, previous, prompt, CAST(0 AS BIGINT), least(length(previous), length(prompt)) FROM p
+        UNION ALL SELECT conv_id, turn, x, y, CASE WHEN left(x, mid) = left(y, mid) THEN mid ELSE lo END, CASE WHEN left(x, mid) = left(y, mid) THEN hi ELSE mid - 1 END FROM (SELECT *, (lo + hi + 1) // 2 AS mid FROM b WHERE lo < hi))
+    SELECT conv_id, turn, lo AS common, CASE WHEN lo >= 0.8 * length(x) THEN 'REUSED' ELSE 'BREAK' END AS kind FROM b WHERE lo >= hi"""
 
 
 @query(TRACES, """WITH p AS (SELECT *, lag(raw_tokens) OVER w AS pr, lag(prompt_tokens) OVER w AS po FROM src WINDOW w AS (PARTITION BY session_id ORDER BY turn)), d AS (SELECT *, raw_tokens - prompt_tokens AS saved, pr - po AS was FROM p)

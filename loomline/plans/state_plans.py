@@ -300,6 +300,11 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["stream_sessions"] = stream_sessions
+# The input is one file, hence one batch: what is silent for an hour before the watermark has ended when the stream does.
+ORACLE["stream_sessions"] = """WITH e AS (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events),
+    s AS (SELECT *, sum(CASE WHEN before IS NULL OR ts - before >= INTERVAL 1 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM e),
+    g AS (SELECT user_id, k, count(*) AS events, sum(value ORDER BY ts) AS total, max(ts) AS last FROM s GROUP BY user_id, k)
+    SELECT user_id, events, total, k < max(k) OVER (PARTITION BY user_id) OR last + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 MINUTE FROM events) AS ended FROM g"""
 
 # --- the composed pipeline ------------------------------------------------------------------------------------------
 

@@ -346,3 +346,33 @@ def test_deltas_are_diffs_of_versions(spark):
     for path in before:
         mine = [c for p, _, c in full.values() if p == path][-100:]
         assert stats[path] == (sum(map(len, mine)), len(mine))
+
+
+def test_trigrams(spark):
+    import random
+
+    rng = random.Random(5)
+    for t in ["", "ab", "abc", "aaaa", None, "x\ny\nz", "a\U0001f600b\U0001f600漢\U0001f600b", *("".join(rng.choice("ab\n\U0001f600é") for _ in range(n)) for n in (9, 40, 300))]:
+        assert sorted(one(spark, t, Q.trigrams)) == sorted({(t or "")[i : i + 3] for i in range(len(t or "") - 2)})
+
+
+@pytest.mark.parametrize("paired", [64, 5, 2])
+def test_contradictions_are_brute_force(spark, monkeypatch, paired):
+    import random
+    import re
+
+    from loomline.plans import quality_plans
+
+    monkeypatch.setattr(quality_plans, "PAIRED", paired)
+    rng = random.Random(paired)
+    words = "port host cache token index queue shard block".split()
+    claim = lambda: f"The {' '.join(rng.sample(words, rng.randint(1, 7)))} service {rng.choice(['is', 'is not', 'should never be'])} {rng.choice(['big', 'wide', 'open'])}."
+    rows = [(c, t, " ".join(claim() for _ in range(rng.randint(0, 3)))) for c in range(8) for t in range(c * 2)]
+    want = {}
+    for c in range(8):
+        claims = [(t, i, " not " in s or "never " in s, set(re.findall("[a-z]{4,}", s.lower()))) for d, t, text in rows if d == c for i, s in enumerate(re.findall(r"[^.]+\.", text))]
+        n = sum(any(u < t and m != neg and len(v & ws) >= 2 for u, _, m, v in claims) for t, _, neg, ws in claims)
+        if n:
+            want[c] = n
+    got = quality_plans.contradictions(spark.createDataFrame(rows, "conv_id long, turn long, t string")).collect()
+    assert {r.conv_id: r.contradictions for r in got} == want and want
