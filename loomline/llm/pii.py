@@ -65,7 +65,7 @@ _NAME = rf"{_PARTICLES}(?=[{_UPPER}](?:[^\W\d_]|['’][^\W\d_]|\.?[ -]?[{_UPPER}
 
 # The order matters: of what begins at one place, the first pattern that fits is taken.
 PATTERN = re.compile(
-    r"(?P<email>[\w.+-]+@[\w-]+(?:\.[\w-]+)+)"
+    r"(?P<email>(?<![\w.+-])[\w.+-]++@[\w-]+(?:\.[\w-]+)+)"
     r"|(?<![A-Za-z])(?i:token|secret|password|passwd|(?:api[_-]?)?key)[\"']? ?[=:] ?[\"']?(?P<secret>(?=[\w\-]*\d)[A-Za-z0-9_\-]{8,})"
     r"|(?P<access>(?<!\w)AKIA[0-9A-Z]{16}(?!\w))"
     r"|(?P<phone>(?<![\w+])\+\d(?:[ .\-/\xa0]?\(?\d\)?){6,14}(?!\w)|(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?!\w)|(?<!\w)\(\d{3}\) ?\d{3}-\d{4}(?!\w)|(?<![\w-])\d{3}[-.]\d{3}[-.]\d{4}(?![\w-]))"
@@ -77,6 +77,28 @@ PATTERN = re.compile(
 )
 
 
+# The rest of a run of an address's characters, and the address that it may be the begin of.
+_RUN, _EMAIL = re.compile(r"[\w.+-]*"), re.compile(r"(?P<email>[\w.+-]++@[\w-]+(?:\.[\w-]+)+)")
+
+
+def matches(line: str) -> Iterator[re.Match]:
+    """The matches of PATTERN, in linear time on runs of any length.
+
+    An address is sought where its run begins, as the places within a run have no other end. Where a match ends within
+    a run, the rest of it may be an address too; that is decided once for a run.
+    """
+    at = run_end = 0
+    while True:
+        m = None
+        if at >= max(run_end, 1):
+            run_end = _RUN.match(line, at).end()
+            m = _EMAIL.match(line, at) if line.startswith("@", run_end) else None
+        if not (m := m or PATTERN.search(line, at)):
+            return
+        yield m
+        at = m.end()
+
+
 def _stream(key: bytes, *parts: object) -> int:
     return int.from_bytes(hashlib.blake2b("\x1f".join(map(str, parts)).encode("utf-8", "surrogatepass"), key=key, digest_size=32).digest(), "big")
 
@@ -141,17 +163,31 @@ def redraw(text: str, key: bytes, tweak: str, kind: str = "") -> str:
     return _next(text, key, tweak, kind)
 
 
+#: Bits of a block's value, at which the next block begins; half a block (and a letter) is less than a digest.
+BITS = 448
+
+
 def _next(text: str, key: bytes, tweak: str, kind: str) -> str:
+    """The text that follows this one in its format's order.
+
+    A long text goes block by block, in linear time. A block's order depends on all that stands before it, so the texts
+    of a format are still permuted, none follows itself (no block does), and equal blocks don't show.
+    """
     places = [alphabet(c, kind) for c in text]
-    value, size = 0, 1
-    for c, letters in zip(text, places, strict=True):
-        value, size = value * len(letters) + max(0, letters.find(c if c in letters else c.lower())), size * len(letters)
-    value = following(value, size, key, f"{tweak}|{''.join(a[0] for a in places if a)}")
-    out = []
-    for c, letters in zip(reversed(text), reversed(places), strict=True):
-        value, k = divmod(value, len(letters))
-        out.append(c if len(letters) == 1 else letters[k].upper() if c.isupper() else letters[k])
-    return "".join(reversed(out))
+    tweak = f"{tweak}|{''.join(a[0] for a in places if a)}"
+    out, start = [], 0
+    while start < len(text) or not out:
+        value, size, end = 0, 1, start
+        while end < len(text) and size.bit_length() <= BITS:
+            c, letters = text[end], places[end]
+            value, size, end = value * len(letters) + max(0, letters.find(c if c in letters else c.lower())), size * len(letters), end + 1
+        new, block = following(value, size, key, tweak), []
+        for c, letters in zip(reversed(text[start:end]), reversed(places[start:end]), strict=True):
+            new, k = divmod(new, len(letters))
+            block.append(c if len(letters) == 1 else letters[k].upper() if c.isupper() else letters[k])
+        out.append("".join(reversed(block)))
+        tweak, start = f"{_stream(key, tweak, value):x}", end
+    return "".join(out)
 
 
 def _put_digits(shape: str, digits: str) -> str:
@@ -331,7 +367,7 @@ def entities(text: str) -> list[tuple[int, int, str]]:
         start = text.rfind("\n", done, hint.start()) + 1 or done
         done = text.find("\n", hint.end())
         done = len(text) if done < 0 else done
-        for m in PATTERN.finditer(text[start:done]):
+        for m in matches(text[start:done]):
             kind = m.lastgroup
             lo, hi = m.span(kind)
             if kind == "iban" and not iban_valid(m[kind]):

@@ -256,3 +256,56 @@ def test_clean_text_stays(spark):
     out = pii.surrogates(edge(spark), KEY).collect()
     assert [(r.doc_id, r.text) for r in out] == [(r[0], r[1]) for r in EDGE] and all(r.n_entities == 0 for r in out)
     assert pii.surrogates(empty(spark), KEY).count() == 0
+
+
+def test_matches_are_the_patterns():
+    import re
+
+    plain = re.compile(pii.PATTERN.pattern.replace(r"(?<![\w.+-])[\w.+-]++@", r"[\w.+-]+@"))
+    assert plain.pattern != pii.PATTERN.pattern
+    rng = random.Random(31)
+    bits = ["a", "x.y", "@", "@b.org", "@c", ".", "-", "+", " ", "415-555-2671", "+14155552671", "123-45-6789", "token=abc12345", "10.0.0.1", "4111 1111 1111 1111", "Mr. Anna", "é", "7"]
+    for _ in range(20_000):
+        line = "".join(rng.choice(bits) for _ in range(rng.randint(1, 12)))
+        assert [(m.span(), m.lastgroup, m.span(m.lastgroup)) for m in pii.matches(line)] == [(m.span(), m.lastgroup, m.span(m.lastgroup)) for m in plain.finditer(line)], line
+
+
+@pytest.mark.parametrize("unit", ["1", "12-", "+1", "1.", "a.b@c.", "deadbeef", "x@", "123-45-6789.", "415-555-2671.", "Mr. Anna ", "von ", "AnnaAnna-"])
+def test_long_runs_take_linear_time(unit):
+    import time
+
+    took = []
+    for n in (25_000, 200_000):
+        began = time.process_time()
+        pii.replace(unit * (n // len(unit)), KEY)
+        took.append(time.process_time() - began)
+    assert took[1] < 24 * max(took[0], 0.05)
+
+
+def test_long_entities_change_all_along():
+    rng = random.Random(8)
+    secrets = ["".join(rng.choice("abcXYZ0189_") for _ in range(n)) for n in (90, 320, 321, 5000, 40_000)]
+    texts = [f"token={s}1" for s in secrets] + [f"{s.replace('_', '.')}@mail.org" for s in secrets] + [f"Mr. A{'bcdefghij' * 900}x"]
+    found = {}
+    for t in texts:
+        new, kinds = pii.replace(t, KEY)
+        assert len(kinds) == 1 and len(new) == len(t) and found.setdefault(new, t) == t
+        assert pii.replace(f"see {t} and {t}", KEY)[0] == f"see {new} and {new}"
+        where = [i for i, (a, b) in enumerate(zip(t, new, strict=True)) if a == b and a.isalnum() and 6 < i < len(t) - 9]
+        for i in range(0, len(t) - 120, 60):  # no stretch of it is left as it was
+            assert sum(i <= w < i + 60 for w in where) < 40
+    # case doesn't count in an address, and texts that differ far behind differ after it
+    a = secrets[2].replace("_", ".") + "@mail.org"
+    assert pii.replace(a.lower(), KEY)[0] == pii.replace(a, KEY)[0].lower() != pii.replace("z" + a.lower()[1:], KEY)[0]
+    small = [pii._next(x, KEY, "t", "") for x in ("a" * 100 + y + z for y in "abc" for z in "xyz")]
+    assert len(set(small)) == len(small)
+
+
+def test_blocks_permute(monkeypatch):
+    monkeypatch.setattr(pii, "BITS", 4)
+    monkeypatch.setattr(pii, "alphabet", lambda c, kind: "abc" if c in "abc" else c)
+    import itertools
+
+    words = ["".join(w) for w in itertools.product("abc", repeat=7)]
+    new = [pii._next(w[:3] + "-" + w[3:], KEY, "t", "") for w in words]
+    assert len(set(new)) == len(words) and all(n != w[:3] + "-" + w[3:] and n[3] == "-" for n, w in zip(new, words, strict=True))
