@@ -1,5 +1,6 @@
 import hashlib
 import re
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -176,6 +177,38 @@ def test_lpt():
     assert max(loads) - min(loads) <= 4 and sharding.lpt(items, 3) == placed
 
 
+def brute_shards(spark, texts, n_shards):
+    """doc_id -> (size, crc32, shard, slot) by a plain loop; texts by distinct doc_id. The engine's hashes are taken as given."""
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("g", F.coalesce(F.xxhash64("text"), F.lit(0)))
+    cells = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df = df.select("doc_id", "g", F.pmod(F.xxhash64("g", F.lit(7)), F.lit(256 * n_shards)).alias("bundle"), F.pmod(F.xxhash64("doc_id", "g", F.lit(11)), F.lit(cells)).alias("cell"))
+    rows = {r.doc_id: r for r in df.collect()}
+    size = {d: len((t or "").encode()) + 16 for d, t in texts.items()}
+    group, load = {}, {}
+    for d, r in rows.items():
+        group[r.g] = group.get(r.g, 0) + size[d]
+    item_of = {d: (True, r.g) if group[r.g] * 256 * n_shards > sum(size.values()) else (False, r.bundle) for d, r in rows.items()}
+    for d, item in item_of.items():
+        load[item] = load.get(item, 0) + size[d]
+    shard, loads = {}, [0] * n_shards
+    for item in sorted(load, key=lambda x: (-load[x], x)):
+        shard[item] = loads.index(min(loads))
+        loads[shard[item]] += load[item]
+    out, filled = {}, {}
+    for d in sorted(rows, key=lambda d: (rows[d].cell, d)):
+        k = shard[item_of[d]]
+        out[d] = (size[d], zlib.crc32((texts[d] or "").encode()), k, filled.get(k, 0))
+        filled[k] = filled.get(k, 0) + 1
+    assert len({item[0] for item in item_of.values()}) == 2 or n_shards > 5
+    return out
+
+
+def test_sharding_is_brute_force(spark):
+    texts = {i: None if i % 50 == 7 else "same text" if i % 3 == 0 else f"text {i} " * (400 if i % 97 == 1 else i % 40) for i in range(3000)}
+    out = sharding.shard_documents(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), 5).collect()
+    assert {r.doc_id: (r["size"], r.text_crc32, r.shard, r.slot) for r in out} == brute_shards(spark, texts, 5) and len(out) == 3000
+
+
 def test_sharding(spark):
     rows = [(i, "same text" if i % 3 == 0 else f"text {i} " * (i % 40), "en", "s", 1) for i in range(3000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
