@@ -376,3 +376,19 @@ def test_contradictions_are_brute_force(spark, monkeypatch, paired):
             want[c] = n
     got = quality_plans.contradictions(spark.createDataFrame(rows, "conv_id long, turn long, t string")).collect()
     assert {r.conv_id: r.contradictions for r in got} == want and want
+
+
+def test_metrics_by_hand(spark):
+    pair = lambda a, b, f: spark.createDataFrame([(a, b)], "a string, b string").select(f(F.col("a"), F.col("b"))).first()[0]
+    # headings 1 and 2, bullets 2 and 1, one number, one fence and one quote on the left only: 2 of 7
+    assert pair("# T\n- x\n- y\n1. z\n```\n> q", "# T\n#tag\n## U\n* x", Q.markdown_likeness) == round(2 / 7, 6)
+    assert pair("plain", "plain", Q.markdown_likeness) == 0.0
+    assert one(spark, "The port is 80. maybe it is so. It should work! What? Owner of X uses Y.", Q.assertions) == ["The port is 80.", "It should work!", "Owner of X uses Y."]
+    assert one(spark, "Nothing here. THE WORDS IS NOT", Q.assertions) == []
+    assert [one(spark, t, Q.negated) for t in ("It is NOT so.", "It can't be.", "This, instead of that.", "A knot.", "It is so.")] == [True, True, True, False, False]
+    assert [one(spark, t, Q.has_code) for t in ("use `abc` here", "use `ab` here", "x\n    return y", "a => b", "```", "plain words", "")] == [True, False, True, True, True, False, False]
+    assert pair("```x```", "```x", Q.stability) == 0.75 and pair("a", "b", Q.stability) == 1.0 and pair("<thought>a</thought>", "<THOUGHT>", Q.stability) == 0.75
+    assert pair("```\nx  y\n```\n```py\nz\n```", "```\nx y\n```", Q.blocks_preserved) == 0.5 and pair("none", "", Q.blocks_preserved) == 1.0
+    assert pair("a B c", "b d", lambda a, b: Q.recall(Q.word_set(a), Q.word_set(b))) == round(1 / 3, 6) and pair("", "b", lambda a, b: Q.recall(Q.word_set(a), Q.word_set(b))) is None
+    assert one(spark, "a a B b c", Q.richness) == 3 / 5 and one(spark, "", Q.richness) == 0.0
+    assert one(spark, "[PROGRESS 1] and [LOOP DETECTED] [ARCHIVE", Q.leaked) == ["[PROGRESS", "[LOOP DETECTED"]
