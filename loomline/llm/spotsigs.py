@@ -18,6 +18,8 @@ null doc_id sorts first; a single row is its own next document; an empty table g
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,32 +108,50 @@ def near_pairs(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, Data
     return pairs, members
 
 
-def with_next(docs: DataFrame, columns: list[str], derived: dict[str, Column]) -> DataFrame:
-    """doc_id, columns and derived of every row, and next_<column> of the row that follows by doc_id (after the last: the first).
+def dealt(docs: DataFrame, columns: list[str], ranges: int) -> DataFrame:
+    """doc_id, order, tie, columns of every row, its range r, and whether it is a ghost there: the begin of the range after r.
 
-    What is derived of the columns is made after the exchange, so it isn't shuffled.
-
-    Rows are dealt into ranges of doc_id whose borders are ids themselves (approximate quantiles), and each range is
-    windowed by itself. The first row of a range goes to the range before it too, which so knows what follows its last.
+    Rows are ordered by doc_id (those without first), then by a hash of columns. The borders of ranges are rows: those of
+    ids that are approximate quantiles, and of an id that fills several ranges, those that are the first of equal parts
+    of its hashes. So rows that share an id are dealt to as many ranges as they need.
     """
-    ranges = 4 * partitions(docs.sparkSession)
-    order = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).cast("long")
-    rows = docs.withColumn("__order", order)
-    found = rows.agg(F.percentile_approx("__order", [i / ranges for i in range(ranges)], 100 * ranges), F.min("__order")).first()
-    borders = sorted({*(found[0] or []), *([] if found[1] is None else [found[1]])})
+    low = -(1 << 63)
+    order, tie = F.coalesce(F.col("doc_id"), F.lit(low)).cast("long"), F.xxhash64(*columns)
+    rows = docs.select("doc_id", order.alias("order"), tie.alias("tie"), *columns)
+    quantiles, least = rows.agg(F.percentile_approx("order", [i / ranges for i in range(ranges)], 100 * ranges), F.min("order")).first()
+    parts = Counter(quantiles or [])
+    parts.update({least} - {*parts, None})
+    hot = {v: n for v, n in parts.items() if n > 1}
+    borders = [(v, low) for v in parts if v not in hot]  # all rows of such an id are at the border
+    if hot:
+        of = F.element_at(F.create_map(*[F.lit(x) for pair in hot.items() for x in pair]), F.col("order"))
+        part = F.shiftright((F.shiftright("tie", 40) + (1 << 23)) * of, 24)
+        firsts = rows.where(F.col("order").isin(list(hot))).groupBy("order", part.alias("part")).agg(F.min("tie").alias("tie"))
+        borders += [(r.order, r.tie) for r in firsts.collect()]  # no more than ranges
+    borders = sorted(borders)
     step = max(1, int(len(borders) ** 0.5))
-    coarse = [borders[i : i + step] for i in range(0, len(borders), step)] or [[0]]
+    coarse = [borders[i : i + step] for i in range(0, len(borders), step)] or [[(0, low)]]
     # two short scans find the range: first among every step-th border, then among the step borders there
-    literal = lambda xs: F.array(*[F.lit(x) for x in xs])
-    block = F.greatest(F.size(F.filter(literal([x[0] for x in coarse]), lambda b: b <= F.col("__order"))), F.lit(1))
-    rows = rows.withColumn("__block", block)
-    within = F.element_at(F.array(*[literal(x) for x in coarse]), F.col("__block"))
-    rows = rows.withColumn("__range", (F.col("__block") - 1) * step + F.size(F.filter(within, lambda b: b <= F.col("__order"))) - 1)
-    is_border = F.array_contains(within, F.col("__order"))
-    before = F.pmod(F.col("__range") - 1, F.lit(max(1, len(borders))))
-    places = F.when(is_border, F.array(F.struct(F.col("__range").alias("r"), F.lit(False).alias("ghost")), F.struct(before.alias("r"), F.lit(True).alias("ghost")))).otherwise(F.array(F.struct(F.col("__range").alias("r"), F.lit(False).alias("ghost"))))
-    placed = rows.select("doc_id", "__order", *columns, F.explode(places).alias("p")).select("doc_id", "__order", *columns, "p.*").repartition("r").withColumns(derived)
-    window = Window.partitionBy("r").orderBy("ghost", "__order", F.xxhash64(*columns))
+    literal = lambda xs: F.array(*[F.struct(F.lit(o).cast("long").alias("o"), F.lit(t).cast("long").alias("t")) for o, t in xs])
+    not_after = lambda b: (b["o"] < F.col("order")) | ((b["o"] == F.col("order")) & (b["t"] <= F.col("tie")))
+    rows = rows.withColumn("block", F.greatest(F.size(F.filter(literal([x[0] for x in coarse]), not_after)), F.lit(1)))
+    within = F.element_at(F.array(*[literal(x) for x in coarse]), F.col("block"))
+    rows = rows.withColumn("own", (F.col("block") - 1) * step + F.size(F.filter(within, not_after)) - 1)
+    is_border = F.exists(within, lambda b: (b["o"] == F.col("order")) & ((b["t"] == low) | (b["t"] == F.col("tie"))))
+    before = F.pmod(F.col("own") - 1, F.lit(max(1, len(borders))))
+    here, ghost = F.struct(F.col("own").alias("r"), F.lit(False).alias("ghost")), F.struct(before.alias("r"), F.lit(True).alias("ghost"))
+    places = F.when(is_border, F.array(here, ghost)).otherwise(F.array(here))
+    return rows.select("doc_id", "order", "tie", *columns, F.explode(places).alias("p")).select("doc_id", "order", "tie", *columns, "p.*")
+
+
+def with_next(docs: DataFrame, columns: list[str], derived: dict[str, Column]) -> DataFrame:
+    """doc_id, columns and derived of every row, and next_<column> of the row that follows by doc_id (after the last: the first).
+
+    What is derived of the columns is made after the exchange, so it isn't shuffled. Each range of rows is windowed by
+    itself. The first row of a range goes to the range before it too, which so knows what follows its last.
+    """
+    placed = dealt(docs, columns, 4 * partitions(docs.sparkSession)).repartition("r").withColumns(derived)
+    window = Window.partitionBy("r").orderBy("ghost", "order", "tie")
     all_columns = [*columns, *derived]
     after = [F.lead(c).over(window).alias(f"next_{c}") for c in all_columns]
     return placed.select("doc_id", *all_columns, *after, "ghost").where(~F.col("ghost")).drop("ghost")

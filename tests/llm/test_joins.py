@@ -340,6 +340,25 @@ def test_next_is_global(spark):
         assert got[d] == hashlib.sha256((t[: len(t) - half] + nxt[:half]).encode()).hexdigest()
 
 
+@pytest.mark.parametrize("hot", [5, None])
+def test_rows_of_one_id_are_dealt_to_many_ranges(spark, hot):
+    import hashlib
+
+    rng = random.Random(18)
+    docs = [(hot, f"{i} " * rng.randint(0, 9)) for i in range(300)] + [(i, f"t{i}") for i in range(6, 300)] + [(hot, "same")] * 40 + [(None, "x"), (-4, "first")]
+    df = spark.createDataFrame(rng.sample(docs, len(docs)), "doc_id long, text string")
+    placed = spotsigs.dealt(df, ["text"], 16).cache()
+    sizes = {r.r: r.n for r in placed.where("not ghost").groupBy("r").agg(F.count("*").alias("n")).collect()}
+    assert sum(sizes.values()) == len(docs) and len(sizes) >= 12 and max(sizes.values()) < 150
+    rows = sorted(((-(1 << 63) if r.doc_id is None else r.doc_id, r.tie, r.text, r.doc_id) for r in placed.where("not ghost").collect()), key=lambda x: x[:3])
+    want = []
+    for i, (_, _, t, d) in enumerate(rows):
+        nxt, half = rows[(i + 1) % len(rows)][2], len(t) // 2
+        want.append((str(d), hashlib.sha256((t[: len(t) - half] + nxt[:half]).encode()).hexdigest()))
+    got = [(str(r.doc_id), r.edited_sha256) for r in spotsigs.fingerprints_and_edits(df).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_near_pairs(spark):
     base = " ".join(f"the word{i} of thing{i}" for i in range(60))
     docs = spark.createDataFrame([(1, base), (2, base), (3, base + " and more"), (4, "the other text of things"), (5, "")], "doc_id long, text string")
