@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomline.functions import text as T
 from loomline.functions.core import any_of, let
+from loomline.operators.vectors import nearest_rows
 from loomline.plans.registry import CODE, MESSAGES, ORACLE, QUERIES, STEPS, TRACES, fixture, oracle_text, query, table
 from loomline.plans.text_plans import ordered_join
 from loomline.sources import messages as M
@@ -173,7 +174,7 @@ def query_vectors(v: DataFrame) -> DataFrame:
     return v.where("vec_id % 50 = 0")
 
 
-#: Query vectors that are broadcast at once (with 64 dimensions, 6 MB).
+#: Query vectors that are broadcast at once (with 64 dimensions, 6 MB, or 10 MB as doubles).
 QUERY_BLOCK = 20_000
 
 
@@ -189,12 +190,11 @@ def in_query_blocks(v: DataFrame, search: Callable[[DataFrame], DataFrame]) -> D
 
 
 def nearest(v: DataFrame, k: int) -> DataFrame:
-    """The k nearest of each query vector, of all vectors; the best are kept by partition first."""
+    """The k nearest of each query vector, of all vectors; the best are kept by task first."""
 
     def search(q: DataFrame) -> DataFrame:
-        scored = v.join(F.broadcast(q.select("query_id", "query")), C("vec_id") != C("query_id")).select("query_id", "vec_id", cosine(C("query"), C("embedding"), 5).alias("similarity"))
         w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
-        return scored.withColumn("place", F.row_number().over(w)).where(C("place") <= k)
+        return nearest_rows(v, q, k, 5).withColumn("place", F.row_number().over(w)).where(C("place") <= k)
 
     return in_query_blocks(v, search)
 

@@ -1,6 +1,10 @@
 """Literal cases, invariants and edge cases of the conversation operators."""
 
+import random
+
+import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomline.functions import quality as Q
@@ -9,6 +13,7 @@ from loomline.functions import tokens as K
 from loomline.operators import code as CODE
 from loomline.operators import lines as L
 from loomline.operators import summary as S
+from loomline.operators import vectors as V
 from loomline.operators import zones as Z
 from loomline.plans.compaction import compact_conversations
 
@@ -94,6 +99,86 @@ def test_query_blocks_find_the_same(spark, monkeypatch):
     assert whole == {n: sorted(map(tuple, QUERIES[n](spark, DATA).collect())) for n in whole}
 
 
+def odd_vectors():
+    """Copies, near copies, ties of rounding, repeated ids, zero, null, NaN, infinite and shorter vectors."""
+    rnd = random.Random(5)
+    one_of = [[rnd.gauss(0, 1) for _ in range(6)] for _ in range(40)]
+    rows = [(i, [x + rnd.choice([0, 0, 1e-6, 0.3]) * rnd.gauss(0, 1) for x in rnd.choice(one_of)]) for i in range(-200, 900)]
+    rows += [(i, [1.0] + [0.0] * 5) for i in range(900, 1100)] + [(i, [float(rnd.randint(-2, 2)) for _ in range(6)]) for i in range(1100, 1500)]
+    rows += [(i, [1 / 64, (1 - 1 / 4096) ** 0.5] if i % 2 else [1.0, 0.0]) for i in range(1500, 1520)] + [(50, one_of[0])] * 9 + [(51, one_of[0]), (None, one_of[0])]
+    return rows + [(1550, [0.0] * 6), (1551, None), (1600, None), (1601, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (1602, [1.0]), (1650, [2.0, 1.0, 0.0]), (1651, [1.0, 2.0, 0.0]), (1700, []), (1701, []), (1750, [None] * 6)]
+
+
+@pytest.mark.parametrize("tasks", [3, 40])
+@pytest.mark.parametrize("more", [[], [(1800, [float("nan")] * 6), (1801, [float("inf")] + [1.0] * 5)]])
+def test_nearest_as_pair_by_pair(spark, more, tasks):
+    from loomline.plans import sequence_plans as P
+
+    v = spark.createDataFrame(odd_vectors() + more, "vec_id long, embedding array<float>").repartition(tasks)
+    q = P.query_vectors(v).withColumnsRenamed({"vec_id": "query_id", "embedding": "query"})
+    scored = v.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", P.cosine(F.col("query"), F.col("embedding"), 5).alias("similarity"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
+    want = scored.withColumn("place", F.row_number().over(w)).where("place <= 5")
+    got = P.nearest(v, 5)
+    assert got.schema.simpleString() == want.schema.simpleString()
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_best_rows_by_tile():
+    rnd = np.random.default_rng(1)
+    angle = rnd.uniform(-0.02, 0.02, 4000)  # hundreds of rows share each rounded similarity
+    x, ids = np.c_[np.cos(angle), np.sin(angle)].astype(np.float32).astype(np.float64), rnd.permutation(4000)
+    q = ids % 50 == 0
+    best = V.Best(ids[q], x[q], 5, 5)
+    for part in np.array_split(np.arange(4000), 3):
+        best.add(ids[part], x[part])
+    for own, vector, norm, found, far in zip(best.ids, best.x, best.norm, best.found, best.far, strict=True):
+        s = V.half_up(V.running_sum(x * vector) / (V.norms(x) * norm), 5)
+        order = [i for i in np.lexsort((ids, -s)) if ids[i] != own][:5]
+        assert ids[order].tolist() == found.tolist() and s[order].tolist() == (-far).tolist()
+
+
+def test_bounds_of_earlier_tasks_drop_none_of_the_best():
+    rnd = np.random.default_rng(2)
+    x, ids = np.round(rnd.normal(size=(2000, 3)), 1), rnd.permutation(2000)
+    q, rows = ids % 50 == 0, []
+    whole = V.Best(ids[q], x[q], 5, 5)
+    whole.add(ids, x)
+    for part in np.array_split(np.arange(2000), 20):
+        known = V.bounds("a search")
+        task = V.Best(ids[q], x[q], 5, 5)
+        task.bound = known.get(3, task.bound)
+        task.add(ids[part], x[part])
+        known[3] = np.minimum(task.bound, task.far[:, -1])
+        rows.append((task.far, task.found))
+    far, found = (np.hstack([r[i] for r in rows]) for i in (0, 1))
+    order = np.lexsort((found, far))[:, :5]
+    assert (np.take_along_axis(found, order, 1) == whole.found).all() and (np.take_along_axis(far, order, 1) == whole.far).all()
+    assert np.isfinite(far).sum() < 0.7 * far.size and not V.bounds("another")
+
+
+def test_best_rows_among_copies_and_at_turns_of_rounding():
+    def best(rows, k, vector):
+        b = V.Best(np.array([0]), np.array([vector]), k, 5)
+        b.add(np.array([i for i, _ in rows]), np.array([x for _, x in rows]))
+        return [(i, -s) for i, s in zip(b.found[0].tolist(), b.far[0].tolist(), strict=True)]
+
+    near, far = [1.0, 0.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0, 0.0]
+    assert best([(i, near) for i in (3, 0, 2, 1)] + [(9, far)], 3, near) == [(1, 1.0), (2, 1.0), (3, 1.0)]
+    assert best([(7, near)] * 2 + [(8, far)], 2, near) == [(7, 1.0), (7, 1.0)]
+    assert best([(0, near)] * 5 + [(8, near), (9, far)], 2, near) == [(8, 1.0), (9, 0.0)]
+    turn = [1.0, 63.0, 11.0, 2.0, 1.0]  # of length 64, so 0.015625
+    assert best([(1, turn), (2, [-1.0, *turn[1:]])], 2, near) == [(1, 0.01563), (2, -0.01563)]
+
+
+def test_vector_search_makes_no_row_per_pair(spark):
+    from tests.conftest import DATA
+
+    from loomline.plans.catalog import QUERIES
+
+    assert "Join" not in QUERIES["vector_search"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_session_cap_is_a_parameter(spark):
     from loomline.plans.state_plans import session_cap
 
